@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from sextant.llm.documented import documented_functions
 from sextant.llm.formatting import distinct_records, formatting_duplicates
+from sextant.llm.leaks import leaked_passages, without_passages
 from sextant.llm.splitting import split_oversized
 from sextant.runtime import table
 
@@ -32,5 +34,36 @@ def p3_records(spark, folder):
     return records("index_rows", "text").unionByName(records("index_versions", "content_hash"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_records": p3_records}
+def p6_found(spark, folder):
+    return documented_functions(table(spark, folder, "source_files")).select("file", "qualname", "start_line").distinct()
+
+
+def p6_pairs(spark, folder):
+    return documented_functions(table(spark, folder, "source_files"))
+
+
+def p7_found(spark, folder):
+    return leaked_passages(table(spark, folder, "documents"), table(spark, folder, "test_items")).select("doc_id", "item_id").distinct()
+
+
+def p7_passages(spark, folder):
+    return leaked_passages(table(spark, folder, "documents"), table(spark, folder, "test_items"))
+
+
+def p7_without_passages(spark, folder):
+    documents = table(spark, folder, "documents")
+    return without_passages(documents, leaked_passages(documents, table(spark, folder, "test_items"))).select("doc_id", "text", "removed_chars")
+
+
+QUERIES = {
+    "p2_found": p2_found,
+    "p2_pieces": p2_pieces,
+    "p3_found": p3_found,
+    "p3_records": p3_records,
+    "p6_found": p6_found,
+    "p6_pairs": p6_pairs,
+    "p7_found": p7_found,
+    "p7_passages": p7_passages,
+    "p7_without_passages": p7_without_passages,
+}
 SQL = {}
