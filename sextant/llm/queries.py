@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from sextant.llm.documented import documented_functions
 from sextant.llm.formatting import distinct_records, formatting_duplicates
 from sextant.llm.leaks import leaked_passages, without_passages
+from sextant.llm.overlaps import cross_split_overlaps, overlap_report
 from sextant.llm.splitting import split_oversized
 from sextant.runtime import table
 
@@ -34,6 +35,26 @@ def p3_records(spark, folder):
     return records("index_rows", "text").unionByName(records("index_versions", "content_hash"))
 
 
+def _splits(spark, folder):
+    """Training (tune) and evaluation (holdout, test) queries; the latter with their split."""
+    rows = table(spark, folder, "queries")
+    part = table(spark, folder, "query_split").select("qid", F.lower(F.regexp_replace("part", r"^\s+|\s+$", "")).alias("part")).distinct()
+    parted = rows.where("partition = 'train'").join(part, "qid")
+    held = parted.where("part = 'holdout'").select("qid", "text", "source", F.lit("holdout").alias("split"))
+    test = rows.where("partition = 'test'").select("qid", "text", "source", F.lit("test").alias("split"))
+    return parted.where("part = 'tune'").select("qid", "text", "source"), held.unionByName(test)
+
+
+def p4_found(spark, folder):
+    pairs = cross_split_overlaps(*_splits(spark, folder))
+    return pairs.select(F.least("train_id", "eval_id").alias("qid_a"), F.greatest("train_id", "eval_id").alias("qid_b")).where("qid_a < qid_b").distinct()
+
+
+def p4_report(spark, folder):
+    train, evaluation = _splits(spark, folder)
+    return overlap_report(cross_split_overlaps(train, evaluation), evaluation)
+
+
 def p6_found(spark, folder):
     return documented_functions(table(spark, folder, "source_files")).select("file", "qualname", "start_line").distinct()
 
@@ -60,6 +81,8 @@ QUERIES = {
     "p2_pieces": p2_pieces,
     "p3_found": p3_found,
     "p3_records": p3_records,
+    "p4_found": p4_found,
+    "p4_report": p4_report,
     "p6_found": p6_found,
     "p6_pairs": p6_pairs,
     "p7_found": p7_found,
