@@ -47,7 +47,7 @@ def canonical_text(text: Column) -> Column:
     return F.when(trimmed.startswith("{") & is_json, _joined(by_name)).when(is_lines, _joined(by_line)).otherwise(canonical(text))
 
 
-def _lead(big: DataFrame, small: DataFrame, key: str, copies: str, rows: int) -> DataFrame:
+def hot_join(big: DataFrame, small: DataFrame, key: str, copies: str, rows: int) -> DataFrame:
     """Inner join of big with small, unique in key; keys with so many copies that one task would choke are broadcast."""
     least = max(HOT_LEAST, rows // HOT_PARTS)
     hot = F.broadcast(small.where(F.col(copies) > least))  # at most HOT_PARTS rows of some 60 bytes: their copies sum to no more than all rows
@@ -79,7 +79,7 @@ def formatting_duplicates(rows: DataFrame, id: str = "row", value: str = "text")
     total = rows.count()
     survivors, records = distinct_records(rows, id, value)
     several = cut(records.where("copies > 1"))
-    lead = _lead(survivors, several, "record", "variants", total).select("digest", "raw_copies", "low", "copies")
+    lead = hot_join(survivors, several, "record", "variants", total).select("digest", "raw_copies", "low", "copies")
     lead = cut(lead)
     digests = rows.where(F.col(value).isNotNull()).select(F.col(id).alias("id"), _digest(F.col(value)).alias("digest"))
-    return _lead(digests, lead, "digest", "raw_copies", total).select(F.col("id").alias(id), "low", "copies").distinct()
+    return hot_join(digests, lead, "digest", "raw_copies", total).select(F.col("id").alias(id), "low", "copies").distinct()

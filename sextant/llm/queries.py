@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from sextant.llm.documented import documented_functions
 from sextant.llm.formatting import distinct_records, formatting_duplicates
 from sextant.llm.leaks import leaked_passages, without_passages
+from sextant.llm.neighbours import nearest_vectors
 from sextant.llm.overlaps import cross_split_overlaps, overlap_report
 from sextant.llm.splitting import split_oversized
 from sextant.runtime import table
@@ -55,6 +56,15 @@ def p4_report(spark, folder):
     return overlap_report(cross_split_overlaps(train, evaluation), evaluation)
 
 
+def p5_found(spark, folder):
+    near = nearest_vectors(table(spark, folder, "index_rows")).where("cosine >= 0.9")
+    return near.select(F.least("row", "neighbour").alias("row_a"), F.greatest("row", "neighbour").alias("row_b")).distinct()
+
+
+def p5_neighbours(spark, folder):
+    return nearest_vectors(table(spark, folder, "index_rows"))
+
+
 def p6_found(spark, folder):
     return documented_functions(table(spark, folder, "source_files")).select("file", "qualname", "start_line").distinct()
 
@@ -83,6 +93,8 @@ QUERIES = {
     "p3_records": p3_records,
     "p4_found": p4_found,
     "p4_report": p4_report,
+    "p5_found": p5_found,
+    "p5_neighbours": p5_neighbours,
     "p6_found": p6_found,
     "p6_pairs": p6_pairs,
     "p7_found": p7_found,
