@@ -5,9 +5,11 @@ from pyspark.sql import functions as F
 from sextant.llm.documented import documented_functions
 from sextant.llm.formatting import distinct_records, formatting_duplicates
 from sextant.llm.leaks import leaked_passages, without_passages
+from sextant.llm.mixing import budgets, mix, token_counts
 from sextant.llm.neighbours import nearest_vectors
 from sextant.llm.overlaps import cross_split_overlaps, overlap_report
 from sextant.llm.splitting import split_oversized
+from sextant.llm.subjects import document_subjects
 from sextant.runtime import table
 
 
@@ -86,6 +88,36 @@ def p7_without_passages(spark, folder):
     return without_passages(documents, leaked_passages(documents, table(spark, folder, "test_items"))).select("doc_id", "text", "removed_chars")
 
 
+def p8_found(spark, folder):
+    sized = token_counts(table(spark, folder, "documents"), "doc_id", "text", "source")
+    return budgets(sized, table(spark, folder, "mix_targets")).where("short").select(F.col("target").alias("source")).distinct()
+
+
+def p8_mix(spark, folder):
+    return mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[0]
+
+
+def p8_shares(spark, folder):
+    return mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
+
+
+def _subjects(spark, folder):
+    return document_subjects(*(table(spark, folder, t) for t in ("documents", "labels", "subjects")))
+
+
+def p9_found(spark, folder):
+    return _subjects(spark, folder).select("doc_id", "subject").distinct()
+
+
+def p9_make_up(spark, folder):
+    """Documents by source and subject, with the share of the source's documents that have a text."""
+    documents = table(spark, folder, "documents").select("doc_id", F.lower(F.trim("source")).alias("source"), "text").where(F.col("text").rlike(r"\S"))
+    sizes = documents.groupBy("source").agg(F.count("*").alias("n"))
+    counts = documents.select("doc_id", "source").join(_subjects(spark, folder), "doc_id").groupBy("source", "subject").agg(F.count("*").alias("documents"))
+    same = F.col("c.source").eqNullSafe(F.col("s.source"))
+    return counts.alias("c").join(F.broadcast(sizes.alias("s")), same).select("c.source", "subject", "documents", F.round(F.col("documents") / F.col("n"), 6).alias("share"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
@@ -100,5 +132,10 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_passages": p7_passages,
     "p7_without_passages": p7_without_passages,
+    "p8_found": p8_found,
+    "p8_mix": p8_mix,
+    "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_make_up": p9_make_up,
 }
 SQL = {}
