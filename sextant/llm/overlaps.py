@@ -1,10 +1,11 @@
 """The same or nearly the same records across splits, by winnowed word fingerprints.
 
 With at most e edits, one of any e + 1 disjoint stretches of a training text occurs unchanged in its evaluation partner.
-So every training text is cut into e + 1 disjoint windows of a few words, chosen as the minima of (occurrences in the
-evaluation split, hash): boilerplate that every text shares is not selected as long as there is anything rarer, and
+So every training text is cut into e + 1 disjoint windows of a few words, chosen for the least sum of occurrences in
+the evaluation split: boilerplate that every text shares is not selected as long as there is anything rarer, and
 stretches that do not occur in the evaluation split at all cost nothing in the join. No pair within the limit is lost.
-Evaluation texts post all their windows. Joined seeds are chained where collinear and near the diagonal, and the pair is
+Evaluation texts post all their windows. A pair that is e edits apart
+keeps all but e of the selected windows, near their places, so pairs with fewer joined seeds are left; the others are chained where collinear and near the diagonal, and the pair is
 extended by an exact banded alignment of all words.
 """
 
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from sextant.runtime import cut, shuffle_parts, words
 
-#: Texts of at least so many words are fingerprinted by three words, shorter ones by two.
-LONG = 40
+#: Texts of at least so many words are fingerprinted by four words, shorter ones by two.
+LONG = 20
 
 
 def edits(n: Column | int, share: float):
@@ -39,25 +40,28 @@ def longest_partner(n, share: float):
 
 
 def select_windows(positions: np.ndarray, counts: np.ndarray, n: int, k: int, need: int) -> list[int]:
-    """`need` disjoint windows of k of n words, rarest first; only those that occur at all are returned.
+    """`need` disjoint windows of k of n words with the least sum of counts; only those that occur at all are returned.
 
-    positions and counts are those of the windows that occur; the others have count 0. Greedy choice always finds enough
-    as a chosen window rules out at most 2k - 1 places.
+    positions and counts are those of the windows that occur; the others have count 0. The choice is exact, by a dynamic
+    programme over places. Where so many windows do not fit, every window that occurs counts.
     """
-    count = np.zeros(max(n - k + 1, 0), np.int64)
+    places = n - k + 1
+    if need * k > n or places < 1:
+        return [int(p) for p in np.sort(positions)]
+    count = np.zeros(places, np.int64)
     count[positions] = counts
-    free, chosen = np.ones(len(count), bool), []
-    taken = 0
-    for p in np.argsort(count, kind="stable"):
-        if taken >= need:
-            break
-        if free[p]:
-            free[max(0, p - k + 1) : p + k] = False
-            taken += 1
-            if count[p]:
-                chosen.append(int(p))
-    if taken < need:  # too short for so many: every window counts
-        return [int(p) for p in np.flatnonzero(count)]
+    best = np.full((places + k, need + 1), np.iinfo(np.int64).max // 4)  # [i, j]: j windows from place i on
+    best[:, 0] = 0
+    for i in range(places - 1, -1, -1):
+        np.minimum(best[i + 1, 1:], best[i + k, :-1] + count[i], out=best[i, 1:])
+    chosen, i, j = [], 0, need
+    while j:
+        if best[i, j] != best[i + 1, j]:
+            if count[i]:
+                chosen.append(i)
+            i, j = i + k, j - 1
+        else:
+            i += 1
     return chosen
 
 
@@ -140,16 +144,19 @@ def cross_split_overlaps(train: DataFrame, evaluation: DataFrame, id: str = "qid
                     place = np.array([x["place"] for x in found], np.int64)
                     gram = dict(zip(place.tolist(), (x["gram"] for x in found)))
                     need = edits(longest_partner(n, share), share) + 1
-                    out += [(key, n, p, gram[p]) for p in select_windows(place, np.array([x["c"] for x in found], np.int64), n, k, need)]
-                yield pd.DataFrame(out, columns=["t_key", "t_n", "t_place", "gram"])
+                    count = need if need * k <= n else 0
+                    out += [(key, n, p, gram[p], count) for p in select_windows(place, np.array([x["c"] for x in found], np.int64), n, k, need)]
+                yield pd.DataFrame(out, columns=["t_key", "t_n", "t_place", "gram", "selected"])
 
-        chosen = known.mapInPandas(run, "t_key long, t_n int, t_place int, gram long")
+        chosen = known.mapInPandas(run, "t_key long, t_n int, t_place int, gram long, selected int")
         longer = F.greatest("t_n", "n")
         met = chosen.join(posted, "gram").where((F.abs(F.col("t_place") - F.col("place")) <= edits(longer, share)) & (F.abs(F.col("t_n") - F.col("n")) <= edits(longer, share)))
-        return met.groupBy("t_key", F.col("key").alias("e_key")).agg(F.collect_list(F.struct("t_place", "place")).alias("seeds"), F.lit(k).alias("k"))
+        pairs = met.groupBy("t_key", F.col("key").alias("e_key"), "t_n", "n", "selected").agg(F.collect_list(F.struct("t_place", "place")).alias("seeds"), F.lit(k).alias("k"))
+        kept = F.size(F.array_distinct(F.transform("seeds", lambda x: x["t_place"])))
+        return pairs.where(kept >= F.col("selected") - edits(longer, share)).select("t_key", "e_key", "seeds", "k")
 
     shortest = int(np.ceil(LONG * (1 - share) - 1e-9))
-    found = seeds(3, t_texts.where(F.col("n") >= LONG), e_texts.where(F.col("n") >= shortest)).unionByName(seeds(2, t_texts.where(F.col("n") < LONG), e_texts.where(F.col("n") <= longest_partner(LONG, share))))
+    found = seeds(4, t_texts.where(F.col("n") >= LONG), e_texts.where(F.col("n") >= shortest)).unionByName(seeds(2, t_texts.where(F.col("n") < LONG), e_texts.where(F.col("n") <= longest_partner(LONG, share))))
     candidates = found.where("t_key <> e_key")
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
