@@ -59,15 +59,19 @@ def split_identifier(ident: Column) -> Column:
     return F.transform(F.regexp_extract_all(spaced, F.lit("[A-Z]?[a-z]+|[A-Z]+|[0-9]+"), F.lit(0)), F.lower)
 
 
-def code_tokens(text: Column, keep_whole: bool = True, least: int = 1) -> Column:
-    """Parts of every identifier and number, and the whole identifier where it has several parts. Null gives null."""
-    idents = F.regexp_extract_all(text, F.lit("[A-Za-z_][A-Za-z0-9_]*|[0-9]+"), F.lit(0))
+_SEVERAL_PARTS = "[A-Za-z0-9]_+[A-Za-z0-9]|[a-z][A-Z]|[A-Z][A-Z][a-z]|[A-Za-z][0-9]|[0-9][A-Za-z]"
 
-    def tokens(i):
-        parts = split_identifier(i)
-        return F.when(F.size(parts) > 1, F.concat(parts, F.array(F.lower(i)))).otherwise(parts) if keep_whole else parts
 
-    return F.filter(F.flatten(F.transform(idents, tokens)), lambda t: F.length(t) >= least)
+def code_tokens(text: Column, keep_whole: bool = True, least: int = 1) -> Column:
+    """A bag of code terms: the parts of every identifier and number, then the identifiers that have several parts.
+
+    Parts are found in one pass over the text, as every letter and digit belongs to some identifier. Null gives null.
+    """
+    spaced = F.regexp_replace(text, "([A-Z])([A-Z][a-z])", "$1 $2")
+    parts = F.regexp_extract_all(spaced, F.lit("[A-Z]?[a-z]+|[A-Z]+|[0-9]+"), F.lit(0))
+    whole = F.filter(F.regexp_extract_all(text, F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)), lambda i: i.rlike(_SEVERAL_PARTS))
+    bag = F.transform(F.concat(parts, whole) if keep_whole else parts, F.lower)
+    return bag if least <= 1 else F.filter(bag, lambda t: F.length(t) >= least)
 
 
 def query_terms(text: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sextant.operators.ranking import top_k
-from sextant.runtime import shuffle_parts
+from sextant.runtime import busy, shuffle_parts
 
 #: Queries that are broadcast at once (4,096 vectors of 64 singles are 1 MB); more are worked on in blocks.
 QUERY_BLOCK = 4096
@@ -40,7 +40,7 @@ def hashing_encoder(docs: DataFrame, id: str, text: str, dim: int = 64, most: in
     """
     found = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
     tokens = F.when(F.size(found) > 0, found if most is None else F.slice(found, 1, most)).otherwise(F.array(F.lit("__empty__")))
-    counted = docs.select(F.col(id), F.explode(tokens).alias("tok")).groupBy(id, "tok").agg(F.count("*").alias("n"))
+    counted = busy(docs.select(id, text)).select(F.col(id), F.explode(tokens).alias("tok")).groupBy(id, "tok").agg(F.count("*").alias("n"))
     hashed = counted.withColumn("h", F.sha2("tok", 256))
     bucket = (F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % dim).cast("int")
     sign = F.when(F.conv(F.substring("h", 9, 2), 16, 10).cast("int") % 2 == 1, 1).otherwise(-1)

@@ -7,37 +7,42 @@ from pyspark.sql import functions as F
 
 from sextant.functions.text import code_tokens
 from sextant.operators.ranking import top_k
+from sextant.runtime import busy, cut
 
 
 def postings(docs: DataFrame, id: str = "row", text: str = "text", least: int = 1) -> DataFrame:
     """(id, tok, tf, dl): term counts and document lengths. Null texts have no terms."""
-    tokens = docs.select(F.col(id), code_tokens(F.col(text), least=least).alias("t")).where("t is not null").select(id, F.size("t").cast("long").alias("dl"), F.explode("t").alias("tok"))
+    tokens = busy(docs.select(id, text)).select(F.col(id), code_tokens(F.col(text), least=least).alias("t")).where("t is not null").select(id, F.size("t").cast("long").alias("dl"), F.explode("t").alias("tok"))
     return tokens.groupBy(id, "dl", "tok").agg(F.count("*").alias("tf"))
 
 
-def bm25_idf(docs: DataFrame, id: str = "row", text: str = "text", epsilon: float = 0.25) -> DataFrame:
-    """(tok, df, idf): ln(N - df + .5) - ln(df + .5); negative ones become epsilon times the mean over all terms."""
-    df = postings(docs, id, text).groupBy("tok").agg(F.count("*").alias("df"))
-    n = docs.agg(F.count("*").alias("n"))  # one row
+def _idf(tf: DataFrame, n: DataFrame, epsilon: float) -> DataFrame:
+    df = tf.groupBy("tok").agg(F.count("*").alias("df"))
     raw = df.crossJoin(F.broadcast(n)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).drop("n")
     mean = raw.agg(F.avg("raw").alias("mean"))  # one row
     return raw.crossJoin(F.broadcast(mean)).select("tok", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
+def bm25_idf(docs: DataFrame, id: str = "row", text: str = "text", epsilon: float = 0.25) -> DataFrame:
+    """(tok, df, idf): ln(N - df + .5) - ln(df + .5); negative ones become epsilon times the mean over all terms."""
+    return _idf(postings(docs, id, text), docs.agg(F.count("*").alias("n")), epsilon)
+
+
 def bm25_scores(docs: DataFrame, queries: DataFrame, id: str = "row", text: str = "text", qid: str = "qid", query: str = "text", k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
     """(qid, id, score) of all documents that share a term with the query; every other document scores 0.
 
-    Terms of the query count as often as they occur; terms that no document has are dropped. Only postings of query terms
-    are joined.
+    Terms of the query count as often as they occur; terms that no document has are dropped. The postings are written
+    once (they are the inverted index) and read for the statistics and for the join, which takes postings of query terms
+    only.
     """
     asked = queries.select(F.col(qid).alias("qid"), F.explode(code_tokens(F.col(query))).alias("tok")).groupBy("qid", "tok").agg(F.count("*").alias("qtf"))
-    tf = postings(docs, id, text)
-    idf = bm25_idf(docs, id, text, epsilon)
-    n = docs.agg(F.count("*").alias("n"))
-    length = docs.select(F.size(code_tokens(F.coalesce(F.col(text), F.lit("")))).cast("long").alias("dl")).agg(F.sum("dl").alias("all")).crossJoin(F.broadcast(n)).select(F.when(F.col("n") > 0, F.col("all") / F.col("n")).alias("avgdl"))  # one row
+    tf = cut(postings(docs, id, text))
+    n = docs.agg(F.count("*").alias("n"))  # one row
+    length = tf.agg(F.sum("tf").alias("all")).crossJoin(F.broadcast(n)).select(F.when(F.col("n") > 0, F.col("all") / F.col("n")).alias("avgdl"))  # one row
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    used = tf.join(asked.select("tok").distinct(), "tok", "left_semi").join(idf.select("tok", "idf"), "tok").crossJoin(F.broadcast(length)).select(id, "tok", weight.alias("w"))
-    return used.join(asked, "tok").groupBy("qid", id).agg(F.round(F.sum(F.col("qtf") * F.col("w")), 6).alias("score"))
+    terms = asked.join(_idf(tf, n, epsilon).select("tok", "idf"), "tok")
+    per_term = terms.crossJoin(F.broadcast(length)).join(tf, "tok")
+    return per_term.groupBy("qid", id).agg(F.round(F.sum(F.col("qtf") * weight), 6).alias("score"))
 
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, **options) -> DataFrame:
@@ -47,7 +52,7 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, **options) -> Da
 
 def tfidf_topk(docs: DataFrame, queries: DataFrame, k: int = 10, id: str = "row", text: str = "text", qid: str = "qid", query: str = "text") -> DataFrame:
     """TF-IDF cosine ranking; idf = ln((1 + N) / (1 + df)) + 1 over the documents, tf relative to the length."""
-    tf = postings(docs, id, text)
+    tf = cut(postings(docs, id, text))
     n = docs.agg(F.count("*").alias("n"))
     idf = tf.groupBy("tok").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("tok", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     doc = tf.join(idf, "tok").select(id, "tok", (F.col("tf") / F.col("dl") * F.col("idf")).alias("w"))

@@ -28,9 +28,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
-    """Repartition a small scan so that CPU-bound work per row uses every core."""
-    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism * per_core, 2))
+#: Bytes (as Catalyst estimates them) for each core under which a scan counts as small.
+SMALL_PER_CORE = 32 << 20
+
+
+def busy(df: DataFrame) -> DataFrame:
+    """Spread a small input over all cores before CPU-bound work per row; large scans have partitions enough and stay.
+
+    The size is Catalyst's estimate of the plan; nothing is executed.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SMALL_PER_CORE else df
 
 
 def shuffle_parts(spark: SparkSession) -> int:
