@@ -7,15 +7,26 @@ from pyspark.sql import functions as F
 
 from sextant.functions.text import code_tokens
 from sextant.operators.ranking import top_k
-from sextant.runtime import busy, cut
+from sextant.runtime import cut, shuffle_parts
+
+#: Rows of query terms that are broadcast, at most (some 60 bytes each).
+BROADCAST_TERMS = 500_000
 
 
 def postings(docs: DataFrame, id: str = "row", text: str = "text", least: int = 1) -> DataFrame:
-    """(id, tok, tf, dl): term counts and document lengths. Null texts have no terms."""
-    tokens = busy(docs.select(id, text)).select(F.col(id), code_tokens(F.col(text), least=least).alias("t")).where("t is not null").select(id, F.size("t").cast("long").alias("dl"), F.explode("t").alias("tok"))
+    """(id, tok, tf, dl): term counts and document lengths. Null texts have no terms.
+
+    Texts are spread by id once; counting terms and, later, summing scores per document then need no shuffle.
+    """
+    tokens = docs.select(id, text).repartition(shuffle_parts(docs.sparkSession), id).select(F.col(id), code_tokens(F.col(text), least=least).alias("t")).where("t is not null").select(id, F.size("t").cast("long").alias("dl"), F.explode("t").alias("tok"))
     return tokens.groupBy(id, "dl", "tok").agg(F.count("*").alias("tf"))
 
 
+def _small(terms: DataFrame) -> DataFrame:
+    """Query terms, broadcast as long as they are few; beyond that the join shuffles."""
+    return F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
+
+
 def _idf(tf: DataFrame, n: DataFrame, epsilon: float) -> DataFrame:
     df = tf.groupBy("tok").agg(F.count("*").alias("df"))
     raw = df.crossJoin(F.broadcast(n)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).drop("n")
@@ -40,8 +51,8 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, id: str = "row", text: str
     n = docs.agg(F.count("*").alias("n"))  # one row
     length = tf.agg(F.sum("tf").alias("all")).crossJoin(F.broadcast(n)).select(F.when(F.col("n") > 0, F.col("all") / F.col("n")).alias("avgdl"))  # one row
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    terms = asked.join(_idf(tf, n, epsilon).select("tok", "idf"), "tok")
-    per_term = terms.crossJoin(F.broadcast(length)).join(tf, "tok")
+    terms = cut(asked.join(_idf(tf, n, epsilon).select("tok", "idf"), "tok").crossJoin(F.broadcast(length)))
+    per_term = tf.join(_small(terms), "tok")
     return per_term.groupBy("qid", id).agg(F.round(F.sum(F.col("qtf") * weight), 6).alias("score"))
 
 
@@ -56,8 +67,9 @@ def tfidf_topk(docs: DataFrame, queries: DataFrame, k: int = 10, id: str = "row"
     n = docs.agg(F.count("*").alias("n"))
     idf = tf.groupBy("tok").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("tok", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     doc = tf.join(idf, "tok").select(id, "tok", (F.col("tf") / F.col("dl") * F.col("idf")).alias("w"))
+    doc = cut(doc.repartition(shuffle_parts(docs.sparkSession), id))
     norm = doc.groupBy(id).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
     asked = postings(queries.select(F.col(qid).alias("qid"), F.col(query).alias("q")), "qid", "q").join(idf, "tok").select("qid", "tok", (F.col("tf") / F.col("dl") * F.col("idf")).alias("qw"))
     q_norm = asked.groupBy("qid").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
-    dots = doc.join(asked, "tok").groupBy("qid", id).agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
+    dots = doc.join(_small(cut(asked)), "tok").groupBy("qid", id).agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
     return top_k(dots.join(norm, id).join(q_norm, "qid").select("qid", id, F.round(F.col("dot") / (F.col("dn") * F.col("qn")), 6).alias("score")), k, row=id)
