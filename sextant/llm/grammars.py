@@ -173,7 +173,7 @@ def _js_defined(s, a, b, v):
 
 _js_definition = rule(
     "js_definition",
-    lambda: act(seq(opt(act(seq(rx(r"/\*\*(?:[^*]|\*(?!/))*\*/"), _JS_SPACE), lambda s, a, b, v: _js_doc(s, a, b, v[0]))), _js_head, opt(_js_bracket()), _JS_SPACE, opt(rx(r"=>\s*")), _js_bracket()), _js_defined),
+    lambda: act(seq(opt(act(seq(rx(r"/\*\*(?:[^*]|\*(?!/))*\*/"), _JS_SPACE), lambda s, a, b, v: _js_doc(s, a, b, v[0]))), _js_head, opt(seq(ahead(rx(r"\(")), _js_bracket())), _JS_SPACE, opt(rx(r"=>\s*")), _js_bracket()), _js_defined),
 )
 script = act(many(choice(_js_definition(), _JS_STRING, rx(r"/\*(?:[^*]|\*(?!/))*\*/|//[^\n]*"), _js_bracket(), rx(r"\w+|\s+|."))), lambda s, a, b, v: _definitions(v))
 
