@@ -158,7 +158,7 @@ def reply_score(reply: Column) -> Column:
     named = F.regexp_extract(reply, r"(?i)score\"?\s*[:=]\s*([0-9]*\.?[0-9]+)", 1)
     lone = F.regexp_extract(reply, r"\b([01](?:\.[0-9]+)?)\b", 1)
     value = F.coalesce(number, F.when(named != "", named), F.when(lone != "", lone)).try_cast("double")
-    return F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0))
+    return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)))
 
 
 def mock_judge(problem: Column, code: Column) -> Column:
