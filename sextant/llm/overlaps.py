@@ -23,6 +23,8 @@ from sextant.runtime import cut, shuffle_parts, words
 
 #: Texts of at least so many words are fingerprinted by four words, shorter ones by two.
 LONG = 20
+#: Windows beyond e + 1 that a pair is probed by, so that it must keep 1 + SPARE of them.
+SPARE = 2
 
 
 def edits(n: Column | int, share: float):
@@ -144,16 +146,24 @@ def cross_split_overlaps(train: DataFrame, evaluation: DataFrame, id: str = "qid
                     place = np.array([x["place"] for x in found], np.int64)
                     gram = dict(zip(place.tolist(), (x["gram"] for x in found)))
                     need = edits(longest_partner(n, share), share) + 1
-                    count = need if need * k <= n else 0
-                    out += [(key, n, p, gram[p], count) for p in select_windows(place, np.array([x["c"] for x in found], np.int64), n, k, need)]
-                yield pd.DataFrame(out, columns=["t_key", "t_n", "t_place", "gram", "selected"])
-
-        chosen = known.mapInPandas(run, "t_key long, t_n int, t_place int, gram long, selected int")
+                    counts = np.array([x["c"] for x in found], np.int64)
+                    picked = select_windows(place, counts, n, k, need)
+                    if need * k <= n:  # numbered from the rarest; those that do not occur come first
+                        count = dict(zip(place.tolist(), counts.tolist()))
+                        picked = sorted(picked, key=lambda p: (count[p], p))
+                        out += [(key, n, p, gram[p], need, need - len(picked) + i) for i, p in enumerate(picked)]
+                    else:
+                        out += [(key, n, p, gram[p], 0, -1) for p in picked]
+                yield pd.DataFrame(out, columns=["t_key", "t_n", "t_place", "gram", "selected", "number"])
+
+        chosen = known.mapInPandas(run, "t_key long, t_n int, t_place int, gram long, selected int, number int")
         longer = F.greatest("t_n", "n")
-        met = chosen.join(posted, "gram").where((F.abs(F.col("t_place") - F.col("place")) <= edits(longer, share)) & (F.abs(F.col("t_n") - F.col("n")) <= edits(longer, share)))
+        # a partner no longer than the text needs fewer windows than were selected: the rarest e + 1 + SPARE of them
+        used = F.least(F.col("selected"), edits(longer, share) + 1 + SPARE)
+        met = chosen.join(posted, "gram").where((F.col("number") < used) & (F.abs(F.col("t_place") - F.col("place")) <= edits(longer, share)) & (F.abs(F.col("t_n") - F.col("n")) <= edits(longer, share)))
         pairs = met.groupBy("t_key", F.col("key").alias("e_key"), "t_n", "n", "selected").agg(F.collect_list(F.struct("t_place", "place")).alias("seeds"), F.lit(k).alias("k"))
         kept = F.size(F.array_distinct(F.transform("seeds", lambda x: x["t_place"])))
-        return pairs.where(kept >= F.col("selected") - edits(longer, share)).select("t_key", "e_key", "seeds", "k")
+        return pairs.where(kept >= F.greatest(F.lit(1), used - edits(longer, share))).select("t_key", "e_key", "seeds", "k")
 
     shortest = int(np.ceil(LONG * (1 - share) - 1e-9))
     found = seeds(4, t_texts.where(F.col("n") >= LONG), e_texts.where(F.col("n") >= shortest)).unionByName(seeds(2, t_texts.where(F.col("n") < LONG), e_texts.where(F.col("n") <= longest_partner(LONG, share))))
