@@ -5,12 +5,12 @@ from pyspark.sql import functions as F
 from sextant.llm.documented import documented_functions
 from sextant.llm.formatting import distinct_records, formatting_duplicates
 from sextant.llm.leaks import leaked_passages, without_passages
-from sextant.llm.mixing import budgets, mix, token_counts
+from sextant.llm.mixing import mix
 from sextant.llm.neighbours import nearest_vectors
 from sextant.llm.overlaps import cross_split_overlaps, overlap_report
 from sextant.llm.splitting import split_oversized
 from sextant.llm.subjects import document_subjects
-from sextant.runtime import table
+from sextant.runtime import cut, table
 
 
 def p2_found(spark, folder):
@@ -89,8 +89,9 @@ def p7_without_passages(spark, folder):
 
 
 def p8_found(spark, folder):
-    sized = token_counts(table(spark, folder, "documents"), "doc_id", "text", "source")
-    return budgets(sized, table(spark, folder, "mix_targets")).where("short").select(F.col("target").alias("source")).distinct()
+    """Targets that the cap keeps short, by the whole mix: the shares are cut, or the optimizer would drop the selection behind `got`."""
+    shares = cut(mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1])
+    return shares.where("short").select(F.col("target").alias("source")).distinct()
 
 
 def p8_mix(spark, folder):

@@ -400,6 +400,21 @@ def test_mix(spark):
     assert mixing.mix(d.where("false"), t)[0].count() == 0
 
 
+def test_p8_found_runs_the_selection(spark, monkeypatch, tmp_path):
+    from sextant.llm import queries
+
+    spark.createDataFrame([(i, "word " * (i % 5 + 1), "ab"[i % 2]) for i in range(40)], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("A", 0.9, 1), ("b", 0.1, 1)], "source string, target_share double, max_repeats int").write.parquet(str(tmp_path / "mix_targets.parquet"))
+    assert [r["source"] for r in queries.p8_found(spark, str(tmp_path)).collect()] == ["A"]
+
+    def broken(*_):
+        raise ValueError("fit was called")
+
+    monkeypatch.setattr(mixing, "fit", broken)
+    with pytest.raises(Exception, match="fit was called"):
+        queries.p8_found(spark, str(tmp_path)).collect()
+
+
 # ---- subjects ----
 def test_subjects_held_out(spark):
     rng = random.Random(6)
