@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
+from sextant.runtime import cut, shuffle_parts
+
 
 # ---- canonical code ----
 def without_comment(line: str) -> str:
@@ -188,25 +190,46 @@ def multiset_jaccard(a: Counter, b: Counter) -> float:
 def rename_links(changes: DataFrame, by: Sequence[str], threshold: float = 0.8, least: int = 8, size_step: float = 1.25) -> DataFrame:
     """One-to-one links of removed to added functions of the same kind with multiset Jaccard of at least `threshold`.
 
-    changes: by, side (`removed` or `added`), id, kind, name, text. Best pairs first, ties by ids. Pairs meet only where
-    their numbers of tokens allow the threshold: Jaccard of at least t bounds the ratio of sizes, so both are put in
-    size classes of ratio 1 / t and neighbouring classes meet.
+    changes: by, side (`removed` or `added`), id, kind, name, text; ids are unique within by and side. Best pairs first,
+    ties by ids. Pairs meet where they share a token that the threshold calls for: Jaccard of at least t leaves at most
+    n - ceil(t * n) of the n tokens of either side out, so that one more of its rarest tokens (of the same by and kind;
+    repeated tokens are numbered) must be among the rarest of the other side as well.
     """
     by = list(by)
+    floor = threshold - 1e-6  # similarity is rounded
 
     @F.pandas_udf("array<string>")
     def tokens(text: pd.Series, name: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else body_tokens(t, n) for t, n in zip(text, name)], dtype=object)
 
-    sized = changes.where(F.col("text").isNotNull()).withColumn("tok", tokens("text", "name")).where(F.size("tok") >= least).withColumn("band", F.floor(F.log(F.size("tok").cast("double")) / F.log(F.lit(1 / threshold))).cast("int"))
-    old = sized.where("side = 'removed'").select(*by, "kind", F.col("id").alias("old"), F.col("tok").alias("a"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
-    new = sized.where("side = 'added'").select(*by, "kind", F.col("id").alias("new"), F.col("tok").alias("b"), "band")
+    @F.pandas_udf("array<string>")
+    def numbered(toks: pd.Series) -> pd.Series:
+        out = []
+        for found in toks:
+            seen: Counter = Counter()
+            for t in found:
+                seen[t] += 1
+            out.append([f"{i} {t}" for t, n in seen.items() for i in range(n)])
+        return pd.Series(out, dtype=object)
 
     @F.pandas_udf("double")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([multiset_jaccard(Counter(x), Counter(y)) for x, y in zip(a, b)])
 
-    pairs = old.join(new, [*by, "kind", "band"]).withColumn("similarity", F.round(alike("a", "b"), 6)).where(F.col("similarity") >= threshold).select(*by, "old", "new", "similarity")
+    slim = changes.where(F.col("text").isNotNull()).select(*by, "side", "id", "kind", "name", "text")
+    sized = cut(slim.repartition(shuffle_parts(changes.sparkSession)).withColumn("tok", tokens("text", "name")).where(F.size("tok") >= least).select(*by, "side", "id", "kind", "tok"))
+    n = F.size("tok")
+    spread = sized.select(*by, "side", "id", "kind", n.alias("n"), F.explode(numbered("tok")).alias("t"))
+    rare = F.row_number().over(Window.partitionBy(*by, "side", "id").orderBy("df", "t"))
+    needed = F.greatest(F.lit(1), F.ceil(F.lit(floor) * F.col("n")))
+    head = spread.withColumn("df", F.count("*").over(Window.partitionBy(*by, "kind", "t"))).withColumn("place", rare).where(F.col("place") <= F.col("n") - needed + 1)
+    old = head.where("side = 'removed'").select(*by, "kind", "t", F.col("id").alias("old"), F.col("n").alias("n_old"))
+    new = head.where("side = 'added'").select(*by, "kind", "t", F.col("id").alias("new"), F.col("n").alias("n_new"))
+    near = F.least("n_old", "n_new") >= F.lit(floor) * F.greatest("n_old", "n_new")
+    met = old.join(new, [*by, "kind", "t"]).where(near).select(*by, "old", "new").distinct()
+    text = lambda side, id, name: sized.where(F.col("side") == side).select(*by, F.col("id").alias(id), F.col("tok").alias(name))
+    both = met.join(text("removed", "old", "a"), [*by, "old"]).join(text("added", "new", "b"), [*by, "new"])
+    pairs = both.withColumn("similarity", F.round(alike("a", "b"), 6)).where(F.col("similarity") >= threshold).select(*by, "old", "new", "similarity")
 
     def greedy(group: pd.DataFrame) -> pd.DataFrame:
         used_old, used_new, keep = set(), set(), []

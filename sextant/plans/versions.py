@@ -1,6 +1,7 @@
 """Queries over version histories and sources, with the SQL they must equal where SQL can express them."""
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sextant.functions import text as T
 from sextant.operators import code, evaluate, versions
@@ -18,6 +19,13 @@ def _slim(spark, folder):
     return _rows(spark, folder).select("row", *BY, "lineage_id", "version", "content_hash")
 
 
+def _snapshots(spark, folder):
+    """The delivered snapshots of each ingest with the versions delivered before and after, null at the ends."""
+    w = Window.partitionBy(*BY).orderBy("version")
+    one = table(spark, folder, "index_versions").select(*BY, "version").where("version is not null").distinct()
+    return one.withColumn("before", F.lag("version").over(w)).withColumn("after", F.lead("version").over(w))
+
+
 def _files(spark, folder):
     """Source files, byte-order marks dropped."""
     return table(spark, folder, "source_files").select("file", F.regexp_replace("text", "^﻿", "").alias("text"))
@@ -77,10 +85,16 @@ def reindex_classify(spark, folder):
 
 
 def rename_links(spark, folder):
-    """Functions removed after version 1 linked to those added at version 2."""
-    rows = _rows(spark, folder).where("version in (1, 2)").groupBy(*BY, "lineage_id", "version").agg(F.max_by(F.struct("kind", "name", "text"), "row").alias("x")).select(*BY, F.col("lineage_id").alias("id"), "version", "x.*")
-    side = lambda v, other, name: rows.where(F.col("version") == v).join(rows.where(F.col("version") == other).select(*BY, "id"), [*BY, "id"], "left_anti").select(*BY, "id", "kind", "name", "text", F.lit(name).alias("side"))
-    return versions.rename_links(side(1, 2, "removed").unionByName(side(2, 1, "added")), BY)
+    """Functions removed at a snapshot linked to those added at it, against the snapshot delivered before; version is the later one's.
+
+    A function is known by its place, `file::qualname`: lineage ids are kept over renames and would hide them.
+    """
+    place = F.concat_ws("::", "file", "qualname")
+    rows = _rows(spark, folder).where("file is not null and qualname is not null").groupBy(*BY, place.alias("id"), "version").agg(F.max_by(F.struct("kind", "name", "text"), "row").alias("x")).select(*BY, "id", "version", "x.*")
+    near = Window.partitionBy(*BY, "id").orderBy("version")
+    placed = rows.join(_snapshots(spark, folder), [*BY, "version"]).withColumn("was", F.lag("version").over(near)).withColumn("comes", F.lead("version").over(near))
+    side = lambda other, here, version, name: placed.where(F.col(other).isNotNull() & ~F.col(other).eqNullSafe(F.col(here))).select(*BY, F.col(version).alias("version"), "id", "kind", "name", "text", F.lit(name).alias("side"))
+    return versions.rename_links(side("after", "comes", "after", "removed").unionByName(side("before", "was", "version", "added")), [*BY, "version"])
 
 
 def version_queries(spark, folder):

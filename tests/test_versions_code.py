@@ -38,6 +38,41 @@ def test_renames(spark):
     assert V.multiset_jaccard(Counter("aab"), Counter("abb")) == 2 / 4
 
 
+def test_renames_by_shared_tokens(spark):
+    """Every pair that brute force finds, matched best first, also where tokens repeat and sizes sit at the bound."""
+    import random
+    from collections import Counter
+
+    rng, d = random.Random(3), []
+    for side in ("removed", "added"):
+        for i in range(40):
+            words = [rng.choice("abcd")] * rng.randint(0, 3) + [f"w{rng.randint(0, 5)}" for _ in range(rng.randint(8, 12))] + ["("] * 12
+            d.append((i % 2, side, f"{side}{i:02}", "function", "f", " ".join(words) + " '"))
+    want = []
+    for g in (0, 1):
+        of = lambda side: [(r[2], Counter(V.body_tokens(r[5], "f"))) for r in d if r[0] == g and r[1] == side]  # noqa: B023,E731
+        scored = sorted((-round(V.multiset_jaccard(a, b), 6), o, n) for o, a in of("removed") for n, b in of("added"))
+        used = set()
+        for s, o, n in scored:
+            if -s >= 0.8 and not {o, n} & used:
+                used |= {o, n}
+                want.append((g, o, n, -s))
+    got = V.rename_links(spark.createDataFrame(d, "version int, side string, id string, kind string, name string, text string"), ["version"]).collect()
+    assert len(want) > 10 and sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_rename_links_of_every_snapshot(spark, tmp_path):
+    """Renames after version 2 and across a snapshot that was not delivered."""
+    from sextant.plans import versions as P
+
+    body = "def {}(items):\n    total = 0\n    for x in items:\n        total += x\n    return total\n"
+    names = {1: "a", 3: "b", 4: "b", 5: "c"}
+    d = [(i, "r", "s", "f.py::a", v, "f.py", "function", n, n, body.format(n), "h") for i, (v, n) in enumerate(names.items())]
+    spark.createDataFrame(d, "row long, repo string, subdir string, lineage_id string, version int, file string, kind string, name string, qualname string, text string, content_hash string").write.parquet(str(tmp_path / "index_versions.parquet"))
+    got = sorted((r["version"], r["old"], r["new"]) for r in P.rename_links(spark, str(tmp_path)).collect())
+    assert got == [(3, "f.py::a", "f.py::b"), (5, "f.py::b", "f.py::c")]
+
+
 def test_reindex_plan(spark, rows):
     mk = lambda d: V.occurrence_keys(spark.createDataFrame(d, "file string, kind string, qualname string, start_line int, end_line int, text string"))
     old = mk([("f", "function", "a", 1, 2, "x"), ("f", "function", "b", 3, 4, "y"), ("f", "function", "b", 5, 6, "y2")])
