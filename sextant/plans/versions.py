@@ -53,13 +53,11 @@ def distinct_work(spark, folder):
     return versions.distinct_work(_rows(spark, folder))
 
 
-def _ranking(spark, folder, version):
-    """The ten longest functions of each ingest at a version, as a ranking."""
-    from pyspark.sql.window import Window
-
-    rows = _rows(spark, folder).where(F.col("version") == version).select("row", F.concat_ws("/", *BY).alias("qid"), "lineage_id", "content_hash", F.length("text").alias("score"))
-    one = rows.where("score is not null").groupBy("qid", "lineage_id").agg(F.max_by(F.struct("content_hash", "score"), "row").alias("x")).select("qid", "lineage_id", "x.*")
-    return one.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "lineage_id"))).where("rank <= 10")
+def _ranking(spark, folder, version=None):
+    """The ten longest functions of each ingest at a version, or at every one, as a ranking."""
+    rows = _rows(spark, folder).where("version is not null" if version is None else F.col("version") == version).select("row", F.concat_ws("/", *BY).alias("qid"), "version", "lineage_id", "content_hash", F.length("text").alias("score"))
+    one = rows.where("score is not null").groupBy("qid", "version", "lineage_id").agg(F.max_by(F.struct("content_hash", "score"), "row").alias("x")).select("qid", "version", "lineage_id", "x.*")
+    return one.withColumn("rank", F.row_number().over(Window.partitionBy("qid", "version").orderBy(F.desc("score"), "lineage_id"))).where("rank <= 10")
 
 
 def version_compare(spark, folder):
@@ -71,11 +69,30 @@ def lineage_groups(spark, folder):
     return versions.group_lineages(hits, "file")
 
 
+def version_compare_history(spark, folder):
+    """version_compare of every delivered snapshot with the one before; version is the later one's."""
+    ranked = _ranking(spark, folder).withColumn("ingest", F.col("qid"))
+    near = _snapshots(spark, folder).select(F.concat_ws("/", *BY).alias("ingest"), "version", "before").where("before is not null")
+    b = ranked.join(near, ["ingest", "version"]).withColumn("qid", F.struct("ingest", "version"))
+    a = ranked.withColumnRenamed("version", "before").join(near, ["ingest", "before"]).withColumn("qid", F.struct("ingest", "version"))
+    out = versions.compare_rankings(a, b)
+    return out.select(F.col("qid.ingest").alias("qid"), F.col("qid.version").alias("version"), *out.columns[1:])
+
+
+def lineage_groups_history(spark, folder):
+    """lineage_groups of every delivered snapshot."""
+    hits = _ranking(spark, folder).select(F.struct("qid", "version").alias("qid"), "rank", F.regexp_extract("lineage_id", "^[^:]+", 0).alias("file"))
+    out = versions.group_lineages(hits, "file")
+    return out.select("qid.*", *out.columns[1:])
+
+
 def version_diffs(spark, folder):
-    rows = _rows(spark, folder).groupBy(*BY, "lineage_id", "version").agg(F.max_by("text", "row").alias("text"))
-    a = rows.where("version = 1").select(*BY, "lineage_id", F.col("text").alias("text_a"))
-    b = rows.where("version = 2").select(*BY, "lineage_id", F.col("text").alias("text_b"))
-    return versions.diffs(a.join(b, [*BY, "lineage_id"])).where("not identical").select(*BY, "lineage_id", "diff", "added", "removed")
+    """Diffs of lineages against the snapshot delivered before; version is the later one's."""
+    rows = _rows(spark, folder).groupBy(*BY, "lineage_id", "version").agg(F.max_by(F.struct("text"), "row").alias("x")).select(*BY, "lineage_id", "version", "x.text")
+    near = _snapshots(spark, folder).where("before is not null").select(*BY, "version", "before")
+    b = rows.withColumnRenamed("text", "text_b").join(near, [*BY, "version"])
+    a = rows.withColumnRenamed("text", "text_a").withColumnRenamed("version", "before")
+    return versions.diffs(a.join(b, [*BY, "lineage_id", "before"])).where("not identical").select(*BY, "lineage_id", "version", "diff", "added", "removed")
 
 
 def reindex_classify(spark, folder):
@@ -84,6 +101,17 @@ def reindex_classify(spark, folder):
     return versions.reindex_plan(side(1), side(2)).groupBy("file", "status").agg(F.count("*").alias("n"))
 
 
+def reindex_history(spark, folder):
+    """reindex_classify of every delivered snapshot against the one before, the first against nothing; version is the later one's."""
+    rows = table(spark, folder, "index_versions").select(*BY, "file", "kind", "qualname", "start_line", "end_line", "text", "version", "row")
+    at = [*BY, "version", "file", "kind", "qualname"]
+    keyed = versions.occurrence_keys(rows.where("version is not null"), key=at, order=("start_line", "end_line", "row"))
+    near = _snapshots(spark, folder).where("after is not null").select(*BY, "version", "after")
+    before = keyed.join(near, [*BY, "version"]).drop("version").withColumnRenamed("after", "version")
+    plan = versions.reindex_plan(before, keyed, key=[*at, "n"])
+    return plan.groupBy(*BY, "version", "file", "status").agg(F.count("*").alias("n"))
+
+
 def rename_links(spark, folder):
     """Functions removed at a snapshot linked to those added at it, against the snapshot delivered before; version is the later one's.
 
@@ -202,11 +230,14 @@ lab as (select repo, subdir, lineage_id, version, content_hash, case when lag(ve
 _RANK = lambda v: f"""(select *, row_number() over (partition by qid order by score desc, lineage_id) as rank from (select concat_ws('/', repo, subdir) as qid, lineage_id, lower(regexp_replace(content_hash, '[^\\p{{L}}\\p{{N}}]', '', 'g')) as content_hash, length(text) as score
   from index_versions where version = {v} and text is not null qualify row_number() over (partition by repo, subdir, lineage_id order by row desc) = 1) qualify row_number() over (partition by qid order by score desc, lineage_id) <= 10)"""
 _KEYS = lambda v: f"(select concat_ws('/', repo, subdir, file) as file, kind, qualname, sha256(text) as h, row_number() over (partition by concat_ws('/', repo, subdir, file), kind, qualname order by start_line nulls first, end_line nulls first, row) - 1 as n, true as there from index_versions where version = {v})"
+_SNAPS = "(select *, lag(version) over (partition by repo, subdir order by version) as before from (select distinct repo, subdir, version from index_versions where version is not null))"
+_RANKS = r"""(select concat_ws('/', repo, subdir) as qid, *, row_number() over (partition by repo, subdir, version order by score desc, lineage_id) as rank from (select repo, subdir, version, lineage_id, lower(regexp_replace(content_hash, '[^\p{L}\p{N}]', '', 'g')) as content_hash, length(text) as score
+  from index_versions where version is not null and text is not null qualify row_number() over (partition by repo, subdir, version, lineage_id order by row desc) = 1) qualify row_number() over (partition by repo, subdir, version order by score desc, lineage_id) <= 10)"""
 
 QUERIES = {
     f.__name__: f
     for f in (
-        *(version_changes, version_change_totals, asof_snapshot, content_reuse, distinct_work, version_compare, lineage_groups, version_diffs, reindex_classify, rename_links, version_queries, code_hash_groups, exact_match_lookup, doc_ids, latest_history),
+        *(version_changes, version_change_totals, asof_snapshot, content_reuse, distinct_work, version_compare, version_compare_history, lineage_groups, lineage_groups_history, version_diffs, reindex_classify, reindex_history, rename_links, version_queries, code_hash_groups, exact_match_lookup, doc_ids, latest_history),
         *(code_chunks, parse_failures, structural_counts, call_graph_edges, who_calls, what_calls, where_imported, where_used, call_order, find_definitions, enclosing_definitions, location_hits, ast_families, performance_smells, corpus_audit),
     )
 }
@@ -222,6 +253,14 @@ SQL = {
     "lineage_groups": f"with h as (select qid, rank, regexp_extract(lineage_id, '^[^:]+') as file from {_RANK(1)}), f as (select *, min(rank) over (partition by qid, file) as first from h) select qid, rank, file, dense_rank() over (partition by qid order by first) as group_rank from f",
     "reindex_classify": f"""select coalesce(n.file, o.file) as file, case when o.there is null then 'added' when n.there is null then 'removed' when o.h is not distinct from n.h then 'unchanged' else 'modified' end as status, count(*) as n
       from {_KEYS(1)} o full join {_KEYS(2)} n on o.file is not distinct from n.file and o.kind is not distinct from n.kind and o.qualname is not distinct from n.qualname and o.n = n.n group by all""",
+    "version_compare_history": f"""with k as {_RANKS}, s as {_SNAPS}, b as (select k.* from k join s using (repo, subdir, version) where before is not null), a as (select k.* replace (s.version as version) from k join s on k.repo = s.repo and k.subdir = s.subdir and k.version = s.before)
+      select coalesce(a.qid, b.qid) as qid, coalesce(a.version, b.version) as version, coalesce(a.lineage_id, b.lineage_id) as lineage_id, a.rank as rank_a, b.rank as rank_b, case when a.rank is null then 'appeared' when b.rank is null then 'disappeared' when a.rank = b.rank then 'same' else 'moved' end as status,
+      a.rank - b.rank as rank_change, case when a.rank is not null and b.rank is not null then a.content_hash is distinct from b.content_hash end as content_changed from a full join b on a.qid = b.qid and a.version = b.version and a.lineage_id = b.lineage_id""",
+    "lineage_groups_history": f"with h as (select qid, version, rank, regexp_extract(lineage_id, '^[^:]+') as file from {_RANKS}), f as (select *, min(rank) over (partition by qid, version, file) as first from h) select qid, version, rank, file, dense_rank() over (partition by qid, version order by first) as group_rank from f",
+    "reindex_history": f"""with k as (select repo, subdir, version, file, kind, qualname, sha256(text) as h, row_number() over (partition by repo, subdir, version, file, kind, qualname order by start_line nulls first, end_line nulls first, row) as n from index_versions where version is not null),
+      o as (select k.* replace (s.version as version) from k join {_SNAPS} s on k.repo = s.repo and k.subdir = s.subdir and k.version = s.before)
+      select coalesce(k.repo, o.repo) as repo, coalesce(k.subdir, o.subdir) as subdir, coalesce(k.version, o.version) as version, coalesce(k.file, o.file) as file, case when o.n is null then 'added' when k.n is null then 'removed' when o.h is not distinct from k.h then 'unchanged' else 'modified' end as status, count(*) as n
+      from o full join k on o.repo = k.repo and o.subdir = k.subdir and o.version = k.version and o.file is not distinct from k.file and o.kind is not distinct from k.kind and o.qualname is not distinct from k.qualname and o.n = k.n group by all""",
     "doc_ids": r"""select row, nullif(regexp_extract(doc_id, '(?s)^(.+)@v(\d+)$', 1), '') as snippet_id, try_cast(regexp_extract(doc_id, '@v(\d+)$', 1) as int) as version,
       lower(regexp_replace(regexp_replace(qualname, '[_.]+', ' ', 'g'), '([a-z0-9])([A-Z])', '\1 \2', 'g')) || ' in ' || file as phrase from index_versions""",
     "latest_history": "select repo, subdir, version, max(modified) as modified, max(lineages) as lineages from history_ingest group by all",

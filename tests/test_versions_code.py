@@ -80,6 +80,21 @@ def test_reindex_plan(spark, rows):
     assert sorted(r["status"] for r in V.reindex_plan(old, new).collect()) == ["added", "modified", "removed", "unchanged"]
 
 
+def test_every_snapshot_is_compared(spark, tmp_path):
+    """Later snapshots, one that was not delivered, and an ingest without snapshot 1."""
+    from sextant.plans import versions as P
+
+    texts = {("r", 1): {"a": "x"}, ("r", 3): {"a": "y", "b": "x"}, ("r", 4): {"b": "x"}, ("q", 2): {"a": "x"}, ("q", 3): {"a": "x\nz"}}
+    d = [(repo, "s", f"f.py::{n}", v, "f.py", "function", n, 1, 1, t, t) for (repo, v), of in texts.items() for n, t in of.items()]
+    d = [(i, *r) for i, r in enumerate(d)]
+    spark.createDataFrame(d, "row long, repo string, subdir string, lineage_id string, version int, file string, kind string, qualname string, start_line int, end_line int, text string, content_hash string").write.parquet(str(tmp_path / "index_versions.parquet"))
+    got = {(r["repo"], r["version"], r["status"]): r["n"] for r in P.reindex_history(spark, str(tmp_path)).collect()}
+    assert got == {("q", 2, "added"): 1, ("q", 3, "modified"): 1, ("r", 1, "added"): 1, ("r", 3, "added"): 1, ("r", 3, "modified"): 1, ("r", 4, "removed"): 1, ("r", 4, "unchanged"): 1}
+    assert sorted((r["repo"], r["version"], r["added"], r["removed"]) for r in P.version_diffs(spark, str(tmp_path)).collect()) == [("q", 3, 1, 0), ("r", 3, 1, 1)]
+    assert sorted((r["qid"], r["version"], r["lineage_id"][-1], r["status"]) for r in P.version_compare_history(spark, str(tmp_path)).collect()) == [("q/s", 3, "a", "same"), ("r/s", 3, "a", "same"), ("r/s", 3, "b", "appeared"), ("r/s", 4, "a", "disappeared"), ("r/s", 4, "b", "moved")]
+    assert sorted((r["qid"], r["version"]) for r in P.lineage_groups_history(spark, str(tmp_path)).collect()) == [("q/s", 2), ("q/s", 3), ("r/s", 1), ("r/s", 3), ("r/s", 3), ("r/s", 4)]
+
+
 SOURCES = [
     ("x.py", "from y import helper as h\nimport os\n\ndef run(rows):\n    h(rows)\n    for r in rows:\n        sorted(rows)\n    return local(rows)\n\ndef local(q):\n    return 'text value'\n"),
     ("y.py", "class A:\n    def helper(self, n):\n        return self.helper(n - 1)\n\ndef helper(a):\n    os.listdir(a)\n"),
