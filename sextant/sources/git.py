@@ -84,7 +84,7 @@ def function_versions(spark: SparkSession, repo: str, most: int | None = None, s
     commits = list_commits(spark, repo, most, subdir)
     files = files_at(commits, repo, subdir)
     texts = blob_texts(files, repo)
-    chunks = chunk_files(texts.withColumnRenamed("blob", "file"), methods=True).where("kind <> 'module'").withColumnRenamed("file", "blob").drop("chunk_id")
+    chunks = chunk_files(texts.withColumnRenamed("blob", "file"), methods=True, most=None).where("kind <> 'module'").withColumnRenamed("file", "blob").drop("chunk_id")
     first = chunks.groupBy("blob", "qualname").agg(F.min_by(F.struct("start_line", "end_line", "kind", "name", "text"), "start_line").alias("x")).select("blob", "qualname", "x.*")
     hashed = with_content_hash(first, name="content_hash")
     return files.join(hashed, "blob").join(commits.select("version", "short", "date", "subject"), "version").withColumn("lineage_id", F.concat_ws("::", "file", "qualname")).drop("blob")

@@ -94,6 +94,17 @@ def test_git(spark, tmp_path):
     assert got == {("a.py::f", 1): "added", ("a.py::f", 2): "unchanged", ("a.py::f", 3): "modified", ("a.py::g", 3): "added"}
 
 
+def test_git_keeps_long_functions(spark, tmp_path):
+    repo = str(tmp_path)
+    run = lambda *a: subprocess.run(["git", "-C", repo, "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True)
+    run("init", "-q")
+    for n in (1, 3000):
+        (tmp_path / "a.py").write_text("def f():\n" + "    x = 1\n" * n)
+        run("add", ".")
+        run("commit", "-qm", "step")
+    assert sorted((r["version"], len(r["text"]) > 20_000) for r in G.function_versions(spark, repo).collect()) == [(1, False), (2, True)]
+
+
 def test_reindex_stream(spark, tmp_path):
     from sextant.streaming.reindex import reindex_stream
 
