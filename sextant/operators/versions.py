@@ -244,6 +244,33 @@ def rename_links(changes: DataFrame, by: Sequence[str], threshold: float = 0.8,
     return pairs.groupBy(*by).applyInPandas(greedy, pairs.schema)
 
 
+def file_rename_links(changes: DataFrame, renames: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Links (by, old, new, similarity) of removed functions of a renamed file to the added ones of the same qualname in the new file.
+
+    changes: by, side, id, file, qualname, name, text; renames: by, old, new (paths). Bodies may differ by any amount.
+    """
+    by = list(by)
+
+    @F.pandas_udf("double")
+    def alike(a: pd.Series, a_name: pd.Series, b: pd.Series, b_name: pd.Series) -> pd.Series:
+        count = lambda text, name: Counter(body_tokens(text or "", name))
+        return pd.Series([multiset_jaccard(count(x, m), count(y, n)) for x, m, y, n in zip(a, a_name, b, b_name)])
+
+    paths = renames.select(*by, F.col("old").alias("file"), F.col("new").alias("path"))
+    old = changes.where("side = 'removed'").select(*by, "file", "qualname", F.col("id").alias("old"), F.col("text").alias("a"), F.col("name").alias("a_name")).join(paths, [*by, "file"]).drop("file")
+    new = changes.where("side = 'added'").select(*by, F.col("file").alias("path"), "qualname", F.col("id").alias("new"), F.col("text").alias("b"), F.col("name").alias("b_name"))
+    return old.join(new, [*by, "path", "qualname"]).select(*by, "old", "new", F.round(alike("a", "a_name", "b", "b_name"), 6).alias("similarity"))
+
+
+def tracked_links(changes: DataFrame, renames: DataFrame, by: Sequence[str], threshold: float = 0.8) -> DataFrame:
+    """Links with their scope: `file` by file renames first, `function` by alike bodies among what is left."""
+    by = list(by)
+    moved = cut(file_rename_links(changes, renames, by))
+    left = lambda side, end: changes.where(F.col("side") == side).join(moved.select(*by, F.col(end).alias("id")), [*by, "id"], "left_anti")
+    alike = rename_links(left("removed", "old").unionByName(left("added", "new")), by, threshold)
+    return moved.withColumn("scope", F.lit("file")).unionByName(alike.withColumn("scope", F.lit("function")))
+
+
 # ---- reindexing ----
 def occurrence_keys(chunks: DataFrame, key: Sequence[str] = ("file", "kind", "qualname"), order: Sequence[str] = ("start_line", "end_line")) -> DataFrame:
     """Chunks with n (0-based occurrence of their key) and text_hash (of the exact text)."""

@@ -8,9 +8,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sextant.operators.code import SKIP_DIRS, chunk_files
-from sextant.operators.versions import with_content_hash
+from sextant.operators.versions import tracked_links, with_content_hash
+from sextant.runtime import cut
 
 
 def git(repo: str, *args: str, check: bool = True) -> bytes:
@@ -88,3 +90,18 @@ def function_versions(spark: SparkSession, repo: str, most: int | None = None, s
     first = chunks.groupBy("blob", "qualname").agg(F.min_by(F.struct("start_line", "end_line", "kind", "name", "text"), "start_line").alias("x")).select("blob", "qualname", "x.*")
     hashed = with_content_hash(first, name="content_hash")
     return files.join(hashed, "blob").join(commits.select("version", "short", "date", "subject"), "version").withColumn("lineage_id", F.concat_ws("::", "file", "qualname")).drop("blob")
+
+
+def function_links(spark: SparkSession, repo: str, most: int | None = None, subdir: str | None = None, threshold: float = 0.8) -> DataFrame:
+    """(version, old, new, similarity, scope) of functions that go on under another `file::qualname` at a commit.
+
+    Functions of a file that git takes for renamed go on at the same qualname in the new file (scope file); of the others,
+    those that were removed go on in added ones of alike bodies (scope function).
+    """
+    commits = list_commits(spark, repo, most, subdir)
+    near = Window.partitionBy("lineage_id").orderBy("version")
+    placed = cut(function_versions(spark, repo, most, subdir)).withColumn("was", F.lag("version").over(near)).withColumn("comes", F.lead("version").over(near))
+    gone = placed.where("comes is null or comes > version + 1").withColumn("version", F.col("version") + 1).join(commits.select("version"), "version", "left_semi").withColumn("side", F.lit("removed"))
+    come = placed.where("version > 1 and (was is null or was < version - 1)").withColumn("side", F.lit("added"))
+    changes = gone.unionByName(come).select("version", "side", F.col("lineage_id").alias("id"), "file", "kind", "name", "qualname", "text")
+    return tracked_links(changes, file_renames(commits, repo), ["version"], threshold)

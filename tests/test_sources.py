@@ -105,6 +105,26 @@ def test_git_keeps_long_functions(spark, tmp_path):
     assert sorted((r["version"], len(r["text"]) > 20_000) for r in G.function_versions(spark, repo).collect()) == [(1, False), (2, True)]
 
 
+def test_git_links_by_file_rename(spark, tmp_path):
+    """Short and changed functions of a renamed file are linked by the file, others by their bodies."""
+    repo = str(tmp_path)
+    run = lambda *a: subprocess.run(["git", "-C", repo, "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True)
+    run("init", "-q")
+    filler = "".join(f"NAME_{i} = {i} * {i}\n" for i in range(60))
+    body = "def {}(items):\n    total = 0\n    for x in items:\n        total += x\n    return total\n"
+    (tmp_path / "a.py").write_text(filler + "def f():\n    return 1\n\ndef g(n):\n    return sorted(n)\n")
+    (tmp_path / "c.py").write_text(body.format("old"))
+    run("add", ".")
+    run("commit", "-qm", "one")
+    (tmp_path / "a.py").unlink()
+    (tmp_path / "b.py").write_text(filler + "def f():\n    return 1\n\ndef g(n):\n    import os\n    os.remove(str(n))\n")
+    (tmp_path / "c.py").write_text(body.format("new"))
+    run("add", ".")
+    run("commit", "-qm", "two")
+    got = sorted((r["version"], r["old"], r["new"], r["scope"]) for r in G.function_links(spark, repo).collect())
+    assert got == [(2, "a.py::f", "b.py::f", "file"), (2, "a.py::g", "b.py::g", "file"), (2, "c.py::old", "c.py::new", "function")]
+
+
 def test_reindex_stream(spark, tmp_path):
     from sextant.streaming.reindex import reindex_stream
 
