@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sextant.operators.ranking import top_k
-from sextant.runtime import busy, shuffle_parts
+from sextant.runtime import busy, cut, shuffle_parts
 
 #: Queries that are broadcast at once (4,096 vectors of 64 singles are 1 MB); more are worked on in blocks.
 QUERY_BLOCK = 4096
@@ -127,17 +127,25 @@ def delta_vectors(base: DataFrame, entries: DataFrame, lineage: str = "lineage",
 def delta_search(base: DataFrame, entries: DataFrame, queries: DataFrame, k: int = 10, lineage_k: int | None = None, lineage: str = "lineage", hash: str = "hash", dim: int = 64) -> DataFrame:
     """Two-stage search: the best lineages by their unit base, then their rebuilt vectors by plain dot product.
 
-    queries: (qid, embedding), at most QUERY_BLOCK. Returns qid, rank, lineage, hash, score.
+    queries: (qid, embedding); they are broadcast in blocks of about QUERY_BLOCK by hash of qid. Returns qid, rank,
+    lineage, hash, score.
     """
-    if queries.count() > QUERY_BLOCK:
-        raise ValueError("ask in blocks of at most QUERY_BLOCK queries")
     keep = lineage_k or max(3 * k, 20)
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     bases = base.groupBy(lineage).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "base"))), lambda p: p["base"]).alias("b"))
-    asked = F.broadcast(queries.select("qid", unit(F.col("embedding")).alias("q")))
-    first = bases.crossJoin(asked).select("qid", lineage, F.round(dot(F.col("q"), unit(F.col("b"))), 6).alias("s"))
-    near = first.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("s"), lineage))).where(F.col("n") <= keep).select("qid", lineage)
-    scored = delta_vectors(base, entries, lineage, hash).join(near, lineage).join(asked, "qid").select("qid", lineage, hash, F.round(dot(F.col("q"), F.col("embedding")), 6).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), lineage, hash))).where(F.col("rank") <= k).select("qid", "rank", lineage, hash, "score")
+    vectors = delta_vectors(base, entries, lineage, hash)
+    if blocks > 1:  # every block reads them
+        bases, vectors = cut(bases), cut(vectors)
+    out = None
+    for b in range(blocks):
+        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
+        asked = F.broadcast(part.select("qid", unit(F.col("embedding")).alias("q")))
+        first = bases.crossJoin(asked).select("qid", lineage, F.round(dot(F.col("q"), unit(F.col("b"))), 6).alias("s"))
+        near = first.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("s"), lineage))).where(F.col("n") <= keep).select("qid", lineage)
+        scored = vectors.join(near, lineage).join(asked, "qid").select("qid", lineage, hash, F.round(dot(F.col("q"), F.col("embedding")), 6).alias("score"))
+        best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), lineage, hash))).where(F.col("rank") <= k).select("qid", "rank", lineage, hash, "score")
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def spherical_kmeans(vectors: DataFrame, id: str = "row", embedding: str = "embedding", clusters: int = 12, rounds: int = 10, dim: int = 64) -> DataFrame:

@@ -175,6 +175,18 @@ def test_delta_round_trip(spark):
         assert np.allclose(back[lineage, h], e, atol=0.03)
 
 
+def test_delta_search_in_blocks(spark, rows, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(i, f"l{i % 5}", f"h{i}", [float(x) for x in rng.normal(size=8)]) for i in range(30)], "row long, lineage string, hash string, embedding array<double>")
+    base, entries = D.delta_entries(df)
+    asked = df.select(F.col("row").alias("qid"), "embedding")
+    whole = rows(D.delta_search(base, entries, asked, k=3, lineage_k=2, dim=8))
+    monkeypatch.setattr(D, "QUERY_BLOCK", 8)
+    assert len(whole) == 90 and rows(D.delta_search(base, entries, asked, k=3, lineage_k=2, dim=8)) == whole
+
+
 def test_plan_has_group_limit(spark):
     from sextant.operators.ranking import top_k
 
