@@ -25,10 +25,13 @@ WORD = re.compile(r"[^\W\d_]{3,}")
 SENTENCE = re.compile(r"(?<=[.!?])[\s*_#/>]+|\n[ \t\r]*\n")
 HEADING = re.compile(r"(?m)^\s*#+ +(.+)$|\A\s*([^\n.]{3,80})\n")
 ADDRESS = re.compile(r"(?:https?://|www\.)\S+|\S+@\S+\.\w+|[\w/]+\.\w{2,4}\b(?!\s)")
-#: Words of the model per subject, at most; it goes to every task.
+#: Words of the model per subject, at most; it goes to every task. More raise an error.
 LEXICON = 3000
-#: Documents in which a word must occur, and part of them (by subject) that must agree.
+#: Subjects, at most. More raise an error.
+SUBJECTS = 1000
+#: Documents in which a word must occur, and part of them (by subject) that must agree; SEED_SUPPORT among labelled ones.
 SUPPORT, PURITY = 4, 0.7
+SEED_SUPPORT = 3
 #: Sentences that make a subject.
 SENTENCES = 4
 _FLUSH = 300_000
@@ -94,12 +97,16 @@ def _count_pairs(texts: DataFrame, lexicon: dict | None, column: str = "subjects
 
 
 def _lexicon(counts: DataFrame, prior: dict[int, float], support: int, purity: float, size: int) -> dict[str, tuple[int, float]]:
-    """Words that speak for one subject: at most `size` per subject, those with the most documents."""
+    """Words that speak for one subject; more than `size` of a subject raise ValueError."""
     whole = counts.where("subject = -1").select("word", F.col("n").alias("all"))
     good = counts.where("subject >= 0").join(whole, "word").where((F.col("all") >= support) & (F.col("n") >= purity * F.col("all")))
-    place = F.row_number().over(Window.partitionBy("subject").orderBy(F.desc("n"), "word"))
-    rows = good.where(F.col("subject").isin(*prior)).withColumn("place", place).where(F.col("place") <= size).collect()  # at most `size` words of each of a few subjects
-    return {r["word"]: (r["subject"], float(np.log((r["n"] / r["all"]) / max(prior[r["subject"]], 1e-3)))) for r in rows if r["n"] / r["all"] > 1.5 * prior[r["subject"]]}
+    share = F.element_at(F.create_map(*[F.lit(x) for s, p in prior.items() for x in (int(s), float(p))]), F.col("subject"))
+    kept = good.where(F.col("subject").isin(*prior)).where(F.col("n") / F.col("all") > 1.5 * share)
+    place = F.row_number().over(Window.partitionBy("subject").orderBy("word"))
+    rows = kept.withColumn("place", place).where(F.col("place") <= size + 1).collect()  # at most one word too many of each of a few subjects
+    if any(r["place"] > size for r in rows):
+        raise ValueError(f"more than {size} words speak for one subject; give learn_lexicon a greater size")
+    return {r["word"]: (r["subject"], float(np.log((r["n"] / r["all"]) / max(prior[r["subject"]], 1e-3)))) for r in rows}
 
 
 def learn_lexicon(documents: DataFrame, labels: DataFrame, names: list[str], rounds: int = 2, support: int = SUPPORT, purity: float = PURITY, size: int = LEXICON) -> dict[str, tuple[int, float]]:
@@ -114,8 +121,7 @@ def learn_lexicon(documents: DataFrame, labels: DataFrame, names: list[str], rou
     if not prior:
         return {}
     parts = shuffle_parts(documents.sparkSession)
-    least = 3 if count < 1000 else support
-    lexicon = _lexicon(_count_pairs(labelled.repartition(parts), None), prior, least, 0.55, size)
+    lexicon = _lexicon(_count_pairs(labelled.repartition(parts), None), prior, min(SEED_SUPPORT, support), 0.55, size)
     texts = cut(documents.where("text is not null").select("text").groupBy("text").count().select("text").repartition(parts))
     for _ in range(rounds):
         lexicon = _lexicon(_count_pairs(texts, lexicon), {s: max(prior.get(s, 0), 0.02) for s in range(len(names))}, support, purity, size) or lexicon
@@ -177,8 +183,11 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
     other spelling (case, outer blanks) count, unknown ones do not. Equal texts get equal lexicon votes. Without usable
     labels the result is empty.
     """
-    names = [r["s"] for r in subjects.select(F.lower(F.trim("subject")).alias("s")).where("s is not null").distinct().orderBy("s").limit(1000).collect()]
-    written = {r["s"]: r["subject"] for r in subjects.select(F.lower(F.trim("subject")).alias("s"), "subject").where("s is not null").orderBy("subject").limit(1000).collect()}
+    listed = subjects.select(F.lower(F.trim("subject")).alias("s"), "subject").where("s is not null").groupBy("s").agg(F.max("subject").alias("subject")).orderBy("s").limit(SUBJECTS + 1).collect()
+    if len(listed) > SUBJECTS:
+        raise ValueError(f"more than {SUBJECTS} subjects")
+    names = [r["s"] for r in listed]
+    written = {r["s"]: r["subject"] for r in listed}
     slim = documents.select(F.col(id).alias("id"), F.col(text).alias("text"), F.lower(F.trim(F.col(source))).alias("source")).where(F.col("text").rlike(r"\S"))
     lexicon = learn_lexicon(slim, labels.select(F.col(id).alias("id"), "subject"), names)
     kind = slim.schema["id"].dataType.simpleString()

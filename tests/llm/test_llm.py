@@ -444,6 +444,19 @@ def test_subjects_held_out(spark):
     assert subjects.document_subjects(d, lab.where("false"), names).count() == 0
 
 
+def test_subjects_one_rule_and_bounds(spark, monkeypatch):
+    """Words of three labelled texts count at any number of labels; more words or subjects than the bounds are an error."""
+    docs = [(i, f"text {'rareword' if i < 3 else 'other'} number {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}x") for i in range(1200)]
+    d = spark.createDataFrame(docs, "id long, text string")
+    lab = spark.createDataFrame([(i, "law" if i < 300 else "sport") for i in range(1200)], "id long, subject string")
+    assert subjects.learn_lexicon(d, lab, ["law", "sport"], rounds=0)["rareword"][0] == 0
+    with pytest.raises(ValueError, match="words speak for one subject"):
+        subjects.learn_lexicon(d, lab, ["law", "sport"], rounds=0, size=0)
+    monkeypatch.setattr(subjects, "SUBJECTS", 1)
+    with pytest.raises(ValueError, match="subjects"):
+        subjects.document_subjects(d.withColumn("source", F.lit("s")), lab, spark.createDataFrame([("law",), ("sport",)], "subject string"), id="id")
+
+
 def test_only_the_entry_names_this_package():
     import os
 
