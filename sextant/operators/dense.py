@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sextant.operators.ranking import top_k
-from sextant.runtime import busy, cut, shuffle_parts
+from sextant.runtime import busy, cut
 
 #: Queries that are broadcast at once (4,096 vectors of 64 singles are 1 MB); more are worked on in blocks.
 QUERY_BLOCK = 4096
@@ -151,7 +151,7 @@ def delta_search(base: DataFrame, entries: DataFrame, queries: DataFrame, k: int
 def spherical_kmeans(vectors: DataFrame, id: str = "row", embedding: str = "embedding", clusters: int = 12, rounds: int = 10, dim: int = 64) -> DataFrame:
     """(id, cluster): Lloyd rounds by cosine, started from the vectors of least hash; an empty cluster keeps its centre."""
     spark = vectors.sparkSession
-    slim = vectors.select(F.col(id).alias("id"), F.col(embedding).alias("e")).where(usable(F.col("e"), dim)).repartition(shuffle_parts(spark))
+    slim = busy(vectors.select(F.col(id).alias("id"), F.col(embedding).alias("e")).where(usable(F.col("e"), dim)))
     seeds = slim.orderBy(F.xxhash64("id"), "id").limit(clusters).select("e").toPandas()
     if not len(seeds):
         return slim.select(F.col("id").alias(id), F.lit(0).alias("cluster"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sextant.functions.text import code_tokens
 from sextant.operators.ranking import top_k
-from sextant.runtime import cut, shuffle_parts
+from sextant.runtime import busy, cut
 
 #: Rows of query terms that are broadcast, at most (some 60 bytes each).
 BROADCAST_TERMS = 500_000
@@ -16,9 +16,9 @@ BROADCAST_TERMS = 500_000
 def postings(docs: DataFrame, id: str = "row", text: str = "text", least: int = 1) -> DataFrame:
     """(id, tok, tf, dl): term counts and document lengths. Null texts have no terms.
 
-    Texts are spread by id once; counting terms and, later, summing scores per document then need no shuffle.
+    Terms are counted where the text is read (a text lies in one partition, so its counts are whole before the shuffle).
     """
-    tokens = docs.select(id, text).repartition(shuffle_parts(docs.sparkSession), id).select(F.col(id), code_tokens(F.col(text), least=least).alias("t")).where("t is not null").select(id, F.size("t").cast("long").alias("dl"), F.explode("t").alias("tok"))
+    tokens = busy(docs.select(id, text)).select(F.col(id), code_tokens(F.col(text), least=least).alias("t")).where("t is not null").select(id, F.size("t").cast("long").alias("dl"), F.explode("t").alias("tok"))
     return tokens.groupBy(id, "dl", "tok").agg(F.count("*").alias("tf"))
 
 
@@ -67,7 +67,7 @@ def tfidf_topk(docs: DataFrame, queries: DataFrame, k: int = 10, id: str = "row"
     n = docs.agg(F.count("*").alias("n"))
     idf = tf.groupBy("tok").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("tok", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     doc = tf.join(idf, "tok").select(id, "tok", (F.col("tf") / F.col("dl") * F.col("idf")).alias("w"))
-    doc = cut(doc.repartition(shuffle_parts(docs.sparkSession), id))
+    doc = cut(doc)
     norm = doc.groupBy(id).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
     asked = postings(queries.select(F.col(qid).alias("qid"), F.col(query).alias("q")), "qid", "q").join(idf, "tok").select("qid", "tok", (F.col("tf") / F.col("dl") * F.col("idf")).alias("qw"))
     q_norm = asked.groupBy("qid").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sextant.operators import ranking
-from sextant.runtime import shuffle_parts
+from sextant.runtime import busy
 
 # ---- fixed values: defaults of the pipeline ----
 DEFAULTS = {
@@ -69,7 +69,7 @@ def hard_negatives(ranked: DataFrame, positives: DataFrame, n: int = 5) -> DataF
 
 def by_length(rows: DataFrame, text: str = "text") -> DataFrame:
     """Rows longest first within each partition, so that batches of an encoder hold texts of like length."""
-    return rows.repartition(shuffle_parts(rows.sparkSession)).sortWithinPartitions(F.desc(F.length(text)))
+    return busy(rows).sortWithinPartitions(F.desc(F.length(text)))
 
 
 def mock_description(text: Column) -> Column:

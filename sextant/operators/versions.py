@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from sextant.runtime import cut, shuffle_parts
+from sextant.runtime import busy, cut
 
 
 # ---- canonical code ----
@@ -35,20 +35,20 @@ def hash_form(text: str) -> str:
 
 
 def match_form(text: str) -> str:
-    """Canonical code for exact match: comments by the tokenizer, blank lines dropped, dedented unless strings span lines."""
-    text = text.replace("\r\n", "\n").replace("\r", "\n")
+    """Canonical code for exact match: comments by the tokenizer, blank lines dropped, dedented unless strings span lines.
+
+    Lines that a string spans stay as they are; what cannot be read only loses its last line ends.
+    """
+    text = re.sub("\r\n?", "\n", text)
     try:
-        found = list(tokenize.generate_tokens(io.StringIO(text).readline))
+        marks = [(t.type, *t.start, t.end[0]) for t in tokenize.generate_tokens(io.StringIO(text).readline)]
     except (tokenize.TokenError, SyntaxError):
         return text.rstrip("\n")
-    lines, fixed = text.splitlines(), set()
-    for t in found:
-        if t.type == tokenize.STRING and t.end[0] > t.start[0]:
-            fixed |= set(range(t.start[0], t.end[0] + 1))
-        elif t.type == tokenize.COMMENT:
-            lines[t.start[0] - 1] = lines[t.start[0] - 1][: t.start[1]]
-    out = "\n".join(s if n in fixed else s.rstrip() for n, s in enumerate(lines, 1) if n in fixed or s.strip())
-    return out if fixed else textwrap.dedent(out)
+    remark = {row: column for kind, row, column, _ in marks if kind == tokenize.COMMENT}
+    held = {n for kind, row, _, last in marks if kind == tokenize.STRING for n in range(row, last + 1) if last > row}
+    shaped = ((n in held, line[: remark.get(n)]) for n, line in enumerate(text.splitlines(), 1))
+    body = "\n".join(line if fixed else line.rstrip() for fixed, line in shaped if fixed or line.strip())
+    return body if held else textwrap.dedent(body)
 
 
 def _digests(form):
@@ -173,12 +173,15 @@ _LAYOUT = {tokenize.COMMENT, tokenize.NL, tokenize.NEWLINE, tokenize.INDENT, tok
 
 
 def body_tokens(text: str, own: str | None) -> list[str]:
-    """Tokens without layout and comments; the function's own name as <self>. What cannot be read is cut at white space."""
+    """Tokens without layout and comments, the function's own name as <self>; of what cannot be read those before the fault."""
+    found: list[str] = []
     try:
-        found = [t.string for t in tokenize.generate_tokens(io.StringIO(textwrap.dedent(text)).readline) if t.type not in _LAYOUT]
+        for t in tokenize.generate_tokens(io.StringIO(text).readline):
+            if t.type not in _LAYOUT:
+                found.append("<self>" if t.type == tokenize.NAME and t.string == own else t.string)
     except (tokenize.TokenError, SyntaxError):
-        found = text.split()
-    return ["<self>" if t == own else t for t in found]
+        pass
+    return found
 
 
 def multiset_jaccard(a: Counter, b: Counter) -> float:
@@ -187,7 +190,7 @@ def multiset_jaccard(a: Counter, b: Counter) -> float:
     return sum((a & b).values()) / whole if whole else 0.0
 
 
-def rename_links(changes: DataFrame, by: Sequence[str], threshold: float = 0.8, least: int = 8, size_step: float = 1.25) -> DataFrame:
+def rename_links(changes: DataFrame, by: Sequence[str], threshold: float = 0.8, least: int = 8) -> DataFrame:
     """One-to-one links of removed to added functions of the same kind with multiset Jaccard of at least `threshold`.
 
     changes: by, side (`removed` or `added`), id, kind, name, text; ids are unique within by and side. Best pairs first,
@@ -217,7 +220,7 @@ def rename_links(changes: DataFrame, by: Sequence[str], threshold: float = 0.8,
         return pd.Series([multiset_jaccard(Counter(x), Counter(y)) for x, y in zip(a, b)])
 
     slim = changes.where(F.col("text").isNotNull()).select(*by, "side", "id", "kind", "name", "text")
-    sized = cut(slim.repartition(shuffle_parts(changes.sparkSession)).withColumn("tok", tokens("text", "name")).where(F.size("tok") >= least).select(*by, "side", "id", "kind", "tok"))
+    sized = cut(busy(slim).withColumn("tok", tokens("text", "name")).where(F.size("tok") >= least).select(*by, "side", "id", "kind", "tok"))
     n = F.size("tok")
     spread = sized.select(*by, "side", "id", "kind", n.alias("n"), F.explode(numbered("tok")).alias("t"))
     rare = F.row_number().over(Window.partitionBy(*by, "side", "id").orderBy("df", "t"))

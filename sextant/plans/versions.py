@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sextant.functions import text as T
-from sextant.operators import code, evaluate, versions
+from sextant.operators import code, evaluate, shape, versions
 from sextant.runtime import canonical, table
 
 BY = ["repo", "subdir"]
@@ -212,11 +212,11 @@ def location_hits(spark, folder):
 
 
 def ast_families(spark, folder):
-    return code.families(table(spark, folder, "index_rows"))
+    return shape.families(table(spark, folder, "index_rows"))
 
 
 def performance_smells(spark, folder):
-    return code.smells(table(spark, folder, "index_rows"))
+    return shape.smells(table(spark, folder, "index_rows"))
 
 
 def corpus_audit(spark, folder):

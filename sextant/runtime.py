@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 import numpy as np
@@ -18,13 +19,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise `df` in the checkpoint folder that all executors share.
 
-    The folder is the session's own (spark.checkpoint.dir). Only where none is set, as in tests on one machine,
-    a temporary one is made.
+    The folder is the session's own (spark.checkpoint.dir). Only where none is set and the master is local, so that one
+    machine holds everything, a temporary one is made; on a cluster a missing setting raises RuntimeError.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sextant-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sextant-"))
     return df.checkpoint()
 
 

@@ -24,10 +24,14 @@ def test_top_k_ties(spark):
 
 
 def test_rrf(spark):
-    out = R.rrf([ranked(spark, {"q": [1, 2, 3]}), ranked(spark, {"q": [3, 2, 9]})])
+    lists = {"a": [40, 70, 20, 10], "b": [20, 90, 70]}
+    out = R.rrf([ranked(spark, {"q": lists["a"]}), ranked(spark, {"q": lists["b"]})], [1.0, 0.5], k=10)
+    want = {row: sum(w / (10 + x.index(row) + 1) for x, w in zip(lists.values(), (1.0, 0.5)) if row in x) for row in {*lists["a"], *lists["b"]}}
     got = {r["row"]: r["score"] for r in out.collect()}
-    assert order(out)[0] == 3 and got[2] == pytest.approx(2 / 62) and got[1] == pytest.approx(1 / 61)
-    assert order(R.rrf([ranked(spark, {"q": [1, 2]}), ranked(spark, {"q": [2, 1]})]))[0] == 1
+    assert got == {row: pytest.approx(v, abs=1e-9) for row, v in want.items()}
+    assert order(out) == sorted(want, key=lambda row: -want[row])
+    # equal scores: the row that the first list ranks best comes first
+    assert order(R.rrf([ranked(spark, {"q": [7, 5]}), ranked(spark, {"q": [5, 7]})])) == [7, 5]
 
 
 def test_normalise_and_fuse(spark):

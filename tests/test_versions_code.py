@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from sextant.operators import code as C
 from sextant.operators import dense as D
 from sextant.operators import lexical as L
+from sextant.operators import shape as S
 from sextant.operators import versions as V
 
 
@@ -122,12 +123,32 @@ def test_chunks(spark):
     assert ast.parse(got["x.py:4-8"]["text"])
 
 
-def test_families_and_smells():
-    assert C.family_of("def f(n, memo={}):\n    return f(n - 1)")[0] == "dynamic_programming"
-    assert C.family_of("def f(n):\n    return f(n - 1)")[0] == "recursion"
-    assert C.family_of("x = sorted(y)")[0] == "sorting" and C.family_of("def (")[0] == "other"
-    found = C.smells_of("def f(xs):\n    seen = []\n    s = ''\n    for x in xs:\n        if x in seen:\n            s += 'a'\n        for y in xs:\n            pass\n        len(xs)\n")
-    assert [(c, line) for c, line, _ in found] == [("membership_test_on_list", 5), ("string_concat_in_loop", 6), ("nested_loop_same_collection", 7), ("loop_invariant_call", 9)]
+def test_families_and_smells(spark, rows):
+    texts = {
+        1: "def walk(n, memo={}):\n    return walk(n - 1)",
+        2: "def down(n):\n    return down(n - 1)",
+        3: "x = sorted(y)",
+        4: "def (",
+        5: "",
+        6: "import heapq",
+        7: "def f(g):\n    for v in g.neighbors:\n        visited = v",
+        8: "for i in a:\n    for j in b:\n        c[i][j] = d[i]",
+        9: "pad = s.strip().lower()",
+        10: None,
+    }
+    df = spark.createDataFrame(list(texts.items()), "row long, text string").withColumn("parses", F.lit("clash"))
+    got = {r["row"]: (r["ast_family"], r["ast_reason"]) for r in S.families(df).collect()}
+    assert {k: v[0] for k, v in got.items()} == {1: "dynamic_programming", 2: "recursion", 3: "sorting", 4: "other", 5: "other", 6: "heap_priority", 7: "graph_search", 8: "matrix_grid", 9: "string_processing"}
+    assert got[7][1] == "graph vocabulary (neighbors, visited)" and got[4][1] == "does not parse as Python"
+    body = "def f(rows):\n    known = []\n    out = ''\n    for r in rows:\n        if r in known:\n            out += 'a'\n        for q in rows:\n            pass\n        len(rows)\n"
+    code = spark.createDataFrame([(1, 11, body), (2, 1, "known = []\nwhile a:\n    b = a in known"), (3, 1, "def g():\n    pass\nfor x in y:\n    for z in y:\n        pass"), (4, 1, None)], "row long, at int, text string")
+    found = rows(S.smells(code, start=F.col("at")).select("row", "line", "check", "severity"))
+    assert found == [(1, 15, "membership_test_on_list", "medium"), (1, 16, "string_concat_in_loop", "medium"), (1, 17, "nested_loop_same_collection", "high"), (1, 19, "loop_invariant_call", "low"), (2, 3, "membership_test_on_list", "medium")]
+    told = {r["check"]: r["detail"] for r in S.smells(code).collect()}
+    assert told["loop_invariant_call"].startswith("`len(...)` inside a loop uses none of the loop variables (r)")
+    assert S.smells(code.limit(0)).count() == 0 and S.families(df.limit(0)).count() == 0
+    deep = "x = " + "(" * 50 + "1" + ")" * 50 + "\n" + "".join("    " * i + "if a:\n" for i in range(90)) + "    " * 90 + "pass\n"
+    assert S.shape_of(deep)[0]
 
 
 def test_bm25_against_plain(spark):
