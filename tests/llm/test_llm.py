@@ -141,16 +141,30 @@ def test_edit_distance():
             assert overlaps.edit_distance(a, b, limit) == min(d, limit + 1), (a, b, limit)
 
 
-def test_select_windows_is_least():
+def test_windows_are_the_cheapest():
     from itertools import combinations
 
     rng = random.Random(2)
+    costs, need = [np.array([rng.randint(0, 5) for _ in range(rng.randint(6, 10))]) for _ in range(50)], [rng.randint(1, 3) for _ in range(50)]
+    for c, k, got in zip(costs, need, overlaps.cheapest_windows(costs, 2, need)):
+        best = min(sum(c[i] for i in w) for w in combinations(range(len(c)), k) if all(y - x >= 2 for x, y in zip(w, w[1:])))
+        assert len(got) == k and all(y - x >= 2 for x, y in zip(got, got[1:])) and c[got].sum() == best
+    long = [np.arange(9000) % 7, np.arange(5)]  # cut into segments
+    for c, k, got in zip(long, [1500, 2], overlaps.probes(long, 4, [1500, 2])):
+        assert len(got) == k and (np.diff(got) >= 4).all() and got.max() < len(c)
+
+
+def test_winnowing_agrees_on_shared_stretches():
+    rng = np.random.default_rng(5)
+    counts = rng.integers(0, 4, 1 << 10)
     for _ in range(50):
-        n, k, need = 10, 2, 3
-        counts = np.array([rng.randint(0, 5) for _ in range(n - k + 1)])
-        got = overlaps.select_windows(np.flatnonzero(counts), counts[counts > 0], n, k, need)
-        best = min(sum(counts[i] for i in c) for c in combinations(range(n - k + 1), need) if all(b - a >= k for a, b in zip(c, c[1:])))
-        assert sum(counts[i] for i in got) == best
+        shared = rng.integers(0, 1 << 62, 5).astype(np.uint64)
+        sides = []
+        for n in rng.integers(0, 9, 2):
+            own = rng.integers(0, 1 << 62, n).astype(np.uint64)
+            grams = overlaps.rolling(np.concatenate([own, shared, own[::-1]]), 3)
+            sides.append(set(grams[overlaps.winnow(grams, counts[(grams % np.uint64(1 << 10)).astype(int)], 3)].tolist()))
+        assert sides[0] & sides[1]
 
 
 def mutate(rng, ws, n):
@@ -186,11 +200,25 @@ def test_overlaps(spark, rows):
     found = {(r["train_id"], r["eval_id"]): r for r in got.collect()}
     assert set(found) == want and len(want) > 40
     assert found["t1", "e1"]["coverage"] == 1 and all(0.85 - 1e-9 <= r["coverage"] <= 1 for r in found.values())
+    # tables that fill up let more fingerprints through, the result stays
+    assert {(r["train_id"], r["eval_id"]) for r in overlaps.cross_split_overlaps(make(train), make(held), sketch_bits=4, map_bits=4, spare=0).collect()} == want
     assert overlaps.cross_split_overlaps(make(train).where("false"), make(held)).count() == 0
     report = overlaps.overlap_report(got, spark.createDataFrame([("e1", "test", None), ("e1", "test", None), ("e3", "test", "s")], "qid string, split string, source string"))
     assert rows(report.select("split", "source", "records", "overlapping")) == [("test", "s", 1, 0), ("test", None, 1, 1)]
 
 
+def test_overlaps_of_very_long_and_hot_texts(spark):
+    rng = random.Random(4)
+    base = [f"w{rng.randint(0, 400)}" for _ in range(6000)]
+    plain = "the first line holds one number and the second line holds another number of the same kind " * 3
+    train = [("long", " ".join(base))] + [(f"t{i}", plain + f"note {i} {i * 7}") for i in range(40)] + [(f"copy{i}", plain) for i in range(30)]
+    held = [("near", " ".join(mutate(rng, base, 800))), ("far", " ".join(mutate(rng, base, 1300)))] + [(f"e{i}", plain + f"remark {i} {i * 11}") for i in range(40)]
+    make = lambda d: spark.createDataFrame(d, "qid string, text string")
+    got = {(r["train_id"], r["eval_id"]) for r in overlaps.cross_split_overlaps(make(train), make(held)).collect()}
+    assert {x for x in got if "long" in x} == {("long", "near")}
+    assert got - {("long", "near")} == {(t, e) for t, _ in train[1:] for e, _ in held[2:]}
+
+
 # ---- neighbours ----
 def test_neighbours(spark):
     rng = np.random.default_rng(0)
