@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sextant.runtime import busy, cut, words
+from sextant.runtime import busy, cut
 
 #: Texts of at least so many words are fingerprinted by three words, shorter ones by two.
 LONG = 20
@@ -222,7 +222,9 @@ def cross_split_overlaps(train: DataFrame, evaluation: DataFrame, id: str = "qid
     spark = train.sparkSession
     shortest_long = int(np.ceil(LONG * (1 - share) - 1e-9))  # words of the shortest partner of a long text
     longest_short = longest_partner(LONG - 1, share)
-    side = lambda rows, held: busy(rows.select(F.col(id).alias("id"), F.col(text).alias("t")).where("id is not null")).select("id", F.lit(held).alias("held"), F.array_join(words(F.col("t")), " ").alias("s")).where("s <> ''")
+    plain = F.trim(F.regexp_replace(F.lower("t"), r"[^\p{L}\p{N}]+", " "))  # the words, parted by one blank
+    wordy = F.col("id").isNotNull() & F.col("t").rlike(r"[\p{L}\p{N}]")
+    side = lambda rows, held: busy(rows.select(F.col(id).alias("id"), F.col(text).alias("t")).where(wordy)).select("id", F.lit(held).alias("held"), plain.alias("s"))
     base = cut(side(train, False).unionByName(side(evaluation, True)).withColumn("digest", F.unhex(F.md5("s"))))
     grouped = base.groupBy("digest").agg(F.first("s").alias("s"), F.bool_or("held").alias("held"), F.bool_or(~F.col("held")).alias("trained"))
     texts = cut(grouped.withColumn("key", F.monotonically_increasing_id()))  # the cut fixes the keys

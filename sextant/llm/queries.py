@@ -40,12 +40,11 @@ def p3_records(spark, folder):
 
 def _splits(spark, folder):
     """Training (tune) and evaluation (holdout, test) queries; the latter with their split."""
-    rows = table(spark, folder, "queries")
     part = table(spark, folder, "query_split").select("qid", F.lower(F.regexp_replace("part", r"^\s+|\s+$", "")).alias("part")).distinct()
-    parted = rows.where("partition = 'train'").join(part, "qid")
-    held = parted.where("part = 'holdout'").select("qid", "text", "source", F.lit("holdout").alias("split"))
-    test = rows.where("partition = 'test'").select("qid", "text", "source", F.lit("test").alias("split"))
-    return parted.where("part = 'tune'").select("qid", "text", "source"), held.unionByName(test)
+    parted = table(spark, folder, "queries").select("qid", "text", "source", "partition").join(part, "qid", "left")
+    split = F.when(F.col("partition") == "test", "test").when((F.col("partition") == "train") & (F.col("part") == "holdout"), "holdout")
+    held = parted.withColumn("split", split).where("split is not null").select("qid", "text", "source", "split")
+    return parted.where("partition = 'train' and part = 'tune'").select("qid", "text", "source"), held
 
 
 def p4_found(spark, folder):
