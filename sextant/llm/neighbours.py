@@ -1,12 +1,15 @@
 """The k most similar vectors of every vector, by a permutation index.
 
-A vector is represented by its ordered nearest pivots and posted, in the inverted file of the nearest one, under the
-second. A query visits the files of its own nearest pivots. There it ranks the lists (first pivot, second pivot) by
-the footrule distance between their order and its own, takes the lists within a bound, and reranks what they hold by
-exact cosine. Pivots are centres of a bounded sample; everything else covers all rows.
-
-Equal vectors are worked on once and carry the least k + 1 of their ids, which is all that k neighbours can need. Files
-and the queries that visit them are split into blocks of bounded size, so no pivot can overload a task.
+A vector is represented by the order of its nearest pivots. It is posted in the inverted files of its POSTS nearest
+pivots, with the prefix of its order; a query looks into the files of its own nearest pivots, ranks what is posted there by
+the footrule distance between the two prefixes, and reranks the best by exact cosine. How many files a query visits and how
+many candidates are reranked is calibrated: a few hundred vectors are compared with all rows, by cosine and by footrule,
+and the least visits and candidates are taken that would find the wanted part of their true neighbours.
+
+Pivots are centres of a bounded sample; everything else covers all rows. Equal vectors are worked on once and carry the
+least k + 1 of their ids, which is all that k neighbours can need. Files of pivots that lie together share a shard, so that
+a row or query that meets several of them travels once; shards and the queries that visit them are split into blocks of
+bounded size, so no pivot can overload a task.
 """
 
 from __future__ import annotations
@@ -20,31 +23,36 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sextant.llm.formatting import hot_join
-from sextant.runtime import cut, shuffle_parts
-
-#: Vectors to which pivots are fitted, at most (about; the sample is drawn by hash).
-SAMPLE = 20_000
-#: Rows of one block of a file, and queries that meet it in one task.
-BLOCK, QUERIES = 20_000, 60_000
-_BATCH, _RUN = 512, 16
+from sextant.runtime import busy, cut
+
+#: Vectors to which pivots are fitted (about; drawn by hash): this many, or FITTED a pivot if that is more.
+SAMPLE, FITTED = 20_000, 4
+#: Pivots of a shard, on average; rows of one block of a shard, and queries that meet it in one task.
+SHARD, BLOCK, QUERIES = 16, 20_000, 60_000
+#: Files that a row is posted in, and pivots of its order by which it is ranked.
+POSTS, PREFIX = 3, 8
+#: Vectors by which the search is calibrated, and the part of their true neighbours that it has to find.
+ASKERS, WANTED = 256, 0.97
+_BATCH, _RUN = 256, 16
 _FOUND = np.dtype([("near", "<i8"), ("copies", "?"), ("cosine", "<f4")])
 
 
 def pivot_count(vectors: int) -> int:
-    """Pivots for so many vectors: a fifth of the square root, 16 at least."""
-    return int(min(4096, max(16, round(vectors**0.5 / 5))))
+    """Pivots for so many vectors: the square root, 16 at least; so files grow as the root, and so does a query's work."""
+    return max(16, round(vectors**0.5))
 
 
-def visit_count(pivots: int) -> int:
-    """Files that a query visits: half the square root of the pivots, 4 at least."""
-    return int(min(pivots, max(4, round(0.5 * pivots**0.5))))
+def visit_steps(pivots: int) -> list[int]:
+    """Numbers of files that a query may visit: 2, 3, 4, 6, 8, 12 and so on; all at last."""
+    steps = [x for e in range(1, 40) for x in (2**e, 3 * 2 ** (e - 1)) if x < pivots]
+    return [*sorted(steps), pivots]
 
 
-def fit_pivots(sample: np.ndarray, count: int, rounds: int = 8) -> np.ndarray:
+def fit_pivots(sample: np.ndarray, count: int, rounds: int = 4) -> np.ndarray:
     """Unit centres of the sample, deterministic: started from evenly spaced rows."""
     centres = sample[np.linspace(0, len(sample) - 1, min(count, len(sample))).astype(int)].copy()
     for _ in range(rounds):
-        nearest = (sample @ centres.T).argmax(1)
+        nearest = np.concatenate([(sample[a : a + 4096] @ centres.T).argmax(1) for a in range(0, len(sample), 4096)])
         sums = np.zeros_like(centres)
         np.add.at(sums, nearest, sample)
         length = np.linalg.norm(sums, axis=1, keepdims=True)
@@ -76,29 +84,56 @@ def usable(embedding: Column, dim: int) -> Column:
     return (F.size(embedding) == dim) & F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(embedding, lambda x: x != 0)
 
 
-def _orders(unit: np.ndarray, pivots: np.ndarray, depth: int) -> np.ndarray:
-    return np.argsort(-(unit @ pivots.T), axis=1, kind="stable")[:, :depth]
+def orders(unit: np.ndarray, pivots: np.ndarray, depth: int) -> np.ndarray:
+    """The `depth` nearest pivots of every vector, nearest first, ties by number."""
+    depth = min(depth, len(pivots))
+    similar = unit @ pivots.T
+    if depth < len(pivots):
+        part = np.sort(np.argpartition(-similar, depth - 1, axis=1)[:, :depth], axis=1)
+        return np.take_along_axis(part, np.argsort(-np.take_along_axis(similar, part, 1), axis=1, kind="stable"), 1)
+    return np.argsort(-similar, axis=1, kind="stable")
+
+
+def ranks_of(order: np.ndarray, pivots: int, depth: int) -> np.ndarray:
+    """For every query the place of each pivot in its order, `depth` for those beyond."""
+    ranks = np.full((len(order), pivots), depth, np.int16 if depth < 32_000 else np.int32)
+    np.put_along_axis(ranks, order[:, :depth].astype(np.int64), np.arange(min(depth, order.shape[1]), dtype=ranks.dtype)[None, :], 1)
+    return ranks
 
 
-def search_block(rows: np.ndarray, second: np.ndarray, queries: np.ndarray, ranks: np.ndarray, first_rank: np.ndarray, bound: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+def footrule(ranks: np.ndarray, prefixes: np.ndarray) -> np.ndarray:
+    """Footrule distance of every query (by its ranks) to every row (by its prefix): how far each pivot is from its place."""
+    out = np.zeros((len(ranks), len(prefixes)), np.int16)
+    for place in range(prefixes.shape[1]):
+        out += np.abs(ranks.take(prefixes[:, place], axis=1) - np.int16(place))
+    return out
+
+
+def search_block(rows: np.ndarray, prefixes: np.ndarray, queries: np.ndarray, order: np.ndarray, pivots: int, posts: int, visits: int, candidates: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k best rows of one block for each query: places (-1 where there are fewer) and cosines.
 
-    Rows lie in lists by their second pivot. A list's footrule distance to a query is its rank of the first pivot plus
-    how far its rank of the second is from one; lists beyond the bound of all queries in a batch are skipped.
+    Rows are posted in inverted files by the first `posts` pivots of their prefixes. Queries with like orders share a
+    batch; what is posted in the files they visit is ranked by footrule, and the best `candidates` (with all ties at the
+    last) are reranked by cosine.
     """
-    order = np.argsort(second, kind="stable")
-    rows, second = rows[order], second[order]
-    edge = np.flatnonzero(np.concatenate([[True], second[1:] != second[:-1]]))
-    lists, ends = second[edge], np.append(edge[1:], len(second))
+    entries = np.argsort(prefixes[:, :posts].T.ravel(), kind="stable")
+    pivot_of = prefixes[:, :posts].T.ravel()[entries]
+    starts = np.searchsorted(pivot_of, np.arange(pivots + 1))
+    posted = entries % max(len(rows), 1)
+    depth = prefixes.shape[1]
     place, score = np.full((len(queries), k), -1, np.int64), np.full((len(queries), k), -np.inf, np.float32)
-    for a in range(0, len(queries), _BATCH):
-        q = slice(a, min(a + _BATCH, len(queries)))
-        footrule = first_rank[q, None] + np.abs(ranks[q][:, lists] - 1)
-        wanted = (footrule <= bound).any(axis=0)
-        if not wanted.any():
+    by = np.lexsort(order.T[: min(3, order.shape[1])][::-1])
+    for a in range(0, len(by), _BATCH):
+        q = by[a : a + _BATCH]
+        files = np.unique(order[q, :visits])
+        at = np.unique(np.concatenate([posted[starts[p] : starts[p + 1]] for p in files]))
+        if not len(at):
             continue
-        at = np.concatenate([np.arange(s, e) for s, e in zip(edge[wanted], ends[wanted])])
         cosines = rows[at] @ queries[q].T
+        if len(at) > candidates:
+            away = footrule(ranks_of(order[q], pivots, depth), prefixes[at])
+            last = np.partition(away, candidates - 1, axis=1)[:, candidates - 1 : candidates]
+            cosines[(away > last).T] = -np.inf
         runs = np.arange(0, len(at), _RUN)
         best = np.maximum.reduceat(cosines, runs, axis=0).T  # the k best rows lie in the k best runs
         top = np.argpartition(-best, k - 1, axis=1)[:, :k] if len(runs) > k else np.broadcast_to(np.arange(len(runs)), (best.shape[0], len(runs)))
@@ -107,19 +142,78 @@ def search_block(rows: np.ndarray, second: np.ndarray, queries: np.ndarray, rank
         m = min(k, value.shape[1])
         pick = np.argpartition(-value, m - 1, axis=1)[:, :m]
         chosen = np.take_along_axis(value, pick, 1)
-        where = order[at[np.minimum(np.take_along_axis(cand, pick, 1), len(at) - 1)]]
+        where = at[np.minimum(np.take_along_axis(cand, pick, 1), len(at) - 1)]
         score[q, :m] = chosen
         place[q, :m] = np.where(np.isneginf(chosen), -1, where)
     return place, score
 
 
-def nearest_vectors(rows: DataFrame, id: str = "row", embedding: str = "embedding", dim: int = 64, k: int = 10, pivots: int | None = None, visits: int | None = None, sample: int = SAMPLE) -> DataFrame:
+def calibrate(classes: DataFrame, asked: pd.DataFrame, shared, dim: int, k: int, wanted: float) -> tuple[int, int, float]:
+    """(visits, candidates, estimated recall): the least of both that find `wanted` of the true neighbours of the askers.
+
+    Every row is compared with the askers. The k true neighbours of each come back, with their footrule distance and the
+    place of the first visited file that has them, and how many rows there are at each distance and place.
+    """
+    pivots = shared.value
+    steps = visit_steps(len(pivots))
+    ids, q = asked["vid"].to_numpy(), unpack(asked["v"], dim)
+    prefix = min(PREFIX, len(pivots))
+    whole = orders(q, pivots, len(pivots))
+    near, place_of = ranks_of(whole, len(pivots), prefix), np.searchsorted(steps, ranks_of(whole, len(pivots), len(pivots)), "right").astype(np.int8)
+    bins = prefix * prefix + 1
+    given = classes.sparkSession.sparkContext.broadcast((ids, q, near, place_of))
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, q, near, place_of = given.value
+        seen = np.zeros((len(ids), len(steps), bins), np.int64)
+        for b in batches:
+            for a in range(0, len(b), 2048):
+                part = b.iloc[a : a + 2048]
+                unit = unpack(part["v"], dim)
+                prefixes = orders(unit, shared.value, max(prefix, POSTS))
+                away = footrule(near, prefixes[:, :prefix]).astype(np.int64)
+                first = place_of[:, prefixes[:, 0]].astype(np.int64)
+                for j in range(1, min(POSTS, prefixes.shape[1])):
+                    np.minimum(first, place_of[:, prefixes[:, j]], out=first)
+                cosine = (q @ unit.T).astype(np.float64)
+                own = part["vid"].to_numpy()[None, :] == ids[:, None]
+                cosine[own] = -2
+                flat = (np.arange(len(ids))[:, None] * len(steps) + first) * bins + away
+                seen += np.bincount(flat[~own], minlength=seen.size).reshape(seen.shape)
+                m = min(k, cosine.shape[1])
+                top = np.argpartition(-cosine, m - 1, axis=1)[:, :m]
+                line = np.repeat(np.arange(len(ids)), m)
+                yield pd.DataFrame({"asker": line, "cosine": cosine[line, top.ravel()], "vid": part["vid"].to_numpy()[top.ravel()], "place": first[line, top.ravel()], "away": away[line, top.ravel()], "n": 0})
+        asker, place, away = np.nonzero(seen)
+        yield pd.DataFrame({"asker": asker, "cosine": np.nan, "vid": 0, "place": place, "away": away, "n": seen[asker, place, away]})
+
+    both = cut(classes.select("vid", "v").mapInPandas(compare, "asker int, cosine double, vid long, place int, away int, n long"))
+    counts = both.where("n > 0").groupBy("asker", "place", "away").agg(F.sum("n").alias("n")).toPandas()  # at most ASKERS x steps x 65 rows
+    best = Window.partitionBy("asker").orderBy(F.desc("cosine"), "vid")
+    true = both.where("n = 0 and cosine > -1.5").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("asker", "place", "away").toPandas()  # k rows an asker
+    if not len(true):
+        return steps[0], 1, 1.0
+    seen = np.zeros((len(ids), len(steps), bins), np.int64)
+    seen[counts["asker"], counts["place"], counts["away"]] = counts["n"]
+    ranked = seen.cumsum(axis=1).cumsum(axis=2)  # rows met within so many steps of visits, at most so far away
+    for step, visits in enumerate(steps):
+        met = true["place"].to_numpy() <= step
+        if met.mean() < wanted and visits < len(pivots):
+            continue
+        needed = np.sort(ranked[true["asker"], step, true["away"]][met])
+        take = min(len(needed), int(np.ceil(wanted * len(true))))
+        candidates = int(needed[take - 1])
+        return visits, candidates + 1, float((needed <= candidates).sum() / len(true))  # and the asker itself
+    raise AssertionError("the last step visits every file")
+
+
+def nearest_vectors(rows: DataFrame, id: str = "row", embedding: str = "embedding", dim: int = 64, k: int = 10, pivots: int | None = None, sample: int = SAMPLE, wanted: float = WANTED) -> DataFrame:
     """For every row with a usable vector the k other rows of greatest cosine: (id, neighbour, cosine, rank).
 
     Usable are arrays of `dim` values without null, NaN or infinity that are not all zero; other rows neither ask nor
     answer. Ties rank by id. With k or fewer usable rows there are fewer neighbours. Rows with the same id count as one
-    (their vectors all answer for it). Only a bounded, hash-drawn sample fits the pivots; a small share of the true
-    neighbours may be missed, never an equal vector.
+    (their vectors all answer for it). Only a bounded, hash-drawn sample fits the pivots. About `wanted` of the true
+    neighbours come out (estimated on ASKERS vectors against all rows); an equal vector is never missed.
     """
     spark = rows.sparkSession
     slim = rows.select(F.col(id).cast("long").alias("id"), F.col(embedding).cast("array<float>").alias("e")).where(F.col("id").isNotNull() & usable(F.col("e"), dim))
@@ -132,59 +226,69 @@ def nearest_vectors(rows: DataFrame, id: str = "row", embedding: str = "embeddin
     one = slim.mapInPandas(packed, "id long, v binary")
     keep = k + 1
     classes = cut(one.groupBy("v").agg(F.min("id").alias("vid"), F.count("*").alias("n")))
-    total, drawn_of = classes.count(), lambda share: classes.where(F.pmod(F.xxhash64("vid"), F.lit(1_000_000)) < int(np.ceil(share * 1_000_000)))
+    total = classes.count()
     if total == 0:
         return spark.createDataFrame([], "id long, neighbour long, cosine double, rank int").withColumnRenamed("id", id)
-    drawn = drawn_of(min(1.0, sample / total)).orderBy(F.xxhash64("vid")).limit(sample).select("v").toPandas()  # at most `sample` vectors
-    centres = fit_pivots(unpack(drawn["v"], dim), pivots or pivot_count(total))
+
+    def drawn(most: int, seed: int) -> pd.DataFrame:
+        """At most so many classes, by hash."""
+        share = F.pmod(F.xxhash64("vid", F.lit(seed)), F.lit(1_000_000)) < int(np.ceil(min(1.0, 1.1 * most / total) * 1_000_000))
+        return classes.where(share).orderBy(F.xxhash64("vid", F.lit(seed))).limit(most).select("vid", "v").toPandas()
+
+    wanted_pivots = pivots or pivot_count(total)
+    centres = fit_pivots(unpack(drawn(max(sample, FITTED * wanted_pivots), 1)["v"], dim), wanted_pivots)
     number = len(centres)
-    visited = min(number, visits or visit_count(number))
-    bound = visited + max(8, number // 2)
+    shard_of = (fit_pivots(centres, -(-number // SHARD)) @ centres.T).argmax(0).astype(np.int32)
     shared = spark.sparkContext.broadcast(centres)
+    visits, candidates, _ = calibrate(classes, drawn(ASKERS, 2), shared, dim, k, wanted)
+    prefix = min(PREFIX, number)
 
     several = classes.where("n > 1")
     members = cut(hot_join(one, several, "v", "n", total).select("id", "vid", "n").distinct())
     in_class = Window.partitionBy("vid").orderBy("id")
     answers = members.withColumn("place", F.row_number().over(in_class)).where(F.col("place") <= keep).groupBy("vid").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # at most keep ids
+    code = np.uint16 if number < 1 << 16 else np.int32
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            near = _orders(unpack(b["v"], dim), shared.value, max(visited, 2)).astype(np.int32)
-            yield pd.DataFrame({"vid": b["vid"], "copies": b["n"] > 1, "v": b["v"], "second": near[:, min(1, number - 1)], "files": [x.tolist() for x in near[:, :visited]]})
-
-    routed = classes.repartition(shuffle_parts(spark)).mapInPandas(route, "vid long, copies boolean, v binary, second int, files array<int>")
-    spots = routed.select(F.posexplode("files").alias("place", "file")).groupBy("file").agg(F.sum(F.when(F.col("place") == 0, 1).otherwise(0)).alias("held"), F.count("*").alias("asked")).collect()  # one row per pivot
-    cells = [(int(r["file"]), -(-r["held"] // BLOCK), -(-r["asked"] // QUERIES)) for r in spots if r["held"]]
-    plan = F.broadcast(spark.createDataFrame(cells, "file int, blocks int, turns int"))  # one row per pivot
+            order = np.concatenate([orders(unpack(b["v"].iloc[a : a + 2048], dim), shared.value, max(visits, prefix, POSTS)) for a in range(0, len(b), 2048)]) if len(b) else np.zeros((0, 1), int)
+            shards = shard_of[order]
+            yield pd.DataFrame({"vid": b["vid"], "copies": b["n"] > 1, "v": b["v"], "o": [x.tobytes() for x in order.astype(code)], "held": [np.unique(x).tolist() for x in shards[:, :POSTS]], "asked": [np.unique(x).tolist() for x in shards[:, :visits]]})
+
+    routed = busy(classes).mapInPandas(route, "vid long, copies boolean, v binary, o binary, held array<int>, asked array<int>")
+    count = lambda c: F.sum(F.when(F.col("side") == c, 1).otherwise(0)).alias(c)
+    tagged = lambda c: F.transform(c, lambda x: F.struct(x.alias("shard"), F.lit(c).alias("side")))
+    sides = F.concat(tagged("held"), tagged("asked"))
+    spots = routed.select(F.explode(sides).alias("x")).select("x.*").groupBy("shard").agg(count("held"), count("asked")).collect()  # one row per shard
+    cells = [(int(r["shard"]), -(-r["held"] // BLOCK), -(-r["asked"] // QUERIES)) for r in spots if r["held"] and r["asked"]]
+    plan = F.broadcast(spark.createDataFrame(cells, "shard int, blocks int, turns int"))  # one row per shard
     own = lambda n: F.pmod(F.xxhash64("vid"), F.col(n).cast("long")).cast("int")
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    placed = routed.select("vid", "copies", "v", "second", F.posexplode("files").alias("place", "file")).join(plan, "file")
-    post = F.transform(every("turns"), lambda t: F.struct(own("blocks").alias("block"), t.alias("turn"), F.lit(-1).alias("place")))
-    ask = F.transform(every("blocks"), lambda b: F.struct(b.alias("block"), own("turns").alias("turn"), F.col("place").alias("place")))
-    both = placed.select("file", F.explode(F.when(F.col("place") == 0, F.concat(post, ask)).otherwise(ask)).alias("x"), "vid", "copies", "v", "second").select("file", "x.*", "vid", "copies", "v", "second")
+    placed = routed.select("vid", "copies", "v", "o", F.explode(sides).alias("x")).select("vid", "copies", "v", "o", "x.*").join(plan, "shard")
+    post = F.transform(every("turns"), lambda t: F.struct(own("blocks").alias("block"), t.alias("turn")))
+    ask = F.transform(every("blocks"), lambda b: F.struct(b.alias("block"), own("turns").alias("turn")))
+    lean = F.when(F.col("side") == "held", F.substring("o", 1, prefix * code().itemsize)).otherwise(F.col("o")).alias("o")
+    both = placed.select("shard", F.explode(F.when(F.col("side") == "held", post).otherwise(ask)).alias("x"), (F.col("side") == "held").alias("held"), "vid", "copies", "v", lean).select("shard", "x.*", "held", "vid", "copies", "v", "o")
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
-        there = (group["place"] == -1).to_numpy()
+        there = group["held"].to_numpy()
         posted, asking = group[there], group[~there]
         if not len(posted) or not len(asking):
             return pd.DataFrame({"vid": pd.Series(dtype="int64"), "found": pd.Series(dtype=object)})
-        q = unpack(asking["v"], dim)
-        order = _orders(q, shared.value, number)
-        ranks = np.empty_like(order)
-        np.put_along_axis(ranks, order, np.broadcast_to(np.arange(number), order.shape), 1)
-        by = np.lexsort((order[:, min(1, number - 1)], order[:, 0]))  # alike queries share a batch
-        at, cos = search_block(unpack(posted["v"], dim), posted["second"].to_numpy(), q[by], ranks[by], asking["place"].to_numpy()[by], bound, keep)
+        unpacked = lambda part: np.frombuffer(b"".join(part["o"]), code).reshape(len(part), -1).astype(np.int32)
+        at, cos = search_block(unpack(posted["v"], dim), unpacked(posted), unpack(asking["v"], dim), unpacked(asking), number, POSTS, visits, candidates, keep)
         record = np.zeros(at.shape, _FOUND)
         record["near"], record["copies"], record["cosine"] = posted["vid"].to_numpy()[np.maximum(at, 0)], posted["copies"].to_numpy()[np.maximum(at, 0)], cos
-        return pd.DataFrame({"vid": asking["vid"].to_numpy()[by], "found": [r[a >= 0].tobytes() for r, a in zip(record, at)]})
+        return pd.DataFrame({"vid": asking["vid"].to_numpy(), "found": [r[a >= 0].tobytes() for r, a in zip(record, at)]})
 
-    met = both.groupBy("file", "block", "turn").applyInPandas(meet, "vid long, found binary")
+    met = both.groupBy("shard", "block", "turn").applyInPandas(meet, "vid long, found binary")
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             ids, top = [], []
             for v, found in zip(b["vid"], b["found"]):
                 f = np.frombuffer(b"".join(found), _FOUND)
+                f = f[np.unique(f["near"], return_index=True)[1]]  # a row can be met in several shards
                 c = f["cosine"].astype(float).round(6)
                 best = np.lexsort((f["near"], -c))[:keep]
                 ids.append(v)

@@ -249,7 +249,8 @@ def test_neighbours_blocks(spark, monkeypatch):
     """Small blocks, as hot pivots would have, give the same result."""
     rng = np.random.default_rng(1)
     df = spark.createDataFrame([(i, [float(x) for x in e]) for i, e in enumerate(rng.normal(size=(300, 64)).astype(np.float32))], "row long, embedding array<float>")
-    run = lambda: {(r["row"], r["rank"]): (r["neighbour"], round(r["cosine"], 4)) for r in neighbours.nearest_vectors(df, pivots=4, visits=4).collect()}
+    monkeypatch.setattr(neighbours, "calibrate", lambda *_: (4, 10_000, 1.0))
+    run = lambda: {(r["row"], r["rank"]): (r["neighbour"], round(r["cosine"], 4)) for r in neighbours.nearest_vectors(df, pivots=4).collect()}
     whole = run()
     monkeypatch.setattr(neighbours, "BLOCK", 20)
     monkeypatch.setattr(neighbours, "QUERIES", 30)
@@ -257,6 +258,30 @@ def test_neighbours_blocks(spark, monkeypatch):
     assert set(again) == set(whole) and sum(again[k] != whole[k] for k in whole) <= 3  # rounding of single precision
 
 
+def test_neighbours_without_clusters(spark):
+    """Calibration keeps the recall where vectors have no structure at all."""
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(3000, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "row long, embedding array<float>")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    true = np.argpartition(-s, 10, axis=1)[:, :10]
+    found = {}
+    for r in neighbours.nearest_vectors(df).collect():
+        found.setdefault(r["row"], set()).add(r["neighbour"])
+    assert np.mean([len(found[i] & set(t.tolist())) / 10 for i, t in enumerate(true)]) >= 0.93
+
+
+def test_footrule_against_definition():
+    rng = np.random.default_rng(7)
+    q, d = (np.array([rng.permutation(20) for _ in range(n)]) for n in (5, 9))
+    got = neighbours.footrule(neighbours.ranks_of(q, 20, 6), d[:, :6])
+    for a in range(5):
+        for b in range(9):
+            assert got[a, b] == sum(abs(min(q[a].tolist().index(p), 6) - place) for place, p in enumerate(d[b, :6]))
+
+
 def test_pack_is_lossless():
     v = np.array([[0.5, 0.25], [0.1, 1e-9], [1e6, 3.0]], np.float32)
     import pandas as pd
