@@ -36,19 +36,15 @@ def cut(df: DataFrame) -> DataFrame:
 SMALL_PER_CORE = 32 << 20
 
 
-def busy(df: DataFrame) -> DataFrame:
+def busy(df: DataFrame, *keys: str) -> DataFrame:
     """Spread a small input over all cores before CPU-bound work per row; large scans have partitions enough and stay.
 
-    The size is Catalyst's estimate of the plan; nothing is executed.
+    With keys equal rows of them come together, so that a distinct that follows needs no shuffle of its own. The size is
+    Catalyst's estimate of the plan; nothing is executed.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * SMALL_PER_CORE else df
-
-
-def shuffle_parts(spark: SparkSession) -> int:
-    """Partitions for CPU-bound stages: at least the cores, at least what the session asks for."""
-    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(cores, *keys) if size < cores * SMALL_PER_CORE else df
 
 
 def canonical(text: Column) -> Column:
