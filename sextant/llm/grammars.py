@@ -37,7 +37,16 @@ _SPACE = rx(r"(?:[ \t\f]|\\\n)*")
 _COMMENT = rx(r"#[^\n]*")
 _END = rx(r"\n|\Z")
 _BLANKS = rx(r"(?:[ \t\f]*(?:#[^\n]*)?\n)*(?:[ \t\f]*(?:#[^\n]*)?\Z)?")
-_PLAIN = rx(r"(?:\w+(?![\w'\"])|[^\w'\"#()\[\]{}\\\n])+")
+# ---- stretches that need no rules: words, short strings that are not formatted, brackets up to three deep on one line ----
+_CHARS = r"\w++(?!['\"])|[^\w'\"#()\[\]{}\\\n]++"
+_QUOTED = r"""(?<!\w)[rRbBuU]{0,2}(?:'(?!'')[^'\\\n]*+'(?!')|"(?!"")[^"\\\n]*+"(?!"))"""
+_INNER = rf"(?:{_CHARS}|{_QUOTED})*+"
+for _ in range(2):
+    _INNER = rf"(?:{_CHARS}|{_QUOTED}|[(\[{{]{_INNER}[)\]}}])*+"
+_FLAT = rf"{_CHARS}|{_QUOTED}|[(\[{{]{_INNER}[)\]}}]"
+_GAP = r"(?:[ \t\f]*+(?:#[^\n]*+)?\n)*+"
+
+
 _WORD = rx(r"\w+")
 _LITERAL = rx(r"""[rRbBuUfFtT]{0,2}(?:'''(?:[^'\\]|\\.|'(?!''))*'''|\"""(?:[^"\\]|\\.|"(?!""))*\"""|'(?!'')(?:[^'\\\n]|\\.)*'|"(?!"")(?:[^"\\\n]|\\.)*"|''(?!')|""(?!"))""", re.S)
 
@@ -50,10 +59,19 @@ def _formatted(quote: str) -> object:
 
 string = rule("string", lambda: choice(seq(ahead(rx(r"(?:[fF][rR]?|[rR][fF])['\"]")), choice(_formatted("'''"), _formatted('"""'), _formatted("'"), _formatted('"'))), _LITERAL))
 _bracket = rule("bracket", lambda: seq(rx(r"[(\[{]"), many(choice(rx(r"[ \t\f\n]+"), _COMMENT, _token)), rx(r"[)\]}]")))
-_token = choice(_PLAIN, string(), _WORD, _bracket(), rx(r"\\\n"))
+_token = choice(rx(rf"(?:{_FLAT})++"), string(), _WORD, _bracket(), rx(r"\\\n"))
 _line = seq(many(_token), opt(_COMMENT), _END)  # one logical line
 
 
+def _filler(n: int):
+    """Lines of at least n blanks that are whole in themselves and begin no definition, with the gaps between them.
+
+    This is what most of a source is; anything else (strings over lines, open brackets, tabs, joined lines) is left to
+    the rules for statements.
+    """
+    return rx(rf"(?:{_GAP} {{{n},}}+(?![ \t\f\n#])(?!(?:async|def|class)\b|@)(?:{_FLAT})*+(?:#[^\n]*+)?\n)++")
+
+
 def _width(blank: str) -> int:
     return len(blank.replace("\f", "").expandtabs(8))
 
@@ -86,7 +104,7 @@ def _literal(s, a, b, v) -> str | None:
 
 
 documentation = act(seq(_texts, ahead(seq(_SPACE, choice(rx(";"), seq(opt(_COMMENT), _END))))), _literal)
-_header_rest = many(choice(rx(r"(?:\w+(?![\w'\"])|[^\w'\"#()\[\]{}\\\n:])+"), string(), _WORD, _bracket(), rx(r"\\\n")))
+_header_rest = many(choice(rx(r"(?:" + _FLAT.replace(r"[^\w", r"[^:\w", 1) + ")++"), string(), _WORD, _bracket(), rx(r"\\\n")))
 
 
 def _suite(n: int):
@@ -117,7 +135,9 @@ def _block_value(s, a, b, v):
     return "body", first[1], _definitions([first[2], rest])
 
 
-block = rule("block", lambda n: act(seq(_first(n), many(act(seq(_BLANKS, _indent(lambda w: w == n), statement(n)), lambda s, a, b, v: v[2]))), _block_value))
+# after a filler the lines of a deeper block may follow, whose first line the filler has taken
+_deeper_rest = lambda n: act(seq(_BLANKS, _deeper(n)), lambda s, a, b, v: _body(v[1])[1])
+block = rule("block", lambda n: act(seq(_first(n), many(choice(_filler(n), act(seq(_BLANKS, _indent(lambda w: w == n), statement(n)), lambda s, a, b, v: v[2]), _deeper_rest(n)))), _block_value))
 
 
 def _body(value):
@@ -141,7 +161,7 @@ statement = rule(
         act(seq(absent(_END), _line, opt(act(seq(_BLANKS, _deeper(n)), lambda s, a, b, v: _body(v[1])[1]))), lambda s, a, b, v: _definitions(v[2])),
     ),
 )
-module = act(seq(_BLANKS, many(choice(act(seq(_indent(lambda w: w == 0), statement(0), _BLANKS), lambda s, a, b, v: v[1]), seq(_line, _BLANKS)))), lambda s, a, b, v: _definitions(v[1]))
+module = act(seq(_BLANKS, many(choice(_filler(0), act(seq(_indent(lambda w: w == 0), statement(0), _BLANKS), lambda s, a, b, v: v[1]), _deeper_rest(0), seq(_line, _BLANKS)))), lambda s, a, b, v: _definitions(v[1]))
 
 
 def _valid_python(text: str) -> bool:
@@ -181,10 +201,13 @@ script = act(many(choice(_js_definition(), _JS_STRING, rx(r"/\*(?:[^*]|\*(?!/))*
 LANGUAGES = {".py": (module, _valid_python), ".js": (script, lambda text: True)}
 
 
-def definitions(text: str, suffix: str) -> tuple[str, list[Definition]]:
-    """The text as parsed (line ends \\n, no byte-order mark) and its outermost definitions; none if it is not valid."""
+def definitions(text: str, suffix: str) -> tuple[str, list[Definition], str | None]:
+    """The text as parsed (line ends \\n, no byte-order mark), its outermost definitions, and why it could not be read."""
     grammar, valid = LANGUAGES[suffix]
-    text = text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
+    text = text.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
     if not valid(text):
-        return text, []
-    return text, grammar(State(text), 0)[1]
+        return text, [], "not valid"
+    try:
+        return text, grammar(State(text), 0)[1], None
+    except RecursionError:
+        return text, [], "nests too deep"
