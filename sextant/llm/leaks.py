@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.runtime import shuffle_parts
+from sextant.runtime import busy
 
 WORD = re.compile(r"[^\W_]+")
 #: Above so many characters of evaluation text nothing is broadcast (50 MB of text make at most about 400 MB of arrays).
@@ -121,7 +121,7 @@ def leaked_passages(documents: DataFrame, items: DataFrame, id: str = "doc_id",
                     found = passages.search(part["text"].tolist())
                     yield pd.DataFrame([(names[k], ids[i], a, b, f, n) for k, i, a, b, f, n in found], columns=["id", "item", "start", "stop", "first_word", "n_words"])
 
-        found = slim.repartition(shuffle_parts(documents.sparkSession)).mapInPandas(scan, schema)
+        found = busy(slim).mapInPandas(scan, schema)
     else:
         tokens = lambda: F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
         windows = lambda: F.when(F.size("w") >= words, F.transform(F.sequence(F.lit(1), F.size("w") - words + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, words), " "))))

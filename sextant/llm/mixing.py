@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sextant.runtime import cut, shuffle_parts
+from sextant.runtime import busy, cut
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Tokens that the knapsack programme settles, about; the even share leaves more only if lengths are longer.
@@ -49,7 +49,7 @@ def token_counts(documents: DataFrame, id: str, text: str, source: str, tokenize
             yield pd.DataFrame({"id": b["id"], "source": b["source"], "tokens": [len(count(t)) if t else 0 for t in b["text"]]})
 
     kind = slim.schema["id"].dataType.simpleString()
-    return slim.repartition(shuffle_parts(documents.sparkSession)).mapInPandas(run, f"id {kind}, source string, tokens long")
+    return busy(slim).mapInPandas(run, f"id {kind}, source string, tokens long")
 
 
 def budgets(sized: DataFrame, targets: DataFrame, source: str = "source", share: str = "target_share", repeats: str = "max_repeats") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from sextant.llm.documented import documented_functions
+from sextant.llm.documented import documented_functions, unread_files
 from sextant.llm.formatting import distinct_records, formatting_duplicates
 from sextant.llm.leaks import leaked_passages, without_passages
 from sextant.llm.mixing import mix
@@ -74,6 +74,10 @@ def p6_pairs(spark, folder):
     return documented_functions(table(spark, folder, "source_files"))
 
 
+def p6_unread(spark, folder):
+    return unread_files(table(spark, folder, "source_files"))
+
+
 def p7_found(spark, folder):
     return leaked_passages(table(spark, folder, "documents"), table(spark, folder, "test_items")).select("doc_id", "item_id").distinct()
 
@@ -129,6 +133,7 @@ QUERIES = {
     "p5_neighbours": p5_neighbours,
     "p6_found": p6_found,
     "p6_pairs": p6_pairs,
+    "p6_unread": p6_unread,
     "p7_found": p7_found,
     "p7_passages": p7_passages,
     "p7_without_passages": p7_without_passages,

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.runtime import shuffle_parts
+from sextant.runtime import busy
 
 LEVELS = ("blank", "line", "space", "none")
 #: Penalty of one cut by level; the imbalance of one piece is below 1.
@@ -143,5 +143,5 @@ def split_oversized(rows: DataFrame, id: str = "row", text: str = "text", limit:
 
     long = rows.select(F.col(id).alias("id"), F.col(text).alias("text")).where(F.length("text") > limit)
     kind = long.schema["id"].dataType.simpleString()
-    cutup = long.repartition(shuffle_parts(rows.sparkSession)).mapInPandas(run, f"id {kind}, boundary string, piece int, pieces int, start long, stop long, cut string, piece_text string")
+    cutup = busy(long).mapInPandas(run, f"id {kind}, boundary string, piece int, pieces int, start long, stop long, cut string, piece_text string")
     return cutup.withColumnRenamed("id", id)

@@ -1,7 +1,7 @@
 """Operators for training data against brute force, round trips and held-out accuracy, with awkward rows."""
 
 import ast
-import json
+import os
 import random
 import re
 
@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sextant.llm import formatting, leaks, mixing, neighbours, overlaps, splitting, subjects
-from sextant.llm.documented import documented_functions, is_trivial, name_words
+from sextant.llm.documented import documented_functions, is_trivial, name_words, unread_files
 from sextant.llm.grammars import definitions
 
 WORD = re.compile(r"[^\W_]+")
@@ -349,7 +349,7 @@ def by_ast(text):
 
 
 def by_grammar(text):
-    source, found = definitions(text, ".py")
+    source, found, _ = definitions(text, ".py")
     out = set()
 
     def walk(ds, above):
@@ -364,7 +364,10 @@ def by_grammar(text):
 
 def test_grammar_agrees_with_ast():
     assert by_grammar(SOURCE) == by_ast(SOURCE)
-    for path in (ast.__file__, json.__file__, json.decoder.__file__, random.__file__, re.__file__):
+    odd = "def a():\n    x = f'{b['c']}'; y = f'#{d}'\n    if x:\n        z = [1,\n  2]\n        def e():\n            \"Four words are here.\"\n        g = {'h': (i, [j])}\n\n# out of place\n    def k(l='m:', *, n=(o, {p: q})) -> 'r': 's'\n\nt = rb'\\'' + b\"\"\nclass U: v = 1\n"
+    assert by_grammar(odd) == by_ast(odd)
+    folder = os.path.dirname(os.__file__)
+    for path in sorted(os.path.join(folder, f) for f in os.listdir(folder) if f.endswith(".py")):
         with open(path, encoding="utf-8") as f:
             text = f.read()
         assert by_grammar(text) == by_ast(text), path
@@ -380,9 +383,17 @@ def test_documented(spark, rows):
     assert name_words("getRowCount_v2") == {"get", "row", "count", "v2"} and is_trivial("The getter of a row x", "get_row") is False
 
 
+def test_unread_files(spark, rows):
+    nested = "".join("    " * i + f"def f{i}():\n" for i in range(90)) + "    " * 90 + "'Four words say it.'\n"
+    files = [("a.py", "def f(:"), ("b.py", nested), ("c.py", "x = " + "(" * 190 + ")" * 190), ("d.js", "(" * 60_000), ("e.js", "(" * 5000 + ")" * 5000), ("f.py", None)]
+    df = spark.createDataFrame(files, "file string, text string")
+    assert rows(unread_files(df)) == [("a.py", "not valid"), ("d.js", "nests too deep")]
+    assert [r["qualname"].count(".") for r in documented_functions(df).collect()] == [89]
+
+
 def test_javascript():
     text = "/** Adds two numbers safely. */\nexport function add(a, b) { return a + b; }\nclass A {\n  /** Says hello to you. */\n  hi(x) { if (x) { return '}'; } }\n}\nfunction bare() {}\n"
-    _, found = definitions(text, ".js")
+    _, found, _ = definitions(text, ".js")
     got = {(d.name, d.kind, d.documentation) for d in found} | {(i.name, i.kind, i.documentation) for d in found for i in d.inner}
     assert ("add", "function", "Adds two numbers safely.") in got and ("A", "class", None) in got and ("bare", "function", None) in got
     assert ("hi", "function", "Says hello to you.") in got
