@@ -125,8 +125,11 @@ def search_block(rows: np.ndarray, prefixes: np.ndarray, queries: np.ndarray, or
     by = np.lexsort(order.T[: min(3, order.shape[1])][::-1])
     for a in range(0, len(by), _BATCH):
         q = by[a : a + _BATCH]
-        files = np.unique(order[q, :visits])
-        at = np.unique(np.concatenate([posted[starts[p] : starts[p + 1]] for p in files]))
+        visited, met = np.zeros(pivots, bool), np.zeros(len(rows), bool)
+        visited[order[q, :visits]] = True
+        for p in np.flatnonzero(visited):
+            met[posted[starts[p] : starts[p + 1]]] = True
+        at = np.flatnonzero(met)
         if not len(at):
             continue
         cosines = rows[at] @ queries[q].T
@@ -253,7 +256,7 @@ def nearest_vectors(rows: DataFrame, id: str = "row", embedding: str = "embeddin
         for b in batches:
             order = np.concatenate([orders(unpack(b["v"].iloc[a : a + 2048], dim), shared.value, max(visits, prefix, POSTS)) for a in range(0, len(b), 2048)]) if len(b) else np.zeros((0, 1), int)
             shards = shard_of[order]
-            yield pd.DataFrame({"vid": b["vid"], "copies": b["n"] > 1, "v": b["v"], "o": [x.tobytes() for x in order.astype(code)], "held": [np.unique(x).tolist() for x in shards[:, :POSTS]], "asked": [np.unique(x).tolist() for x in shards[:, :visits]]})
+            yield pd.DataFrame({"vid": b["vid"], "copies": b["n"] > 1, "v": b["v"], "o": [x.tobytes() for x in order.astype(code)], "held": [sorted(set(x)) for x in shards[:, :POSTS].tolist()], "asked": [sorted(set(x)) for x in shards[:, :visits].tolist()]})
 
     routed = busy(classes).mapInPandas(route, "vid long, copies boolean, v binary, o binary, held array<int>, asked array<int>")
     count = lambda c: F.sum(F.when(F.col("side") == c, 1).otherwise(0)).alias(c)
