@@ -160,10 +160,16 @@ def text_units(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, _UNITS)
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Distinct values in order, by sorting."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def _counted(cells: np.ndarray, words: np.ndarray, span: int) -> pa.RecordBatch:
     """Rows (word, subject, n) of a batch from distinct cells (text, word number, subject): by subject, and -1 for any."""
     per, n = np.unique(cells % (len(words) * span), return_counts=True)
-    whole, all_n = np.unique(np.unique(cells // span) % len(words), return_counts=True)
+    whole, all_n = np.unique(_distinct(cells // span) % len(words), return_counts=True)
     return pa.RecordBatch.from_arrays(
         [pa.array(np.concatenate([words[per // span], words[whole]])), pa.array(np.concatenate([per % span, np.full(len(whole), -1)]).astype(np.int32)), pa.array(np.concatenate([n, all_n]))],
         names=["word", "subject", "n"],
@@ -199,15 +205,15 @@ def _count_pairs(texts: DataFrame, lexicon: Lexicon | None) -> DataFrame:
                 subject = subject[each]
             if len(each):
                 span = int(subject.max()) + 1
-                yield _counted(np.unique((text[each] * len(words) + number[each]) * span + subject), words, span)
+                yield _counted(_distinct((text[each] * len(words) + number[each]) * span + subject), words, span)
 
     return texts.mapInArrow(run, "word long, subject int, n long").groupBy("word", "subject").agg(F.sum("n").alias("n"))
 
 
 def _lexicon(counts: DataFrame, prior: dict[int, float], support: int, purity: float, size: int) -> Lexicon:
     """Words that speak for one subject; more than `size` raise ValueError."""
-    whole = counts.where("subject = -1").select("word", F.col("n").alias("all"))
-    good = counts.where("subject >= 0").join(whole, "word").where((F.col("all") >= support) & (F.col("n") >= purity * F.col("all")))
+    per = counts.groupBy("word").agg(F.max(F.when(F.col("subject") == -1, F.col("n"))).alias("all"), F.collect_list(F.when(F.col("subject") >= 0, F.struct("subject", "n"))).alias("by"))  # at most one entry a subject
+    good = per.where(F.col("all") >= support).select("word", "all", F.explode("by").alias("x")).select("word", "all", "x.*").where(F.col("n") >= purity * F.col("all"))
     share = F.element_at(F.create_map(*[F.lit(x) for s, p in prior.items() for x in (int(s), float(p))]), F.col("subject"))
     kept = good.where(F.col("subject").isin(*prior)).where(F.col("n") / F.col("all") > 1.5 * share)
     rows = kept.limit(size + 1).toPandas()  # one more than are allowed shows that there are too many
