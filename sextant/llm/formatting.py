@@ -1,9 +1,10 @@
 """Records that are identical but for formatting: white space, letter case, punctuation, order of fields.
 
 Byte-identical values collapse first, with counts (combined on the map side, so a value that fills a third of the table
-never reaches one task as rows). Only the distinct survivors are canonicalised, and those are grouped again on their full
-canonical text. To name the members, a digest of the raw value leads each row back to its record; records with very many
-copies travel by broadcast (there can be at most HOT_PARTS of them), the others by a shuffled join.
+never reaches one task as rows). Only the distinct survivors are canonicalised, once each, and those are grouped again on
+their full canonical text, held by its SHA-256. To name the members, a digest of the raw value leads each row back to its
+record; records with very many copies travel by broadcast (there can be at most HOT_PARTS of them), the others by a
+shuffled join.
 """
 
 from __future__ import annotations
@@ -61,12 +62,12 @@ def distinct_records(rows: DataFrame, id: str, value: str) -> tuple[DataFrame, D
     survivors: digest, record (digest of the canonical text), raw_copies. records: record, low (least id), copies,
     variants (distinct raw values). Nulls and values without letter or digit are left out of both.
     """
-    slim = rows.select(F.col(id).alias("id"), F.col(value).alias("value")).where("value is not null")
+    slim = rows.select(F.col(id).alias("id"), F.col(value).alias("value")).where(F.col("value").rlike(r"[\p{L}\p{N}]"))
     raw = slim.groupBy("value").agg(F.count("*").alias("raw_copies"), F.min("id").alias("raw_low"))
-    known = raw.withColumn("canon", canonical_text(F.col("value"))).where("canon <> ''")
-    records = known.groupBy("canon").agg(F.min("raw_low").alias("low"), F.sum("raw_copies").alias("copies"), F.count("*").alias("variants")).select(_digest(F.col("canon")).alias("record"), "low", "copies", "variants")
-    survivors = known.select(_digest(F.col("value")).alias("digest"), _digest(F.col("canon")).alias("record"), "raw_copies")
-    return survivors, records
+    survivors = cut(raw.select(_digest(F.col("value")).alias("digest"), _digest(canonical_text(F.col("value"))).alias("record"), "raw_copies", "raw_low"))
+    survivors = survivors.where(F.col("record") != _digest(F.lit("")))  # fields of escaped white space alone
+    records = survivors.groupBy("record").agg(F.min("raw_low").alias("low"), F.sum("raw_copies").alias("copies"), F.count("*").alias("variants"))
+    return survivors.drop("raw_low"), records
 
 
 def formatting_duplicates(rows: DataFrame, id: str = "row", value: str = "text") -> DataFrame:
