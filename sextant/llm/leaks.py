@@ -1,8 +1,8 @@
 """Documents that contain passages of evaluation texts.
 
 The n-grams of the (few) evaluation texts are held as a sorted array of hashes that goes to every task; documents are
-scanned once, in batches of token windows. Hits are verified word by word and grown to whole passages, which can then be
-cut out. Where the evaluation texts are too many for that, windows and n-grams meet in a shuffled join instead.
+scanned in batches of token windows, where they lie. Hits are verified word by word and grown to whole passages, which can
+then be cut out. More evaluation texts than one array may hold are taken in slices, with one scan each.
 """
 
 from __future__ import annotations
@@ -15,11 +15,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.runtime import busy
+from sextant.runtime import busy, cut
 
 WORD = re.compile(r"[^\W_]+")
-#: Above so many characters of evaluation text nothing is broadcast (50 MB of text make at most about 400 MB of arrays).
+#: Characters of evaluation text that are broadcast at once, about (50 MB of text make at most about 400 MB of arrays).
 BROADCAST_CHARS = 50_000_000
+#: Documents with passages whose spans are broadcast to cut them out, at most; beyond that the join shuffles.
+BROADCAST_SPANS = 200_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -105,38 +107,29 @@ def leaked_passages(documents: DataFrame, items: DataFrame, id: str = "doc_id",
     probe = items.select(F.col(item).alias("item"), F.col(item_text).alias("text")).where("text is not null")
     id_type, item_type = slim.schema["id"].dataType.simpleString(), probe.schema["item"].dataType.simpleString()
     schema = f"id {id_type}, item {item_type}, start long, stop long, first_word int, n_words int"
-    chars = probe.agg(F.sum(F.length("text"))).first()[0] or 0
+    size = probe.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).first()
+    slices = max(1, min(size["n"], -(-(size["chars"] or 0) // max(1, BROADCAST_CHARS))))
+    spread = busy(slim)
 
-    if chars <= BROADCAST_CHARS:
-        rows = probe.orderBy("item", "text").collect()  # proven small: at most BROADCAST_CHARS characters
+    def scanned(part: int) -> DataFrame:
+        own = probe if slices == 1 else probe.where(F.pmod(F.xxhash64("item", "text"), F.lit(slices)) == part)
+        rows = own.orderBy("item", "text").collect()  # about BROADCAST_CHARS characters
         shared = documents.sparkSession.sparkContext.broadcast(([r["item"] for r in rows], [r["text"] for r in rows]))
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, texts = shared.value
-            passages = Passages(ids, texts, words)
+            passages = Passages(*shared.value, words)
             for batch in batches:
                 for at in range(0, len(batch), 500):
-                    part = batch.iloc[at : at + 500]
-                    names = part["id"].to_numpy()
-                    found = passages.search(part["text"].tolist())
-                    yield pd.DataFrame([(names[k], ids[i], a, b, f, n) for k, i, a, b, f, n in found], columns=["id", "item", "start", "stop", "first_word", "n_words"])
-
-        found = busy(slim).mapInPandas(scan, schema)
-    else:
-        tokens = lambda: F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-        windows = lambda: F.when(F.size("w") >= words, F.transform(F.sequence(F.lit(1), F.size("w") - words + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, words), " "))))
-        grams = lambda df, key: df.withColumn("w", tokens()).select(key, F.explode(windows()).alias("h")).distinct()
-        pairs = grams(slim.where("id is not null"), "id").join(grams(probe, "item"), "h").select("id", "item").distinct()
-
-        def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                out = []
-                for i, t, k, q in zip(batch["id"], batch["text"], batch["item"], batch["item_text"]):
-                    out += [(i, k, a, b, f, n) for _, _, a, b, f, n in Passages([k], [q], words).search([t])]
-                yield pd.DataFrame(out, columns=["id", "item", "start", "stop", "first_word", "n_words"])
+                    some = batch.iloc[at : at + 500]
+                    names = some["id"].to_numpy()
+                    found = passages.search(some["text"].tolist())
+                    yield pd.DataFrame([(names[k], passages.ids[i], a, b, f, n) for k, i, a, b, f, n in found], columns=["id", "item", "start", "stop", "first_word", "n_words"])
+
+        return spread.mapInPandas(scan, schema)
 
-        both = pairs.join(slim, "id").join(probe.withColumnRenamed("text", "item_text"), "item").select("id", "text", "item", "item_text")
-        found = both.mapInPandas(verify, schema)
+    found = scanned(0)
+    for part in range(1, slices):
+        found = found.unionByName(scanned(part))
     return found.withColumnsRenamed({"id": id, "item": item})
 
 
@@ -152,5 +145,6 @@ def without_passages(documents: DataFrame, passages: DataFrame, id: str = "doc_i
     rest = lambda acc: F.concat(acc["out"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), F.length(text)))
     cleaned = F.when(F.col("spans").isNotNull() & F.col(text).isNotNull(), F.aggregate("spans", start, step, rest)).otherwise(F.col(text))
     before = [c for c in documents.columns if c != text]
-    joined = documents.join(spans, id, "left").withColumn("cleaned", cleaned)
+    spans = cut(spans)
+    joined = documents.join(F.broadcast(spans) if spans.count() <= BROADCAST_SPANS else spans, id, "left").withColumn("cleaned", cleaned)
     return joined.select(*before, F.col("cleaned").alias(text), F.coalesce(F.length(F.col(text)) - F.length("cleaned"), F.lit(0)).alias("removed_chars"))
