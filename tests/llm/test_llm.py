@@ -1,6 +1,7 @@
 """Operators for training data against brute force, round trips and held-out accuracy, with awkward rows."""
 
 import ast
+import json
 import os
 import random
 import re
@@ -291,6 +292,7 @@ def test_pack_is_lossless():
 
 # ---- documented functions ----
 SOURCE = '''"""Module text that is long enough."""
+import json
 import os
 @decorated(
     x)
@@ -422,6 +424,10 @@ def test_leaks(spark, monkeypatch, most):
     df = clash(spark.createDataFrame(docs, "doc_id long, text string"))
     found = leaks.leaked_passages(df, spark.createDataFrame(items, "item_id long, text string"), words=n)
     assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == want and want
+    # null and repeated ids: every row is searched for itself, whatever the number of scans
+    odd = spark.createDataFrame([(None, docs[10][1]), (7, docs[10][1]), (7, docs[11][1]), (7, docs[11][1])], "doc_id long, text string")
+    at = lambda i: [x[1:] for x in sorted((r["doc_id"], r["item_id"], r["start"]) for r in found.collect()) if x[0] == i]
+    assert sorted((r["doc_id"] is None, r["item_id"], r["start"]) for r in leaks.leaked_passages(odd, spark.createDataFrame(items, "item_id long, text string"), words=n).collect()) == sorted([(True, *x) for x in at(docs[10][0])] + [(False, *x) for x in at(docs[10][0]) + 2 * at(docs[11][0])])
     cleaned = {r["doc_id"]: r for r in leaks.without_passages(spark.createDataFrame(docs, "doc_id long, text string"), found).collect()}
     texts = dict(docs)
     assert set(cleaned) == set(texts)
