@@ -39,12 +39,14 @@ SMALL_PER_CORE = 32 << 20
 def busy(df: DataFrame, *keys: str) -> DataFrame:
     """Spread a small input over all cores before CPU-bound work per row; large scans have partitions enough and stay.
 
-    With keys equal rows of them come together, so that a distinct that follows needs no shuffle of its own. The size is
-    Catalyst's estimate of the plan; nothing is executed.
+    With keys equal rows of them come together, so that a distinct that follows needs no shuffle of its own. Inputs of as
+    many files as there are cores are spread already. The size is Catalyst's estimate of the plan; nothing is executed.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores, *keys) if size < cores * SMALL_PER_CORE else df
+    if size >= cores * SMALL_PER_CORE or (not keys and len(df.inputFiles()) >= cores):
+        return df
+    return df.repartition(cores, *keys)
 
 
 def canonical(text: Column) -> Column:
