@@ -59,7 +59,7 @@ def split_identifier(ident: Column) -> Column:
     return F.transform(F.regexp_extract_all(spaced, F.lit("[A-Z]?[a-z]+|[A-Z]+|[0-9]+"), F.lit(0)), F.lower)
 
 
-_SEVERAL_PARTS = "[A-Za-z0-9]_+[A-Za-z0-9]|[a-z][A-Z]|[A-Z][A-Z][a-z]|[A-Za-z][0-9]|[0-9][A-Za-z]"
+SEVERAL_PARTS = "[A-Za-z0-9]_+[A-Za-z0-9]|[a-z][A-Z]|[A-Z][A-Z][a-z]|[A-Za-z][0-9]|[0-9][A-Za-z]"
 
 
 def code_tokens(text: Column, keep_whole: bool = True, least: int = 1) -> Column:
@@ -69,7 +69,7 @@ def code_tokens(text: Column, keep_whole: bool = True, least: int = 1) -> Column
     """
     spaced = F.regexp_replace(text, "([A-Z])([A-Z][a-z])", "$1 $2")
     parts = F.regexp_extract_all(spaced, F.lit("[A-Z]?[a-z]+|[A-Z]+|[0-9]+"), F.lit(0))
-    whole = F.filter(F.regexp_extract_all(text, F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)), lambda i: i.rlike(_SEVERAL_PARTS))
+    whole = F.filter(F.regexp_extract_all(text, F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)), lambda i: i.rlike(SEVERAL_PARTS))
     bag = F.transform(F.concat(parts, whole) if keep_whole else parts, F.lower)
     return bag if least <= 1 else F.filter(bag, lambda t: F.length(t) >= least)
 

@@ -45,6 +45,29 @@ def score_fuse(a: DataFrame, b: DataFrame, weight: float = 0.5, how: str = "zsco
     return left.join(right, ["qid", "row"]).select("qid", "row", F.round(F.col("a") * ((1 - weight) if convex else 1.0) + F.col("b") * weight, 6).alias("score"))
 
 
+def sparse_fuse(a: DataFrame, b: DataFrame, documents: DataFrame, weight: float = 0.5, how: str = "zscore") -> DataFrame:
+    """(1 - w) norm(a) + w norm(b), normalised over all documents: those that a frame does not list score 0 in it.
+
+    a, b: (qid, row, score); documents: one row (n). Returns the rows that either lists; all others share one lower score.
+    """
+    if how not in ("zscore", "minmax"):
+        raise ValueError(f"unknown normalisation {how!r}")
+
+    def side(scores: DataFrame, name: str) -> DataFrame:
+        none = F.when(F.count("*") < F.col("n"), 0.0)
+        per = scores.crossJoin(F.broadcast(documents)).groupBy("qid", "n").agg((F.sum("score") / F.col("n")).alias("mean"), (F.sum(F.col("score") * F.col("score")) / F.col("n")).alias("square"), F.least(F.min("score"), none).alias("low"), F.greatest(F.max("score"), none).alias("high"))
+        sd = F.sqrt(F.greatest(F.col("square") - F.col("mean") * F.col("mean"), F.lit(0.0)))
+        return per.select("qid", *([F.col("mean").alias(f"{name}_shift"), sd.alias(f"{name}_scale")] if how == "zscore" else [F.col("low").alias(f"{name}_shift"), (F.col("high") - F.col("low")).alias(f"{name}_scale")]))
+
+    def norm(name: str) -> Column:
+        flat = F.lit(0.0) if how == "zscore" else F.lit(0.5)
+        return F.when(F.col(f"{name}_scale") > (1e-12 if how == "zscore" else 0), (F.coalesce(F.col(name), F.lit(0.0)) - F.col(f"{name}_shift")) / F.col(f"{name}_scale")).otherwise(flat)
+
+    both = a.select("qid", "row", F.col("score").alias("a")).join(b.select("qid", "row", F.col("score").alias("b")), ["qid", "row"], "full")
+    scaled = both.join(side(a, "a"), "qid").join(side(b, "b"), "qid")
+    return scaled.select("qid", "row", F.round(norm("a") * (1 - weight) + norm("b") * weight, 6).alias("score"))
+
+
 def rerank(ranked: DataFrame, scored: DataFrame, k: int = 20, alpha: float = 0.0) -> DataFrame:
     """Rerank the first k of each list: alpha z(first) + (1 - alpha) z(second) within the candidates, ties keep their order.
 

@@ -9,7 +9,7 @@ from sextant.runtime import table
 
 
 def full_pipeline(spark, folder):
-    dense, lexical = R._tfidf(spark, folder, 50), R._bm25(spark, folder, 50)
+    lexical, dense = R._both(spark, folder, 50)
     config = {"bm25": {"enabled": True}, "rrf": {"depth": 50}, "rerank": {"enabled": True, "k": 10, "alpha": 0.25}, "final_depth": 50}
     return pipeline.run_scores(pipeline.run_stages(dense, config, lexical, second=lambda head: R._judged(spark, folder, head)))
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from sextant.functions import text as T
 from sextant.operators import dense, evaluate, lexical, ranking
-from sextant.runtime import table
+from sextant.runtime import cut, table
 
 
 def _docs(spark, folder):
@@ -28,12 +28,23 @@ def _targets(spark, folder):
     return gains.join(_asked(spark, folder).select("qid"), "qid").join(rows, "doc_id").groupBy("qid").agg(F.min("row").alias("row"))
 
 
-def _bm25(spark, folder, k=10):
-    return lexical.bm25_topk(_docs(spark, folder), _asked(spark, folder), k)
+def _index(spark, folder):
+    """The inverted index of all rows, written once for all searches of a query."""
+    return lexical.build_index(_docs(spark, folder))
 
 
-def _tfidf(spark, folder, k=10):
-    return lexical.tfidf_topk(_docs(spark, folder), _asked(spark, folder), k)
+def _bm25(spark, folder, k=10, index=None):
+    return lexical.bm25_topk(index or _index(spark, folder), _asked(spark, folder), k)
+
+
+def _tfidf(spark, folder, k=10, index=None):
+    return lexical.tfidf_topk(index or _index(spark, folder), _asked(spark, folder), k)
+
+
+def _both(spark, folder, k, index=None):
+    """BM25 and TF-IDF lists of length k over one index."""
+    index = index or _index(spark, folder)
+    return [_bm25(spark, folder, k, index), _tfidf(spark, folder, k, index)]
 
 
 def _judged(spark, folder, ranked):
@@ -91,24 +102,40 @@ def tfidf_topk(spark, folder):
 
 
 def rrf_hybrid(spark, folder):
-    return ranking.rrf([_bm25(spark, folder, 100), _tfidf(spark, folder, 100)], [1.0, 0.5], depth=10)
+    return ranking.rrf(_both(spark, folder, 100), [1.0, 0.5], depth=10)
 
 
 def zscore_fuse(spark, folder):
-    return ranking.top_k(ranking.score_fuse(_bm25(spark, folder, 100), _tfidf(spark, folder, 100), 0.25), 10)
+    return ranking.top_k(ranking.score_fuse(*_both(spark, folder, 100), 0.25), 10)
 
 
 def minmax_fuse(spark, folder):
-    return ranking.top_k(ranking.score_fuse(_bm25(spark, folder, 100), _tfidf(spark, folder, 100), 0.4, "minmax"), 10)
+    return ranking.top_k(ranking.score_fuse(*_both(spark, folder, 100), 0.4, "minmax"), 10)
+
+
+def _fused_over_all(spark, folder, weight, how):
+    """Fusion of BM25 and TF-IDF scores that are normalised over every document, those that share no term scoring 0."""
+    index, asked = _index(spark, folder), _asked(spark, folder)
+    scores = lexical.bm25_scores(index, asked), lexical.tfidf_scores(index, asked)
+    return ranking.top_k(ranking.sparse_fuse(*scores, index.documents, weight, how), 10)
+
+
+def zscore_fuse_all(spark, folder):
+    return _fused_over_all(spark, folder, 0.25, "zscore")
+
+
+def minmax_fuse_all(spark, folder):
+    return _fused_over_all(spark, folder, 0.4, "minmax")
 
 
 def finalize_lists(spark, folder):
-    fused = ranking.rrf([_bm25(spark, folder, 5), _tfidf(spark, folder, 5)], depth=5)
-    return ranking.finalize(fused, _bm25(spark, folder, 30), 20)
+    bm25, tfidf = map(cut, _both(spark, folder, 30))
+    fused = ranking.rrf([x.where("rank <= 5") for x in (bm25, tfidf)], depth=5)
+    return ranking.finalize(fused, bm25, 20)
 
 
 def rerank_interpolate(spark, folder):
-    ranked = _bm25(spark, folder, 30)
+    ranked = cut(_bm25(spark, folder, 30))  # read for head, tail and judge
     return ranking.rerank(ranked, _judged(spark, folder, ranked.where("rank <= 10")), 10, 0.25)
 
 
@@ -117,14 +144,14 @@ def confidence_gaps(spark, folder):
 
 
 def confidence_gate_sweep(spark, folder):
-    ranked, targets = _bm25(spark, folder, 30), _targets(spark, folder)
+    ranked, targets = cut(_bm25(spark, folder, 30)), _targets(spark, folder)
     again = ranking.rerank(ranked, _judged(spark, folder, ranked.where("rank <= 10")), 10, 0.25)
     ranks = [evaluate.ranks_from_lists(x, targets) for x in (ranked, again)]
     return ranking.gate_sweep(ranking.confidence_gap(ranked), *ranks, [0, 0.1, 0.2, 0.3, 0.5, 0.75, 1, 1.5, 2, 99])
 
 
 def rejudge_margin(spark, folder):
-    ranked = _bm25(spark, folder, 10)
+    ranked = cut(_bm25(spark, folder, 10))
     return ranking.rejudge(ranked, _judged(spark, folder, ranked.where("rank <= 3")).withColumnRenamed("second", "judge"))
 
 
@@ -144,12 +171,12 @@ def graded_ndcg(spark, folder):
 
 def paired_compare(spark, folder):
     targets = _targets(spark, folder)
-    ranks = [evaluate.ranks_from_lists(x, targets) for x in (_bm25(spark, folder, 100), _tfidf(spark, folder, 100))]
+    ranks = [evaluate.ranks_from_lists(x, targets) for x in _both(spark, folder, 100)]
     return evaluate.adopted(evaluate.paired(*ranks))
 
 
 def ranking_overlap(spark, folder):
-    return evaluate.top_overlap(_bm25(spark, folder), _tfidf(spark, folder))
+    return evaluate.top_overlap(*_both(spark, folder, 10))
 
 
 def hashing_encoder(spark, folder):
@@ -209,7 +236,7 @@ def explained_hits(spark, folder):
 
 def failure_groups(spark, folder):
     """Why targets are missed in the first ten."""
-    ranked, targets, asked = _bm25(spark, folder, 10), _targets(spark, folder), _asked(spark, folder)
+    ranked, targets, asked = cut(_bm25(spark, folder, 10)), _targets(spark, folder), _asked(spark, folder)
     missed = evaluate.ranks_from_lists(ranked, targets).where("rank > 10").select("qid")
     docs = _docs(spark, folder).select("row", T.name_set(F.col("text")).alias("names"))
     expected = targets.join(missed, "qid").join(docs.withColumnRenamed("names", "want"), "row").select("qid", "want")
@@ -252,6 +279,10 @@ tir as (select qid, row, score, row_number() over (partition by qid order by sco
 _FUSED = lambda how, w: f"""{_BM25}, {_TFIDF}, na as (select qid, row, {how} as a from bmr where rank <= 100), nb as (select qid, row, {how} as b from tir where rank <= 100),
 f as (select qid, row, round(a * {1 - w} + b * {w}, 6) as score from na join nb using (qid, row)),
 fr as (select *, row_number() over (partition by qid order by score desc, row) as rank from f) select qid, rank, row, score from fr where rank <= 10"""
+_STATS_ALL = lambda t: f"(select qid, sum(score) as s, sum(score * score) as q, (select n from stats) as n, least(min(score), case when count(*) < (select n from stats) then 0 else min(score) end) as lo, greatest(max(score), case when count(*) < (select n from stats) then 0 else max(score) end) as hi from {t} group by qid)"
+_FUSED_ALL = lambda norm, w: f"""{_BM25}, {_TFIDF}, u as (select qid, row from bm union select qid, row from ti),
+na as (select u.qid, u.row, {norm} as a from u join {_STATS_ALL('bm')} x using (qid) left join bm using (qid, row)), nb as (select u.qid, u.row, {norm} as b from u join {_STATS_ALL('ti')} x using (qid) left join ti using (qid, row)),
+f as (select qid, row, round(a * {1 - w} + b * {w}, 6) as score from na join nb using (qid, row)), fr as (select *, row_number() over (partition by qid order by score desc, row) as rank from f) select qid, rank, row, score from fr where rank <= 10"""
 _Z = "case when stddev_pop(score) over (partition by qid) > 1e-12 then (score - avg(score) over (partition by qid)) / stddev_pop(score) over (partition by qid) else 0 end"
 _M = "case when max(score) over (partition by qid) > min(score) over (partition by qid) then (score - min(score) over (partition by qid)) / (max(score) over (partition by qid) - min(score) over (partition by qid)) else 0.5 end"
 _DENSE = """v as (select row, text, cast(embedding as double[]) as e from index_rows where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or isnan(x))) = 0 and list_dot_product(cast(embedding as double[]), cast(embedding as double[])) > 0),
@@ -281,7 +312,7 @@ def _narrative_sql(words):
 QUERIES = {
     f.__name__: f
     for f in (
-        *(dense_topk, dense_topk_filtered, dense_rank_gaps, dense_collapsed, duplication_at_k, label_rank_metrics, bm25_idf, bm25_topk, tfidf_topk, rrf_hybrid, zscore_fuse, minmax_fuse, finalize_lists),
+        *(dense_topk, dense_topk_filtered, dense_rank_gaps, dense_collapsed, duplication_at_k, label_rank_metrics, bm25_idf, bm25_topk, tfidf_topk, rrf_hybrid, zscore_fuse, minmax_fuse, zscore_fuse_all, minmax_fuse_all, finalize_lists),
         *(rerank_interpolate, confidence_gaps, confidence_gate_sweep, rejudge_margin, ir_metrics, ranks_by_score, graded_ndcg, paired_compare, ranking_overlap, hashing_encoder, average_vectors, delta_quantize, delta_two_stage, kmeans_terms),
         *(query_terms, query_family, query_narrative, query_routes, explained_hits, failure_groups, document_make_up, latency_percentiles),
     )
@@ -302,6 +333,8 @@ SQL = {
       f as (select qid, row, round(sum(w / (60 + rank)), 9) as score, min(li * 1000 + rank) as first from l group by all), fr as (select *, row_number() over (partition by qid order by score desc, first, row) as rank from f) select qid, rank, row, score from fr where rank <= 10""",
     "zscore_fuse": "with " + _FUSED(_Z, 0.25),
     "minmax_fuse": "with " + _FUSED(_M, 0.4),
+    "zscore_fuse_all": "with " + _FUSED_ALL("case when sqrt(greatest(q / n - (s / n) ** 2, 0)) > 1e-12 then (coalesce(score, 0) - s / n) / sqrt(greatest(q / n - (s / n) ** 2, 0)) else 0 end", 0.25),
+    "minmax_fuse_all": "with " + _FUSED_ALL("case when hi > lo then (coalesce(score, 0) - lo) / (hi - lo) else 0.5 end", 0.4),
     "finalize_lists": f"""with {_BM25}, {_TFIDF}, l as (select qid, row, rank, 0 as li from bmr where rank <= 5 union all select qid, row, rank, 1 from tir where rank <= 5),
       f as (select qid, row, round(sum(1 / (60 + rank)), 9) as score, min(li * 1000 + rank) as first from l group by all), fr as (select qid, row, row_number() over (partition by qid order by score desc, first, row) as rank from f),
       p as (select qid, row, 0 as part, rank from fr where rank <= 5 union all select qid, row, 1, rank from bmr b where rank <= 30 and not exists (select 1 from fr where fr.rank <= 5 and fr.qid = b.qid and fr.row = b.row)),

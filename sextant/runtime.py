@@ -49,6 +49,12 @@ def busy(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys)
 
 
+def together(df: DataFrame, *keys: str) -> DataFrame:
+    """Bring equal keys together: a small input in as many parts as there are cores, a large one in parts of the size that the session asks for."""
+    spread = busy(df, *keys)
+    return df.repartition(*keys) if spread is df else spread
+
+
 def canonical(text: Column) -> Column:
     """Letters and digits of a string in order, letter case ignored (upper first, so that multi-letter cases agree)."""
     return F.regexp_replace(F.lower(F.upper(text)), r"[^\p{L}\p{N}]", "")
