@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # ---- fixed values: word lists, patterns and wordings that results depend on ----
 STOPWORDS = (
@@ -50,6 +54,11 @@ SUBJECT_STOPWORDS = (
 ).split()
 ROUTES = {"problem_statement": "dense", "nl_intent": "dense", "code_query": "dense_code", "structural": "structural"}
 LONG_QUERY_CHARS = 400
+DESCRIPTION_OPENINGS = ("This function ", "This code ", "The function ", "The code ", "It ")
+JUDGE_PROMPT = (
+    'Decide whether the Python code below is a correct solution to the problem. Reply with ONLY a JSON object {"score": <number from 0 to 1>, "reason": "<one short sentence>"}, '
+    "where 1 means certainly correct and 0 means certainly wrong or unrelated.\n\n"
+)
 # ---- end of fixed values ----
 
 
@@ -192,3 +201,49 @@ def truncate_words(text: Column, most: int, suffix: str = "...") -> Column:
 def split_sentences(text: Column) -> Column:
     """Sentences: cut at white space after . ! or ?"""
     return F.filter(F.split(F.regexp_replace(text, r"([.!?])\s+", "$1\u0001"), "\u0001"), lambda s: F.trim(s) != "")
+
+
+def normalize_whitespace(text: Column) -> Column:
+    """Every run of white space as one blank, none at the ends."""
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+@F.pandas_udf(StringType())
+def strip_accents(text: pd.Series) -> pd.Series:
+    """Text without diacritics (compatibility decomposition, combining marks dropped)."""
+    plain = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+    return text.map(plain, na_action="ignore")
+
+
+def highlight(text: Column, query: Column, marker: str = "**") -> Column:
+    """The words of a text, parted by blanks, with those between markers that are words of the query."""
+    terms = F.transform(F.regexp_extract_all(query, F.lit(r"\w+"), F.lit(0)), F.lower)
+    found = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    return F.array_join(F.transform(found, lambda w: F.when(F.array_contains(terms, F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}_]", "")), F.concat(F.lit(marker), w, F.lit(marker))).otherwise(w)), " ")
+
+
+def clean_description(line: Column) -> Column:
+    """The first line of a description, without backquotes around it and one opening phrase, at most 220 characters."""
+    first = F.trim(F.regexp_extract(F.regexp_replace(F.coalesce(line, F.lit("")), r"^\s+", ""), r"^[^\n]*", 0))
+    bare = F.trim(F.regexp_replace(first, "^`+|`+$", ""))
+    openings = "|".join(w.strip() for w in DESCRIPTION_OPENINGS)
+    return F.trim(F.substring(F.regexp_replace(bare, f"^(?:{openings}) ", ""), 1, 220))
+
+
+def judge_prompt(problem: Column, code: Column, most: int = 4000) -> Column:
+    """The prompt that asks a judge for a score of a solution, each part cut at `most` characters."""
+    part = lambda c: F.regexp_replace(F.substring(F.coalesce(c, F.lit("")), 1, most), r"^\s+|\s+$", "")
+    return F.concat(F.lit(JUDGE_PROMPT + "PROBLEM:\n"), part(problem), F.lit("\nCODE:\n"), part(code))
+
+
+def reranker_pair(instruction: str, query: Column, document: Column) -> Column:
+    """The text that a pair reranker reads."""
+    return F.concat(F.lit(f"<Instruct>: {instruction}\n<Query>: "), query, F.lit("\n<Document>: "), document)
+
+
+def subject_pair(text: Column) -> Column:
+    """Struct first and second of a question about the order of two calls: the names around the word before."""
+    name = "[\"'`]?([A-Za-z_][A-Za-z0-9_.]*)[\"'`]?(?:\\(\\))?"
+    pattern = rf"(?i)\b{name}\s+before\s+(?:calling\s+|it\s+calls\s+)?{name}"
+    first, second = F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2)
+    return F.when(first != "", F.struct(first.alias("first"), second.alias("second")))

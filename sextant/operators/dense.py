@@ -49,6 +49,12 @@ def hashing_encoder(docs: DataFrame, id: str, text: str, dim: int = 64, most: in
     return sums.withColumn("norm", norm).where("v <> 0").select(id, "bucket", F.round(F.col("v") / F.greatest("norm", F.lit(1e-12)), 6).alias("value"))
 
 
+def dense_vectors(sparse: DataFrame, id: str, dim: int = 64) -> DataFrame:
+    """(id, embedding) of vectors given as (id, bucket, value); buckets that are not listed are 0."""
+    whole = sparse.groupBy(id).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "value"))).alias("m"))  # at most dim entries
+    return whole.select(id, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)).cast("float")).alias("embedding"))
+
+
 def dense_topk(docs: DataFrame, queries: DataFrame, k: int = 10, id: str = "row", embedding: str = "embedding", qid: str = "qid", dim: int = 64, exclude_self: bool = False) -> DataFrame:
     """(qid, rank, row, score): exact cosine top-k of every query, score at 6 digits, ties by row.
 

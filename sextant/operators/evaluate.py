@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -52,14 +52,14 @@ def graded_ndcg(ranked: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
     return ideal.join(got, "qid", "left").select("qid", F.round(F.coalesce(F.col("dcg") / F.col("idcg"), F.lit(0.0)), 6).alias("ndcg"), F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("mrr"))
 
 
-def paired(ranks: DataFrame, base: DataFrame, boots: int = 2000, seed: int = 0) -> DataFrame:
-    """One row: improved, worsened, same, delta (NDCG@10) and its percentile bootstrap interval ci_low, ci_high.
+def paired(ranks: DataFrame, base: DataFrame, boots: int = 2000, seed: int = 0, metric: Callable[[Column], Column] = ndcg10) -> DataFrame:
+    """One row: improved, worsened, same, delta (of the metric) and its percentile bootstrap interval ci_low, ci_high.
 
     The interval resamples groups of equal differences (few: ranks above 10 all give 0) by a seeded multinomial draw in
     one task, so its cost does not grow with the number of queries.
     """
     both = ranks.select("qid", F.col("rank").alias("r")).join(base.select("qid", F.col("rank").alias("b")), "qid")
-    d = ndcg10(F.col("r")) - ndcg10(F.col("b"))
+    d = metric(F.col("r")) - metric(F.col("b"))
     groups = both.groupBy(F.round(d, 12).alias("d")).agg(F.count("*").alias("n"), F.sum((F.col("r") < F.col("b")).cast("long")).alias("improved"), F.sum((F.col("r") > F.col("b")).cast("long")).alias("worsened"), F.sum((F.col("r") == F.col("b")).cast("long")).alias("same"))
 
     def boot(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -84,12 +84,13 @@ def adopted(c: DataFrame, gain: float = 0.005, worse: float = 0.5) -> DataFrame:
 def nearest_rank(values: DataFrame, value: str, percents: list[int], by: list[str]) -> DataFrame:
     """by + pN columns: nearest-rank percentiles at index round-half-even(p / 100 * n + .5) - 1, within the values.
 
-    An exact percentile_disc per group does not fit this index rule, so values are numbered per group.
+    Equal values are counted first, so a group's distinct values, not its rows, are ordered.
     """
+    counts = values.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
     w = Window.partitionBy(*by)
-    numbered = values.where(F.col(value).isNotNull()).withColumn("i", F.row_number().over(w.orderBy(value)) - 1).withColumn("n", F.count("*").over(w))
+    upto = counts.withColumn("upto", F.sum("c").over(w.orderBy(value))).withColumn("n", F.sum("c").over(w))
     at = lambda p: F.greatest(F.lit(0), F.least(F.col("n") - 1, F.bround(F.lit(p / 100.0) * F.col("n") + 0.5).cast("long") - 1))
-    return numbered.groupBy(*by).agg(*[F.max(F.when(F.col("i") == at(p), F.col(value))).alias(f"p{p}") for p in percents])
+    return upto.groupBy(*by).agg(*[F.min(F.when(F.col("upto") > at(p), F.col(value))).alias(f"p{p}") for p in percents])
 
 
 def top_overlap(a: DataFrame, b: DataFrame, k: int = 10) -> DataFrame:

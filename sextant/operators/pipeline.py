@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from copy import deepcopy
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -103,3 +105,69 @@ def bigrams(docs: DataFrame, id: str, text: str, top: int = 20) -> DataFrame:
 
     pairs = busy(docs.select(id, text)).select(F.explode(ngrams(words(F.col(text)), 2)).alias("bigram"))
     return pairs.groupBy("bigram").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "bigram").limit(top)
+
+
+# ---- labellers over raw lines ----
+def source_lines(files: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
+    """(file, line, content) of all lines, parted at \\n only; repeated files count once."""
+    lines = busy(files.where(F.col(text).isNotNull()).select(file, text), file, text).distinct()
+    return lines.select(F.col(file).alias("file"), F.posexplode(F.split(F.col(text), "\n")).alias("i", "content")).select("file", (F.col("i") + 1).alias("line"), "content")
+
+
+_DEF = r"^\s*(?:async\s+)?def\s+"
+
+
+def grep_calls(lines: DataFrame, name: str) -> DataFrame:
+    """Lines with a textual call of a plain name, without its definition and comment lines."""
+    call = (F.col("content").rlike(rf"(?:^|[^\w.]){re.escape(name)}\s*\("), ~F.col("content").rlike(rf"{_DEF}{re.escape(name)}\s*\("), ~F.col("content").rlike(r"^\s*#"))
+    return lines.where(call[0] & call[1] & call[2]).select("file", "line")
+
+
+def grep_imports(lines: DataFrame, name: str) -> DataFrame:
+    """Lines that import a name."""
+    return lines.where(F.col("content").rlike(rf"^\s*(?:from\s+[\w.]+\s+import\s+.*\b{re.escape(name)}\b|import\s+.*\b{re.escape(name)}\b)")).select("file", "line")
+
+
+def grep_text(lines: DataFrame, needle: str) -> DataFrame:
+    """Lines that hold a text."""
+    return lines.where(F.col("content").contains(needle)).select("file", "line")
+
+
+def grep_defs(lines: DataFrame) -> DataFrame:
+    """(name, file, line) of every textual definition."""
+    name = F.regexp_extract("content", _DEF + r"([A-Za-z_]\w*)\s*\(", 1)
+    return lines.select(name.alias("name"), "file", "line").where("name <> ''")
+
+
+def docstring_questions(lines: DataFrame, least: int = 20) -> DataFrame:
+    """(question, name, file, line): the opening line of a docstring that follows a one-line header within two lines."""
+    w = Window.partitionBy("file").orderBy("line")
+    bare = lambda c: F.trim(F.regexp_replace(c, r"^\s+|\s+$", ""))
+    one, two = bare(F.lead("content", 1).over(w)), bare(F.lead("content", 2).over(w))
+    opening = F.when(one != "", one).otherwise(two)
+    found = lines.select(F.regexp_extract("content", _DEF + r"([A-Za-z_]\w*)\s*\(.*?:\s*$", 1).alias("name"), "file", "line", opening.alias("opening")).where("name <> ''")
+    quoted = F.col("opening").startswith('"""') | F.col("opening").startswith("'''")
+    text = F.regexp_replace("opening", "^[\"' ]+|[\"' ]+$", "")
+    asked = found.where(quoted).select(text.alias("question"), "name", "file", "line")
+    return asked.where((F.length("question") >= least) & ~F.lower("question").rlike("^(?:todo|fixme)"))
+
+
+def score_pairs(candidates: DataFrame, score: Callable[[list[str], list[str]], list[float]], query: str = "query", text: str = "text", batch: int = 32) -> DataFrame:
+    """candidates with `second`, the score of each (query, text) pair by a scorer that takes lists, longest pairs first."""
+
+    @F.pandas_udf("double")
+    def scored(queries: pd.Series, texts: pd.Series) -> pd.Series:
+        order = (queries.str.len().fillna(0) + texts.str.len().fillna(0)).sort_values(ascending=False, kind="stable").index
+        out = pd.Series(index=queries.index, dtype=float)
+        for a in range(0, len(order), batch):
+            at = order[a : a + batch]
+            out[at] = score(queries[at].fillna("").tolist(), texts[at].fillna("").tolist())
+        return out
+
+    return busy(candidates).withColumn("second", scored(query, text))
+
+
+def word_frequencies(rows: DataFrame, text: str = "text", top: int | None = None) -> DataFrame:
+    """(word, n): how often each word occurs, most first, ties by word."""
+    counts = rows.select(F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return counts.orderBy(F.desc("n"), "word").limit(top) if top is not None else counts

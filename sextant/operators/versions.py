@@ -121,6 +121,31 @@ def change_labels(rows: DataFrame, by: Sequence[str], lineage: str = "lineage_id
     return one.withColumn("change", label)
 
 
+def change_totals(rows: DataFrame, by: Sequence[str], lineage: str = "lineage_id", version: str = "version", **options) -> DataFrame:
+    """(by, version, lineages, added, modified, unchanged, removed) of every delivered snapshot.
+
+    Labels are those of change_labels; removed are lineages of the snapshot delivered before that are not in this one.
+    """
+    by = list(by)
+    labels = change_labels(rows, by, lineage, version, **options)
+    count = lambda k: F.sum((F.col("change") == k).cast("long")).alias(k)
+    counts = labels.groupBy(*by, version).agg(F.count("*").alias("lineages"), count("added"), count("modified"), count("unchanged"))
+    after = counts.select(*by, version, F.lead(version).over(Window.partitionBy(*by).orderBy(version)).alias("_after")).where("_after is not null")
+    comes = labels.withColumn("_comes", F.lead(version).over(Window.partitionBy(*by, lineage).orderBy(version))).select(*by, version, "_comes")
+    gone = comes.join(after, [*by, version]).where(F.col("_comes").isNull() | (F.col("_comes") != F.col("_after"))).groupBy(*by, F.col("_after").alias(version)).agg(F.count("*").alias("removed"))
+    return counts.join(gone, [*by, version], "left").withColumn("removed", F.coalesce("removed", F.lit(0).cast("long")))
+
+
+def rows_for(nested: DataFrame, versions: Sequence[int] | None = None, snippet: str = "snippet_id", inner: str = "versions") -> DataFrame:
+    """Rows of nested histories (snippet, versions: array of structs with version, text and more), of the wanted versions only.
+
+    Adds doc_id `snippet@vN`. A null or empty list gives no rows.
+    """
+    flat = nested.select(F.col(snippet), F.explode(inner).alias("_v")).select(snippet, "_v.*")
+    kept = flat if versions is None else flat.where(F.col("version").isin([int(v) for v in versions]))
+    return kept.withColumn("doc_id", F.concat(F.col(snippet), F.lit("@v"), F.col("version")))
+
+
 def as_of(rows: DataFrame, version: int, key: Sequence[str], column: str = "version", row: str = "row") -> DataFrame:
     """The rows in force at a version: of each key the row with the greatest version not above it, ties by row."""
     w = Window.partitionBy(*key).orderBy(F.desc(column), F.desc(row))
@@ -266,12 +291,49 @@ def file_rename_links(changes: DataFrame, renames: DataFrame, by: Sequence[str])
 
 
 def tracked_links(changes: DataFrame, renames: DataFrame, by: Sequence[str], threshold: float = 0.8) -> DataFrame:
-    """Links with their scope: `file` by file renames first, `function` by alike bodies among what is left."""
+    """Links with scope and kind: `file` by file renames first, `function` by alike bodies among what is left.
+
+    A link is a `rename` if the function stays in its file (or in what its file was renamed to), else a `move`.
+    """
     by = list(by)
     moved = cut(file_rename_links(changes, renames, by))
     left = lambda side, end: changes.where(F.col("side") == side).join(moved.select(*by, F.col(end).alias("id")), [*by, "id"], "left_anti")
     alike = rename_links(left("removed", "old").unionByName(left("added", "new")), by, threshold)
-    return moved.withColumn("scope", F.lit("file")).unionByName(alike.withColumn("scope", F.lit("function")))
+    file = lambda side, end: changes.where(F.col("side") == side).select(*by, F.col("id").alias(end), F.col("file").alias(f"{end}_file"))
+    paths = renames.select(*by, F.col("old").alias("old_file"), F.col("new").alias("renamed"))
+    placed = alike.join(file("removed", "old"), [*by, "old"]).join(file("added", "new"), [*by, "new"]).join(paths, [*by, "old_file"], "left")
+    stays = F.coalesce("renamed", "old_file") == F.col("new_file")
+    within = placed.select(*alike.columns, F.lit("function").alias("scope"), F.when(stays, "rename").otherwise("move").alias("kind"))
+    return moved.withColumn("scope", F.lit("file")).withColumn("kind", F.lit("rename")).unionByName(within)
+
+
+def canonical_lineages(rows: DataFrame, links: DataFrame, by: Sequence[str], key: str = "key", version: str = "version") -> DataFrame:
+    """Rows (by, key, version, ...) with lineage_id, the key that a function was first given, carried over its links.
+
+    links: (by, version, old, new): at that version the function of key old goes on as new. A key keeps its lineage while it
+    is there at every version of `by`; a key that comes back without a link starts a lineage of its own key again. Chains
+    of links are followed by pointer doubling, in a number of rounds that grows with the logarithm of their length.
+    """
+    by = list(by)
+    known = rows.select(*by, version).distinct().withColumn("_before", F.lag(version).over(Window.partitionBy(*by).orderBy(version)))
+    placed = rows.select(*by, key, version).distinct().join(known, [*by, version])
+    last = F.lag(version).over(Window.partitionBy(*by, key).orderBy(version))
+    starts = placed.withColumn("_new", (last.isNull() | ~last.eqNullSafe(F.col("_before"))).cast("int"))
+    runs = cut(starts.withColumn("_run", F.sum("_new").over(Window.partitionBy(*by, key).orderBy(version))))
+    node = F.struct(F.col(key), F.col("_run"))
+    heads = runs.where("_new = 1").select(*by, version, "_before", key, node.alias("node"))
+    ends = runs.select(*by, F.col(version).alias("_before"), F.col(key).alias("old"), node.alias("parent"))
+    linked = heads.join(links.select(*by, version, "old", F.col("new").alias(key)).dropDuplicates([*by, version, key]), [*by, version, key]).join(ends, [*by, "_before", "old"]).select(*by, "node", "parent")
+    up = cut(heads.select(*by, "node").join(linked, [*by, "node"], "left").withColumn("parent", F.coalesce("parent", "node")))
+    while True:
+        above = up.select(*by, F.col("node").alias("parent"), F.col("parent").alias("_next"))
+        further = cut(up.join(above, [*by, "parent"]).select(*by, "node", F.col("_next").alias("parent"), (F.col("_next") != F.col("parent")).alias("moved")))
+        done = further.where("moved").isEmpty()
+        up = further.drop("moved")
+        if done:
+            break
+    named = runs.select(*by, key, version, node.alias("node")).join(up, [*by, "node"]).select(*by, key, version, F.col(f"parent.{key}").alias("lineage_id"))
+    return rows.join(named, [*by, key, version])
 
 
 # ---- reindexing ----

@@ -3,15 +3,26 @@
 from pyspark.sql import functions as F
 
 from sextant.functions import text as T
-from sextant.operators import pipeline
+from sextant.operators import dense, pipeline
 from sextant.plans import retrieval as R
-from sextant.runtime import table
+from sextant.runtime import cut, table
 
 
 def full_pipeline(spark, folder):
-    lexical, dense = R._both(spark, folder, 50)
+    lexical, first = R._both(spark, folder, 50)
     config = {"bm25": {"enabled": True}, "rrf": {"depth": 50}, "rerank": {"enabled": True, "k": 10, "alpha": 0.25}, "final_depth": 50}
-    return pipeline.run_scores(pipeline.run_stages(dense, config, lexical, second=lambda head: R._judged(spark, folder, head)))
+    return pipeline.run_scores(pipeline.run_stages(first, config, lexical, second=lambda head: R._judged(spark, folder, head)))
+
+
+def encoded_pipeline(spark, folder):
+    """The pipeline at its default depths: hashing encoder and vector search, BM25, fusion, reranking and re-judging by a mock judge."""
+    docs, asked = R._docs(spark, folder), R._asked(spark, folder)
+    vectors = cut(dense.dense_vectors(dense.hashing_encoder(docs, "row", "text"), "row"))
+    queries = dense.dense_vectors(dense.hashing_encoder(asked, "qid", "text"), "qid")
+    first = cut(dense.dense_topk(vectors, queries, 1000))
+    config = {"bm25": {"enabled": True}, "rerank": {"enabled": True}, "rejudge": {"enabled": True}}
+    judge = lambda head: R._judged(spark, folder, head)
+    return pipeline.run_scores(pipeline.run_stages(first, config, R._bm25(spark, folder, 100), second=judge, judge=lambda head: judge(head).withColumnRenamed("second", "judge")))
 
 
 def hard_negatives(spark, folder):
@@ -42,8 +53,17 @@ def hourly_events(spark, folder):
     return windowed_counts(table(spark, folder, "events"), window="1 hour").select("start", "event_type", "n", F.round("value", 4).alias("value"))
 
 
-QUERIES = {f.__name__: f for f in (full_pipeline, hard_negatives, mock_descriptions, line_matches, word_bigrams, sentence_lengths, hourly_events)}
+QUERIES = {f.__name__: f for f in (full_pipeline, encoded_pipeline, hard_negatives, mock_descriptions, line_matches, word_bigrams, sentence_lengths, hourly_events)}
+_RUN = f"""{R._BM25}, {R._TFIDF}, l as (select qid, row, rank, 0 as li from bmr where false union all select qid, row, rank, 0 from tir where rank <= 50 union all select qid, row, rank, 1 from bmr where rank <= 50),
+f as (select qid, row, round(sum(1 / (60 + rank)), 9) as score, min(li * 1000 + rank) as first from l group by all), fr as (select qid, row, score, row_number() over (partition by qid order by score desc, first, row) as rank from f),
+j as (select b.qid, b.row, round(least(1.0, 2 * ({R._JACCARD(R._LOW('a.text'), R._LOW('d.text'))})), 3) as second from fr b join asked a using (qid) join index_rows d on d.row = b.row where rank <= 10),
+head as (select b.*, second from fr b join j using (qid, row) where b.rank <= 10), mixed as (select *, round(0.25 * ({R._Z}) + 0.75 * ({R._Z.replace('score', 'second')}), 9) as mixed from head),
+rr as (select qid, row, row_number() over (partition by qid order by mixed desc, rank) as rank from mixed union all select qid, row, rank from fr where rank > 10),
+p as (select qid, row, 0 as part, rank from rr union all select qid, row, 1, rank from tir t where rank <= 50 and not exists (select 1 from rr where rr.qid = t.qid and rr.row = t.row)),
+o as (select qid, row, row_number() over (partition by qid order by part, rank, row) as rank from p)"""
+
 SQL = {
+    "full_pipeline": f"with {_RUN} select qid, rank, row, count(*) over (partition by qid) - rank + 1 as score from o where rank <= 50",
     "hard_negatives": f"""with {R._BM25}, {R._TARGETS}, w as (select b.qid, b.row, b.rank from bmr b where rank <= 20 and not exists (select 1 from targets t where t.qid = b.qid and t.row = b.row)),
       p as (select qid, row, row_number() over (partition by qid order by rank) as place from w) select qid, place, row from p where place <= 5""",
     "mock_descriptions": "select row, substr(lower(array_to_string(list_filter(list_slice(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*'), 1, 8), lambda w: length(w) > 2), ' ')), 1, 120) as description, substr(sha256(text), 1, 24) as snippet_key from index_rows where text is not null",

@@ -361,6 +361,14 @@ SQL = {
     "delta_quantize": """with p as (select label as lineage, vec_id as hash, unnest(range(64)) as pos, embedding as e from embeddings), x as (select lineage, hash, cast(pos as int) as pos, cast(e[pos + 1] as double) as v from p), b as (select lineage, pos, round(avg(v), 6) as base from x group by all),
       d as (select lineage, hash, pos, v - base as d from x join b using (lineage, pos)), s as (select *, case when max(abs(d)) over (partition by lineage, hash) > 0 then max(abs(d)) over (partition by lineage, hash) / 127 else 1 end as scale from d)
       select lineage, hash, pos, cast(greatest(-127, least(127, round_even(d / scale, 0))) as int) as residual, round(scale, 9) as scale from s""",
+    "delta_two_stage": """with x as (select label as lineage, vec_id as hash, unnest(range(1, 65)) as pos, cast(embedding as double[]) as e from embeddings), b as (select lineage, pos, round(avg(e[pos]), 6) as base from x group by all),
+      d as (select x.lineage, hash, x.pos, e[x.pos] - base as d, base from x join b on x.lineage = b.lineage and x.pos = b.pos), m as (select *, max(abs(d)) over (partition by lineage, hash) as peak from d),
+      v as (select lineage, hash, list(base + greatest(-127, least(127, round_even(d / case when peak > 0 then peak / 127 else 1 end, 0))) * case when peak > 0 then peak / 127 else 1 end order by pos) as v from m group by all),
+      q as (select vec_id as qid, list_transform(embedding, lambda y: cast(y as double) / greatest(sqrt(list_dot_product(cast(embedding as double[]), cast(embedding as double[]))), 1e-12)) as q from embeddings where vec_id % 20 = 0),
+      bl as (select lineage, list(base order by pos) as b from b group by lineage),
+      f as (select qid, lineage, row_number() over (partition by qid order by round(list_dot_product(q, b) / greatest(sqrt(list_dot_product(b, b)), 1e-12), 6) desc, lineage) as n from q, bl),
+      s as (select qid, v.lineage, hash, round(list_dot_product(q, v), 6) as score from f join v on v.lineage = f.lineage join q using (qid) where n <= 30)
+      select qid, rank, lineage, hash, score from (select *, row_number() over (partition by qid order by score desc, lineage, hash) as rank from s) where rank <= 10""",
     "query_terms": f"select distinct qid, list_distinct_ordered as terms from (select qid, list_reduce(list_prepend([], list_transform(list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z][A-Za-z0-9]*'), lambda w: lower(w)), lambda w: length(w) >= 3 and w not in ({', '.join(chr(39) + w.replace(chr(39), chr(39) * 2) + chr(39) for w in T.STOPWORDS)})), lambda w: [w])), lambda a, b: case when list_contains(a, b[1]) then a else list_concat(a, b) end) as list_distinct_ordered from queries)",
     "query_family": "select distinct qid, case greatest("
     + ", ".join("(" + " + ".join(f"cast(contains(lower(coalesce(text, '')), '{h}') as int)" for h in hints) + ")" for hints in T.QUERY_HINTS.values())

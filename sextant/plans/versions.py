@@ -264,6 +264,12 @@ SQL = {
     "doc_ids": r"""select row, nullif(regexp_extract(doc_id, '(?s)^(.+)@v(\d+)$', 1), '') as snippet_id, try_cast(regexp_extract(doc_id, '@v(\d+)$', 1) as int) as version,
       lower(regexp_replace(regexp_replace(qualname, '[_.]+', ' ', 'g'), '([a-z0-9])([A-Z])', '\1 \2', 'g')) || ' in ' || file as phrase from index_versions""",
     "latest_history": "select repo, subdir, version, max(modified) as modified, max(lineages) as lineages from history_ingest group by all",
+    "version_queries": r"""with one as (select repo, subdir, lineage_id, version, text, qualname, file from index_versions where lineage_id is not null and text is not null qualify row_number() over (partition by repo, subdir, lineage_id, version order by row desc) = 1),
+      n as (select *, list_distinct(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{2,}')) as names from one), p as (select *, lag(names) over (partition by repo, subdir, lineage_id order by version) as before from n),
+      f as (select * exclude (names, before), list_filter(names, lambda t: length(t) >= 4 and not list_contains(before, t)) as fresh from p where before is not null),
+      t as (select *, list_sort(list_transform(fresh, lambda t: {l: -length(t), t: t}))[1].t as token, row_number() over (partition by repo, subdir, lineage_id order by version) as i from f where len(fresh) > 0)
+      select t.repo, t.subdir, t.lineage_id, t.version, token, lower(regexp_replace(regexp_replace(t.qualname, '[_.]+', ' ', 'g'), '([a-z0-9])([A-Z])', '\1 \2', 'g')) || ' in ' || t.file || ' ' || token as query, list_sort(list(distinct o.version)) as acceptable
+      from t join one o on o.repo is not distinct from t.repo and o.subdir is not distinct from t.subdir and o.lineage_id = t.lineage_id and contains(o.text, token) where i <= 1 group by all""",
     "find_definitions": """with t as (select file, name, qualname, kind, start_line, end_line, docstring, case when file || '::' || qualname = 'scan_tokens' then 1 when name = 'scan_tokens' then 2 when ends_with(qualname, '.scan_tokens') then 3 end as tier from defs)
       select * exclude tier from t where tier = (select min(tier) from t)""",
     "enclosing_definitions": """with d as (select distinct file, qualname, start_line, end_line from defs) select d.file, d.qualname, d.start_line, o.qualname as outer from d join d o on d.file = o.file and o.start_line <= d.start_line and o.end_line >= d.end_line and o.qualname <> d.qualname

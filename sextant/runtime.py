@@ -55,6 +55,30 @@ def together(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(*keys) if spread is df else spread
 
 
+def _path(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop for a path, so that object stores and local folders are treated alike."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder or file is there, on whatever file system it lies."""
+    files, hadoop = _path(spark, path)
+    return files.exists(hadoop)
+
+
+def resolved(spark: SparkSession, path: str) -> str:
+    """The path with its file system, as scans report it (`file:/...` on this machine)."""
+    files, hadoop = _path(spark, path)
+    return files.makeQualified(hadoop).toString()
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, sorted; none if it is not there."""
+    files, hadoop = _path(spark, path)
+    return sorted(x.getPath().getName() for x in files.listStatus(hadoop)) if files.exists(hadoop) else []
+
+
 def canonical(text: Column) -> Column:
     """Letters and digits of a string in order, letter case ignored (upper first, so that multi-letter cases agree)."""
     return F.regexp_replace(F.lower(F.upper(text)), r"[^\p{L}\p{N}]", "")

@@ -8,20 +8,22 @@ import os
 import random
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sextant.functions.text import mock_judge
 from sextant.operators.code import SKIP_DIRS, chunk_files, parse_failures
+from sextant.runtime import cut, folder_exists, resolved
 
 
 def read_sources(spark: SparkSession, root: str, pattern: str = "*.py", skip: Sequence[str] = tuple(SKIP_DIRS)) -> DataFrame:
     """(file, text) of every matching file under root, file relative to it; files inside skipped directories are left out."""
-    if not os.path.isdir(root):
+    if not folder_exists(spark, root):
         raise NotADirectoryError(root)
-    base = os.path.abspath(root).rstrip("/") + "/"
+    base = resolved(spark, root).rstrip("/") + "/"
     raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
-    path = F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), "^file:/+", "/")
+    path = F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), "^file:/+", "file:/")
     named = raw.select(F.substring(path, len(base) + 1, 1_000_000).alias("file"), F.decode("content", "UTF-8").alias("text"))
     dirs = F.slice(F.split("file", "/"), 1, F.greatest(F.size(F.split("file", "/")) - 1, F.lit(0)))
     return named.where(~F.arrays_overlap(dirs, F.array(*[F.lit(s) for s in skip])))
@@ -65,11 +67,68 @@ def cached_vectors(rows: DataFrame, encode: Callable[[DataFrame], DataFrame], fo
     spark = rows.sparkSession
     each = rows.agg(F.sha2(F.concat_ws("", F.bit_xor(F.xxhash64("row", text)).cast("string"), F.sum(F.xxhash64("row", text).cast("decimal(38,0)")).cast("string"), F.count("*").cast("string")), 256).alias("h")).first()["h"]
     path = os.path.join(folder, hashlib.sha256("\0".join((model, name, each)).encode()).hexdigest()[:24])
-    if not os.path.exists(os.path.join(path, "_SUCCESS")):
+    if not folder_exists(spark, os.path.join(path, "_SUCCESS")):
         encode(rows).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+class CacheMissError(LookupError):
+    """Vectors that a cache-only read does not find."""
+
+
+def cached_only(rows: DataFrame, folder: str, model: str, names: dict[str, DataFrame] | None = None, name: str = "docs", text: str = "text") -> DataFrame:
+    """Vectors of rows from the cache; CacheMissError that says what to run if they are not there. Nothing is ever encoded."""
+
+    def refuse(_: DataFrame) -> DataFrame:
+        raise CacheMissError(f"no cached vectors of {name!r} for model {model!r}; build them with `python -m sextant.cli build` or cached_vectors(...)")
+
+    return cached_vectors(rows, refuse, folder, model, name, text)
+
+
+def load_test(read: Callable[[], tuple[DataFrame, DataFrame, DataFrame]], allow_test: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(corpus, queries, qrels) of the test split, which is reserved: PermissionError unless allowed.
+
+    Judgements without gain, of unknown documents or of queries without text are dropped, and queries without judgement.
+    """
+    if not allow_test:
+        raise PermissionError("the test split is reserved for the official run; use the train split, or pass allow_test=True")
+    corpus, queries, qrels = read()
+    asked = queries.where(F.trim("text") != "").dropDuplicates(["qid"])
+    kept = qrels.where("gain > 0").join(corpus.select("doc_id").distinct(), "doc_id", "left_semi").join(asked, "qid", "left_semi").groupBy("qid", "doc_id").agg(F.max("gain").alias("gain"))
+    return corpus, asked.join(kept, "qid", "left_semi"), kept
+
+
+def reply_key(provider: str, model: str, prompt: Column, system: str | None = None) -> Column:
+    """The cache key of a reply: SHA-256 of the JSON list of provider, model, prompt and system prompt."""
+    return F.sha2(F.to_json(F.array(F.lit(provider), F.lit(model), prompt, F.lit(system).cast("string"))), 256)
+
+
+def cached_replies(prompts: DataFrame, call: Callable[[DataFrame], DataFrame], folder: str, provider: str = "mock", model: str = "mock", system: str | None = None) -> DataFrame:
+    """prompts (prompt, ...) with their reply. Only prompts without cached reply reach `call`, each once.
+
+    call: (key, prompt) -> DataFrame with key and reply. New replies are appended to the folder; of repeated keys the
+    first in order counts.
+    """
+    spark = prompts.sparkSession
+    keyed = prompts.withColumn("key", reply_key(provider, model, F.col("prompt"), system))
+    schema = "key string, reply string"
+    if not folder_exists(spark, folder):
+        spark.createDataFrame([], schema).write.parquet(folder)
+    held = spark.read.schema(schema).parquet(folder)
+    missing = cut(keyed.select("key", "prompt").where("prompt is not null").dropDuplicates(["key"]).join(held, "key", "left_anti"))
+    if not missing.isEmpty():
+        call(missing).select("key", "reply").write.mode("append").parquet(folder)
+    known = spark.read.schema(schema).parquet(folder).groupBy("key").agg(F.min("reply").alias("reply"))
+    return keyed.join(known, "key", "left").drop("key")
+
+
+def mock_replies(missing: DataFrame) -> DataFrame:
+    """Replies of a deterministic judge: a score for prompts that hold a problem and code, else a fixed word."""
+    problem, code = F.regexp_extract("prompt", r"(?s)PROBLEM:\n(.*?)\nCODE:\n(.*)", 1), F.regexp_extract("prompt", r"(?s)PROBLEM:\n(.*?)\nCODE:\n(.*)", 2)
+    judged = F.to_json(F.struct(mock_judge(problem, code).alias("score"), F.lit("mock").alias("reason")))
+    return missing.withColumn("reply", F.when(F.col("prompt").rlike(r"(?s)PROBLEM:\n.*?\nCODE:\n"), judged).otherwise("mock response"))
+
+
 def experiment_view(log: DataFrame) -> DataFrame:
     """The latest row of each experiment (preset, grp, exp, split, n), best NDCG first."""
     return latest_records(log, ["preset", "grp", "exp", "split", "n"], "at").orderBy(F.desc("ndcg_10"), "exp")

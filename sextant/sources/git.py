@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sextant.operators.code import SKIP_DIRS, chunk_files
-from sextant.operators.versions import tracked_links, with_content_hash
+from sextant.operators.versions import canonical_lineages, tracked_links, with_content_hash
 from sextant.runtime import cut
 
 
@@ -93,7 +93,7 @@ def function_versions(spark: SparkSession, repo: str, most: int | None = None, s
 
 
 def function_links(spark: SparkSession, repo: str, most: int | None = None, subdir: str | None = None, threshold: float = 0.8) -> DataFrame:
-    """(version, old, new, similarity, scope) of functions that go on under another `file::qualname` at a commit.
+    """(version, old, new, similarity, scope, kind) of functions that go on under another `file::qualname` at a commit.
 
     Functions of a file that git takes for renamed go on at the same qualname in the new file (scope file); of the others,
     those that were removed go on in added ones of alike bodies (scope function).
@@ -105,3 +105,18 @@ def function_links(spark: SparkSession, repo: str, most: int | None = None, subd
     come = placed.where("version > 1 and (was is null or was < version - 1)").withColumn("side", F.lit("added"))
     changes = gone.unionByName(come).select("version", "side", F.col("lineage_id").alias("id"), "file", "kind", "name", "qualname", "text")
     return tracked_links(changes, file_renames(commits, repo), ["version"], threshold)
+
+
+def tracked_history(spark: SparkSession, repo: str, most: int | None = None, subdir: str | None = None, threshold: float = 0.8) -> DataFrame:
+    """function_versions with lineages carried through renames: key (`file::qualname`), lineage_id (the first key), change
+    (added, modified or unchanged against the commit before, by lineage), and of links their kind, similarity, scope and origin.
+    """
+    rows = cut(function_versions(spark, repo, most, subdir).withColumnRenamed("lineage_id", "key"))
+    links = cut(function_links(spark, repo, most, subdir, threshold))
+    ones = rows.withColumn("repo", F.lit(repo))
+    carried = canonical_lineages(ones, links.withColumn("repo", F.lit(repo)), ["repo"]).drop("repo")
+    w = Window.partitionBy("lineage_id").orderBy("version")
+    near = F.lag("version").over(w) == F.col("version") - 1
+    change = F.when(F.coalesce(near, F.lit(False)), F.when(F.lag("content_hash").over(w).eqNullSafe(F.col("content_hash")), "unchanged").otherwise("modified")).otherwise("added")
+    told = links.select("version", F.col("new").alias("key"), F.col("kind").alias("link_kind"), F.col("similarity").alias("link_similarity"), F.col("scope").alias("link_scope"), F.col("old").alias("link_from"))
+    return carried.withColumn("change", change).join(told, ["version", "key"], "left")

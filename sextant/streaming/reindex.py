@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sextant.operators.versions import distinct_work
+from sextant.runtime import names_in
 
 
 def reindex_stream(stream: DataFrame, folder: str, encode: Callable[[DataFrame], DataFrame], checkpoint: str, available_now: bool = True) -> StreamingQuery:
@@ -22,7 +23,7 @@ def reindex_stream(stream: DataFrame, folder: str, encode: Callable[[DataFrame],
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         work = distinct_work(batch).select("content_hash", "text")
-        before = [os.path.join(vectors, p) for p in sorted(os.listdir(vectors)) if p.startswith("batch=") and int(p[6:]) < number] if os.path.isdir(vectors) else []
+        before = [os.path.join(vectors, p) for p in names_in(spark, vectors) if p.startswith("batch=") and int(p[6:]) < number]
         if before:
             work = work.join(spark.read.parquet(*before).select("content_hash"), "content_hash", "left_anti")
         encode(work).select("content_hash", "embedding").write.mode("overwrite").parquet(os.path.join(vectors, f"batch={number}"))
