@@ -1,4 +1,4 @@
-"""Command line: build an index from a folder, verify, search, ask structural questions."""
+"""Command line: build an index, verify, describe, search, show documents and versions, ask, reindex, serve."""
 
 from __future__ import annotations
 
@@ -18,6 +18,18 @@ def main(argv: list[str] | None = None) -> int:
         if name == "search":
             s.add_argument("query")
             s.add_argument("--k", type=int, default=10)
+    b.add_argument("--limit", type=int, help="chunks, at most, by file and line")
+    for name, text, more in (("describe", "facts of an index", []), ("doc", "show a document", ["doc_id"]), ("history", "versions of a lineage", ["id"]), ("diff", "changes of a lineage", ["id", "a", "b"]), ("compare", "hits at two versions", ["query", "a", "b"])):
+        s = sub.add_parser(name, help=text)
+        s.add_argument("index")
+        for m in more:
+            s.add_argument(m, type=int if m in "ab" else str)
+    r = sub.add_parser("reindex", help="bring an index up to date with its source")
+    r.add_argument("index")
+    r.add_argument("--dry-run", action="store_true")
+    v = sub.add_parser("serve", help="serve indexes over HTTP")
+    v.add_argument("index", nargs="+")
+    v.add_argument("--port", type=int, default=8000)
     a = sub.add_parser("ask", help="ask about the code of a folder")
     a.add_argument("folder")
     a.add_argument("question")
@@ -27,18 +39,20 @@ def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import functions as F
 
     from sextant.agent import CodeAgent
-    from sextant.operators.dense import hashing_encoder
+    from sextant.sources.encoders import hashing
     from sextant.service import SearchService
     from sextant.sources.files import chunk_folder, read_sources
     from sextant.sources.index import verify_index, write_index
+    from sextant.sources.reindex import reindex_index
 
+    encoder = hashing()
+    say = lambda x: print(json.dumps(x, default=str))
     spark = SparkSession.builder.appName("sextant").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if args.command == "build":
         chunks, stats = chunk_folder(spark, args.folder)
+        chunks = chunks if args.limit is None else chunks.orderBy("file", "start_line").limit(args.limit)
         rows = chunks.withColumn("row", F.xxhash64("chunk_id")).withColumn("doc_id", F.col("chunk_id"))
-        parts = hashing_encoder(rows, "row", "text").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "value"))).alias("m"))
-        full = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)).cast("float"))
-        write_index(rows.join(parts, "row").withColumn("embedding", full).drop("m"), args.out, source_root=args.folder)
+        write_index(rows.join(encoder.encode_docs(rows), "row"), args.out, source_root=args.folder, task="folder", **encoder.manifest())
         print(json.dumps(stats))
     elif args.command == "verify":
         problems = verify_index(spark, args.index)
@@ -47,6 +61,23 @@ def main(argv: list[str] | None = None) -> int:
     elif args.command == "search":
         for r in SearchService.open(spark, args.index).search(args.query, args.k).collect():
             print(json.dumps({k: r[k] for k in ("rank", "doc_id", "score", "preview")}))
+    elif args.command == "reindex":
+        say(reindex_index(spark, args.index, lambda work: encoder.encode_docs(work, "hash"), args.dry_run))
+    elif args.command == "serve":
+        from sextant.server import Application, serve
+
+        serve(Application(spark, {i: i for i in args.index}, encode=lambda work: encoder.encode_docs(work, "hash")), port=args.port).serve_forever()
+    elif args.command in ("describe", "doc", "history", "diff", "compare"):
+        service = SearchService.open(spark, args.index)
+        if args.command == "describe":
+            say(service.describe())
+        elif args.command == "doc":
+            say(service.get_doc(args.doc_id))
+        elif args.command == "diff":
+            say(service.diff(args.id, args.a, args.b))
+        else:
+            for r in (service.history(args.id) if args.command == "history" else service.compare(args.query, args.a, args.b)).drop("embedding").collect():
+                say(r.asDict())
     else:
         out = CodeAgent(spark, read_sources(spark, args.folder)).run(args.question)
         for r in out["answers"]:

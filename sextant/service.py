@@ -54,8 +54,8 @@ def hashing_query(text: str, dim: int = 64) -> np.ndarray:
 class SearchService:
     """Queries over one index (row, doc_id, text, embedding and optional lineage, version, category columns)."""
 
-    def __init__(self, rows: DataFrame, encode: Callable[[str], np.ndarray] | None = None, dim: int = 64, cache: int = 128):
-        self.rows, self.dim = rows, dim
+    def __init__(self, rows: DataFrame, encode: Callable[[str], np.ndarray] | None = None, dim: int = 64, cache: int = 128, manifest: dict | None = None, cap: int | None = None):
+        self.rows, self.dim, self.manifest, self.cap = rows, dim, manifest or {}, cap
         self.encode = encode or (lambda text: hashing_query(text, dim))
         self.cache, self.providers = QueryCache(cache), []
         self.versioned = "lineage_id" in rows.columns
@@ -63,7 +63,7 @@ class SearchService:
     @classmethod
     def open(cls, spark: SparkSession, folder: str, **options) -> SearchService:
         rows, manifest = load_index(spark, folder)
-        return cls(rows, dim=manifest["dim"], **options)
+        return cls(rows, dim=manifest["dim"], manifest=manifest, **options)
 
     def register(self, provider: Provider) -> None:
         """Add a function hits -> hits that joins more columns on `row`."""
@@ -102,7 +102,8 @@ class SearchService:
             hits = rows.select(*out).join(same, "row")
             if not hits.isEmpty():
                 return self._present(hits, k, preview)
-        vector = self.cache.get((query, self.dim), lambda: self.encode(query))
+        key = (self.manifest.get("model"), self.manifest.get("query_prefix", ""), self.cap, self.dim, query)
+        vector = self.cache.get(key, lambda: self.encode(self.manifest.get("query_prefix", "") + self._capped(query)))
         q = unit(F.array(*[F.lit(float(x)) for x in vector]))
         scored = rows.where(usable(F.col("embedding"), self.dim)).select(*out, F.round(dot(unit(F.col("embedding")), q), 6).alias("score"))
         if self.versioned and version is None and not all_versions:
@@ -126,7 +127,7 @@ class SearchService:
         if not row:
             raise KeyError(doc_id)
         lines = (row[0]["text"] or "").splitlines()
-        return row[0].asDict() | {"n_lines": len(lines), "first_line": lines[0] if lines else ""}
+        return row[0].asDict() | {"n_lines": len(lines), "first_line": lines[0] if lines else "", "has_source_file": bool(row[0].asDict().get("file"))}
 
     def compare(self, query: str, a: int, b: int, k: int = 10) -> DataFrame:
         """The hits of a query at two versions side by side; the query is encoded once."""
@@ -148,3 +149,17 @@ class SearchService:
     def categories(self) -> DataFrame:
         """Rows per family, most first, ties by name."""
         return self.rows.groupBy("ast_family").count().orderBy(F.desc("count"), "ast_family")
+
+    def _capped(self, query: str) -> str:
+        return query if not self.cap else " ".join(query.split()[: self.cap])
+
+    def describe(self) -> dict:
+        """What is served: facts of the manifest, what the rows have, and the state of the cache."""
+        m, has = self.manifest, set(self.rows.columns)
+        versions = [r["version"] for r in self.rows.select("version").distinct().orderBy("version").collect()] if "version" in has else []  # snapshots, few
+        return {k: m.get(k) for k in ("kind", "n_docs", "dim", "model", "query_prefix", "source_root")} | {"versioned": self.versioned, "chunked": "chunk_id" in has, "categorized": "ast_family" in has, "versions": versions, "max_query_tokens": self.cap, "query_cache": {"size": self.cache.size, "held": len(self.cache.held), "hits": self.cache.hits, "misses": self.cache.misses}}
+
+    def performance(self, query: str) -> dict:
+        """What a query costs: its tokens (parted by white space), the cap, and whether the encoder sees all of it."""
+        tokens = len(query.split())
+        return {"query_tokens": tokens, "query_cap": self.cap, "truncated": bool(self.cap and tokens > self.cap), "model": self.manifest.get("model"), "index_docs": self.manifest.get("n_docs"), "index_dim": self.dim, "index_bytes": sum(f["bytes"] for f in self.manifest.get("files", {}).values())}

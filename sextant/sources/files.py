@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sextant.functions.text import mock_judge
-from sextant.operators.code import SKIP_DIRS, chunk_files, parse_failures
+from sextant.operators.code import CHUNK_CHARS, SKIP_DIRS, chunk_files, parse_failures
 from sextant.runtime import cut, folder_exists, resolved
 
 
@@ -30,12 +30,13 @@ def read_sources(spark: SparkSession, root: str, pattern: str = "*.py", skip: Se
 
 
 def chunk_folder(spark: SparkSession, root: str, methods: bool = False) -> tuple[DataFrame, dict]:
-    """Chunks of a folder and its statistics: files, failures (at most 20 named), chunks by kind."""
+    """Chunks of a folder and its statistics: files, failures (at most 20 named), chunks by kind, and how many were too large."""
     files = read_sources(spark, root)
-    chunks = chunk_files(files, methods=methods)
+    whole = cut(chunk_files(files, methods=methods, most=None))
+    chunks = whole.where(F.length("text") <= CHUNK_CHARS)
     bad = parse_failures(files)
     kinds = {r["kind"]: r["count"] for r in chunks.groupBy("kind").count().collect()}  # four kinds
-    stats = {"root": root, "files_scanned": files.count(), "files_failed": bad.count(), "failures": [r["file"] for r in bad.orderBy("file").limit(20).collect()], "chunks": sum(kinds.values()), "by_kind": kinds}
+    stats = {"root": root, "files_scanned": files.count(), "files_failed": bad.count(), "failures": [r["file"] for r in bad.orderBy("file").limit(20).collect()], "chunks": sum(kinds.values()), "by_kind": kinds, "oversize": whole.count() - sum(kinds.values())}
     return chunks, stats
 
 
@@ -76,7 +77,7 @@ class CacheMissError(LookupError):
     """Vectors that a cache-only read does not find."""
 
 
-def cached_only(rows: DataFrame, folder: str, model: str, names: dict[str, DataFrame] | None = None, name: str = "docs", text: str = "text") -> DataFrame:
+def cached_only(rows: DataFrame, folder: str, model: str, name: str = "docs", text: str = "text") -> DataFrame:
     """Vectors of rows from the cache; CacheMissError that says what to run if they are not there. Nothing is ever encoded."""
 
     def refuse(_: DataFrame) -> DataFrame:
