@@ -143,4 +143,26 @@ QUERIES = {
     "p9_found": p9_found,
     "p9_make_up": p9_make_up,
 }
-SQL = {}
+_CANON = lambda c: f"lower(regexp_replace({c}, '[^\\p{{L}}\\p{{N}}]', '', 'g'))"
+_RECORDS = f"""with t as (select 'index_rows' as table_name, row, text as value from index_rows where text is not null union all select 'index_versions', row, content_hash from index_versions where content_hash is not null),
+d as (select distinct value, trim(value, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') as bare from t),
+l as (select value, list_filter(regexp_split_to_array(value, '\\r\\n|\\r|\\n'), lambda x: regexp_matches(x, '\\S')) as ls from d where regexp_matches(bare, '^[\\p{{L}}\\p{{N}}]+\\s*:')),
+fl as (select value, list_transform(ls, lambda x: [{_CANON("regexp_extract(x, '^\\s*([\\p{L}\\p{N}]+)\\s*:', 1)")}, {_CANON("regexp_replace(x, '^\\s*[\\p{L}\\p{N}]+\\s*:', '')")}]) as pairs from l where len(list_filter(ls, lambda x: not regexp_matches(x, '^\\s*[\\p{{L}}\\p{{N}}]+\\s*:.*\\S'))) = 0),
+j as (select value, bare, unnest(json_keys(bare)) as k from d where starts_with(bare, '{{') and json_valid(bare)),
+fj as (select value, list([{_CANON('k')}, {_CANON("json_extract_string(bare, '$.' || chr(34) || k || chr(34))")}]) as pairs from j group by value, bare having bool_and(json_type(bare, '$.' || chr(34) || k || chr(34)) = 'VARCHAR')),
+f as (select value, case when len(pairs) = 1 then pairs[1][1] || pairs[1][2] else array_to_string(list_sort(list_transform(pairs, lambda p: p[1] || chr(31) || p[2])), chr(30)) end as canon from (select * from fl union all select * from fj)),
+c as (select table_name, row, coalesce(f.canon, {_CANON('t.value')}) as canon from t left join f using (value)),
+r as (select *, min(row) over (partition by table_name, canon) as low from c where regexp_matches(canon, '[\\p{{L}}\\p{{N}}]'))"""
+_LIMIT = 2000
+SQL = {
+    "p2_found": f"""with t as (select row as row_id, text, regexp_replace(regexp_replace(text, '^\\s*\\n', ''), '\\n\\s*$', '') as body from index_rows where length(text) > {_LIMIT}),
+      u as (select row_id, list_max(list_transform(regexp_split_to_array(body, '\\r?\\n\\s*\\n'), lambda x: length(regexp_replace(x, '\\r$', '')))) as p, list_max(list_transform(list_filter(regexp_split_to_array(text, '\\r?\\n'), lambda x: regexp_matches(x, '\\S')), lambda x: length(x))) as l, list_max(list_transform(regexp_split_to_array(text, '\\s+'), lambda x: length(x))) as s from t)
+      select distinct row_id, case when coalesce(p, 0) <= {_LIMIT} then 'blank' when l <= {_LIMIT} then 'line' when s <= {_LIMIT} then 'space' else 'none' end as boundary from u""",
+    "p3_found": _RECORDS + " select distinct table_name, low as row_a, row as row_b from r where row <> low",
+    "p3_records": _RECORDS + ", v as (select r.*, t.value from r join t using (table_name, row)) select table_name, low as row, count(*) as copies, count(distinct value) as variants from v group by table_name, low",
+    "p5_found": """with v as (select row, cast(embedding as double[]) as e from index_rows where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0)
+      select distinct a.row as row_a, b.row as row_b from v a join v b on a.row < b.row where list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.9""",
+    "p7_found": """with w as (select doc_id as id, 0 as side, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from documents where text is not null union all select item_id, 1, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') from test_items where text is not null),
+      g as (select distinct id, side, unnest(list_transform(range(1, len(w) - 18), lambda i: array_to_string(list_slice(w, i, i + 19), ' '))) as g from w where len(w) >= 20)
+      select distinct a.id as doc_id, b.id as item_id from g a join g b on a.g = b.g and a.side = 0 and b.side = 1""",
+}
