@@ -13,8 +13,9 @@ from pyspark.sql.window import Window
 from sextant.operators.ranking import top_k
 from sextant.runtime import busy, cut
 
-#: Queries that are broadcast at once (4,096 vectors of 64 singles are 1 MB); more are worked on in blocks.
-QUERY_BLOCK = 4096
+#: Queries that are broadcast at once, at most (65,536 vectors of 64 doubles are 33 MB), and hits that a task holds for them;
+#: more queries are worked on in several scans. Queries of one matrix product.
+QUERY_BLOCK, HELD, PRODUCT = 65_536, 4_000_000, 512
 
 
 def usable(embedding: Column, dim: int) -> Column:
@@ -58,32 +59,37 @@ def dense_vectors(sparse: DataFrame, id: str, dim: int = 64) -> DataFrame:
 def dense_topk(docs: DataFrame, queries: DataFrame, k: int = 10, id: str = "row", embedding: str = "embedding", qid: str = "qid", dim: int = 64, exclude_self: bool = False) -> DataFrame:
     """(qid, rank, row, score): exact cosine top-k of every query, score at 6 digits, ties by row.
 
-    Queries go to the tasks in blocks of QUERY_BLOCK, so what is broadcast is bounded; each partition of documents keeps
-    its k best per query by a matrix product, and only those are shuffled. Unusable vectors neither ask nor answer.
+    Queries go to the tasks in blocks of bounded size; each task keeps its k best rows per query over all its batches, by
+    matrix products, and only those are shuffled. Unusable vectors neither ask nor answer.
     """
     spark = docs.sparkSession
     asked = queries.select(F.col(qid).alias("qid"), F.col(embedding).alias("e")).where(usable(F.col("e"), dim))
-    total = asked.count()
-    blocks = max(1, -(-total // QUERY_BLOCK))
-    slim = docs.select(F.col(id).alias("row"), F.col(embedding).alias("e")).where(usable(F.col("e"), dim))
+    keep = max(k, 0) + int(exclude_self)
+    blocks = max(1, -(-asked.count() // min(QUERY_BLOCK, max(1, HELD // max(keep, 1)))))
+    slim = busy(docs.select(F.col(id).cast("long").alias("row"), F.col(embedding).alias("e")).where(usable(F.col("e"), dim)))
     kind = asked.schema["qid"].dataType.simpleString()
     out = None
     for b in range(blocks):
         part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
         rows = part.toPandas()  # about QUERY_BLOCK vectors
-        names = rows["qid"].tolist()
         q = np.stack(rows["e"].to_numpy()).astype(np.float64) if len(rows) else np.zeros((0, dim))
-        shared = spark.sparkContext.broadcast((names, q / np.linalg.norm(q, axis=1, keepdims=True)))
+        shared = spark.sparkContext.broadcast((rows["qid"].to_numpy(dtype=object), q / np.linalg.norm(q, axis=1, keepdims=True)))
 
         def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             ids, unit_q = shared.value
+            best: list = [None] * -(-len(ids) // PRODUCT)
             for batch in batches:
-                if not len(batch) or not len(ids):
+                if not len(batch) or not keep:
                     continue
-                d = np.stack(batch["e"].to_numpy()).astype(np.float64)
-                s = (unit_q @ (d / np.linalg.norm(d, axis=1, keepdims=True)).T).round(6)
-                order = np.lexsort((np.broadcast_to(batch["row"].to_numpy(), s.shape), -s), axis=1)[:, : k + 1] if s.shape[1] <= 4 * (k + 1) else _best(s, batch["row"].to_numpy(), k + 1)
-                yield pd.DataFrame({"qid": np.repeat(np.array(ids, dtype=object), order.shape[1]), "row": batch["row"].to_numpy()[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
+                row = batch["row"].to_numpy()
+                d = np.stack(batch["e"].to_numpy()).astype(np.float64)[np.argsort(row, kind="stable")]
+                row, d = np.sort(row, kind="stable"), d / np.linalg.norm(d, axis=1, keepdims=True)
+                for i in range(len(best)):
+                    score = (unit_q[i * PRODUCT : (i + 1) * PRODUCT] @ d.T).round(6)
+                    best[i] = _best(score, np.broadcast_to(row, score.shape), keep, best[i])
+            for i, found in enumerate(best):
+                if found is not None:
+                    yield pd.DataFrame({"qid": np.repeat(ids[i * PRODUCT : (i + 1) * PRODUCT], found[0].shape[1]), "row": found[1].ravel(), "score": found[0].ravel()})
 
         scores = slim.mapInPandas(scan, f"qid {kind}, row long, score double")
         out = scores if out is None else out.unionByName(scores)
@@ -92,14 +98,17 @@ def dense_topk(docs: DataFrame, queries: DataFrame, k: int = 10, id: str = "row"
     return top_k(out, k)
 
 
-def _best(s: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best scores per line, ties by row; every tie at the boundary is considered."""
-    edge = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
-    out = np.empty((len(s), k), np.int64)
-    for i, line in enumerate(s):
-        at = np.flatnonzero(line >= edge[i])
-        out[i] = at[np.lexsort((rows[at], -line[at]))[:k]]
-    return out
+def _best(score: np.ndarray, row: np.ndarray, k: int, before: tuple | None) -> tuple[np.ndarray, np.ndarray]:
+    """The k best (score, row) of each line and of what it had before; ties by row. Rows of a line rise."""
+    n = score.shape[1]
+    if n > k:  # whole numbers of millionths, then the place: all keys differ, so the k greatest are the ones
+        key = np.rint(score * 1e6).astype(np.int64) * (1 << 32) + (n - np.arange(n))
+        at = np.argpartition(-key, k - 1, axis=1)[:, :k]
+        score, row = np.take_along_axis(score, at, 1), np.take_along_axis(row, at, 1)
+    if before is not None:
+        score, row = np.concatenate([before[0], score], axis=1), np.concatenate([before[1], row], axis=1)
+    order = np.lexsort((row, -score), axis=1)[:, :k]
+    return np.take_along_axis(score, order, 1), np.take_along_axis(row, order, 1)
 
 
 def average_vectors(vectors: DataFrame, id: str, embedding: str) -> DataFrame:
@@ -133,25 +142,17 @@ def delta_vectors(base: DataFrame, entries: DataFrame, lineage: str = "lineage",
 def delta_search(base: DataFrame, entries: DataFrame, queries: DataFrame, k: int = 10, lineage_k: int | None = None, lineage: str = "lineage", hash: str = "hash", dim: int = 64) -> DataFrame:
     """Two-stage search: the best lineages by their unit base, then their rebuilt vectors by plain dot product.
 
-    queries: (qid, embedding); they are broadcast in blocks of about QUERY_BLOCK by hash of qid. Returns qid, rank,
-    lineage, hash, score.
+    queries: (qid, embedding). Bases are ranked by matrix products as in dense_topk, ties by the order of lineages.
+    Returns qid, rank, lineage, hash, score.
     """
     keep = lineage_k or max(3 * k, 20)
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    bases = base.groupBy(lineage).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "base"))), lambda p: p["base"]).alias("b"))
-    vectors = delta_vectors(base, entries, lineage, hash)
-    if blocks > 1:  # every block reads them
-        bases, vectors = cut(bases), cut(vectors)
-    out = None
-    for b in range(blocks):
-        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
-        asked = F.broadcast(part.select("qid", unit(F.col("embedding")).alias("q")))
-        first = bases.crossJoin(asked).select("qid", lineage, F.round(dot(F.col("q"), unit(F.col("b"))), 6).alias("s"))
-        near = first.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("s"), lineage))).where(F.col("n") <= keep).select("qid", lineage)
-        scored = vectors.join(near, lineage).join(asked, "qid").select("qid", lineage, hash, F.round(dot(F.col("q"), F.col("embedding")), 6).alias("score"))
-        best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), lineage, hash))).where(F.col("rank") <= k).select("qid", "rank", lineage, hash, "score")
-        out = best if out is None else out.unionByName(best)
-    return out
+    bases = base.groupBy(lineage).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "base"))), lambda p: p["base"]).alias("embedding"))
+    # numbers that rise with the lineage, by ranges: no task orders all of them
+    ranged = cut(bases.repartitionByRange(lineage).sortWithinPartitions(lineage).withColumn("row", F.monotonically_increasing_id()))
+    asked = queries.select("qid", unit(F.col("embedding")).alias("embedding"))
+    near = dense_topk(ranged, asked, keep, dim=dim).join(ranged.select("row", lineage), "row").select("qid", lineage)
+    scored = delta_vectors(base, entries, lineage, hash).join(near, lineage).join(asked.withColumnRenamed("embedding", "q"), "qid")
+    return scored.select("qid", lineage, hash, F.round(dot(F.col("q"), F.col("embedding")), 6).alias("score")).withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), lineage, hash))).where(F.col("rank") <= k).select("qid", "rank", lineage, hash, "score")
 
 
 def spherical_kmeans(vectors: DataFrame, id: str = "row", embedding: str = "embedding", clusters: int = 12, rounds: int = 10, dim: int = 64) -> DataFrame:
