@@ -109,3 +109,23 @@ def precision_report(reference: DataFrame, other: DataFrame, reference_top: Data
     cosine = dot(F.col("a"), F.col("b")) / F.greatest(F.sqrt(dot(F.col("a"), F.col("a")) * dot(F.col("b"), F.col("b"))), F.lit(1e-12))
     vectors = both.agg(F.round(F.avg(cosine), 6).alias("mean_cosine"), F.round(F.min(cosine), 6).alias("min_cosine"))
     return vectors.crossJoin(F.broadcast(top_overlap(reference_top, other_top, k)))  # one row each
+
+
+def evaluate_retrieval(hits: DataFrame, wanted: DataFrame, k: int = 10) -> DataFrame:
+    """One row about versioned retrieval: first hits, duplicates, and recall with and without collapsing lineages.
+
+    hits: (qid, rank, lineage, version), deeper than k so that collapsing has something to take up; wanted: (qid, lineage,
+    version, acceptable). Returns queries, lineage, exact_version, token_consistent, duplicate_pct of the first k, recall_all
+    and recall_collapsed at k. Queries without hits count as missed and have no duplicates.
+    """
+    from sextant.operators.pipeline import version_accuracy
+    from sextant.operators.ranking import best_per_group
+    from sextant.operators.versions import duplication
+
+    found = lambda ranked, name: ranked.where(F.col("rank") <= k).join(wanted.select("qid", "lineage"), ["qid", "lineage"]).select("qid").distinct().agg(F.count("*").alias(name))
+    duplicates = duplication(hits, "lineage", k).agg(F.round(F.avg("duplicate_pct"), 4).alias("duplicate_pct"))
+    whole = version_accuracy(hits, wanted)
+    for part in (duplicates, found(hits, "_all"), found(best_per_group(hits, "lineage", k), "_collapsed")):  # one row each
+        whole = whole.crossJoin(F.broadcast(part))
+    share = lambda c: F.round(F.col(c) / F.greatest("queries", F.lit(1)), 6)
+    return whole.withColumn("recall_all", share("_all")).withColumn("recall_collapsed", share("_collapsed")).drop("_all", "_collapsed")

@@ -68,6 +68,52 @@ def precision_comparison(spark, folder):
     return reports.precision_report(sides[0][0], sides[1][0], *tops)
 
 
+def _labelled(spark, folder):
+    """Embeddings as versions (vec_id modulo 4) of lineages (labels): rows, hits of every 20th among the others, and what it asks for."""
+    from sextant.operators.dense import dense_topk
+
+    v = table(spark, folder, "embeddings").select(F.col("vec_id").alias("row"), "embedding", F.col("label").cast("string").alias("lineage"), F.pmod("vec_id", F.lit(4)).cast("int").alias("version"))
+    asked = v.where("row % 20 = 0")
+    hits = dense_topk(v, asked.select(F.col("row").alias("qid"), "embedding"), 100, exclude_self=True).join(v.select("row", "lineage", "version"), "row")
+    return v, cut(hits.select("qid", "rank", "row", "lineage", "version")), asked.select(F.col("row").alias("qid"), "lineage", "version", F.array(F.col("version"), F.pmod(F.col("version") + 1, F.lit(4))).alias("acceptable"))
+
+
+def lineage_evaluation(spark, folder):
+    _, hits, wanted = _labelled(spark, folder)
+    return reports.evaluate_retrieval(hits, wanted)
+
+
+def delta_accuracy(spark, folder):
+    """First hits by cosine over all vectors against those of the two-stage delta search."""
+    from sextant.operators.dense import delta_search, dense_topk
+
+    v, _, wanted = _labelled(spark, folder)
+    asked = v.where("row % 20 = 0").select(F.col("row").alias("qid"), "embedding")
+    _, base, entries = R._delta(spark, folder)
+    plain = dense_topk(v, asked, 1).join(v.select("row", "lineage", "version"), "row").select("qid", "lineage", "version")
+    two = delta_search(base, entries, asked, 1).select("qid", F.col("lineage").cast("string").alias("lineage"), F.pmod("hash", F.lit(4)).cast("int").alias("version"))
+    return reports.delta_report(plain, two, wanted)
+
+
+def incremental_encoding(spark, folder):
+    """Contents of snapshots after the first with a vector that is made once a hash, or taken from the first snapshots."""
+    rows = V._rows(spark, folder).select("row", "version", "content_hash", "text")
+    encode = lambda work: work.withColumn("embedding", F.array(F.length("text").cast("double")))
+    done = encode(versions.distinct_work(rows.where("version = 1"))).select("content_hash", "embedding")
+    later = versions.encode_distinct(rows.where("version > 1"), encode, done)
+    return later.select("row", F.get("embedding", F.lit(0)).alias("value"))
+
+
+def description_fuse(spark, folder):
+    """Text scores with description scores (here TF-IDF) added at a weight."""
+    return ranking.top_k(ranking.score_fuse(*R._both(spark, folder, 100), 0.3, convex=False), 10)
+
+
+def hit_previews(spark, folder):
+    ranked = R._bm25(spark, folder, 10).join(R._docs(spark, folder), "row")
+    return ranked.select("qid", "rank", "doc_id", F.substring("text", 1, 240).alias("preview"), (F.length("text") > 240).alias("truncated"))
+
+
 def version_totals(spark, folder):
     return versions.change_totals(V._slim(spark, folder), V.BY)
 
@@ -147,7 +193,7 @@ gone as (select l.repo, l.subdir, nx.after as version, count(*) as removed from
 QUERIES = {
     f.__name__: f
     for f in (
-        *(per_query_scores, paired_report, metrics_by_source, document_shares, gate_choice, category_tiebreak, delta_sizes, precision_comparison, version_totals, nested_rows, renamed_lineages),
+        *(per_query_scores, paired_report, metrics_by_source, document_shares, gate_choice, category_tiebreak, delta_sizes, precision_comparison, version_totals, nested_rows, renamed_lineages, lineage_evaluation, delta_accuracy, incremental_encoding, description_fuse, hit_previews),
         *(grep_calls, grep_imports, grep_text, grep_defs, docstring_questions, judge_prompts, clean_descriptions, word_frequencies, plain_texts, failure_examples),
     )
 }
@@ -164,6 +210,22 @@ SQL = {
       la as (select qid, list(row order by rank) as x from ra where rank <= 10 group by qid), lb as (select qid, list(row order by rank) as y from rb where rank <= 10 group by qid),
       o as (select count(*) as queries, round(avg(len(list_intersect(x, y)) / greatest(len(x), 1)), 6) as overlap, round(avg(cast(x[1] <> y[1] as int)), 6) as first_changed, round(avg(cast(x = y as int)), 6) as identical from la join lb using (qid)),
       c as (select round(avg(list_dot_product(a, b) / greatest(sqrt(list_dot_product(a, a) * list_dot_product(b, b)), 1e-12)), 6) as mean_cosine, round(min(list_dot_product(a, b) / greatest(sqrt(list_dot_product(a, a) * list_dot_product(b, b)), 1e-12)), 6) as min_cosine from q) select * from c, o""",
+    "lineage_evaluation": """with e as (select vec_id, label, vec_id % 4 as version, cast(embedding as double[]) as e from embeddings), s as (select q.vec_id as qid, d.vec_id as row, q.label as want, q.version as wv, d.label, d.version, round(list_dot_product(q.e, d.e) / sqrt(list_dot_product(q.e, q.e) * list_dot_product(d.e, d.e)), 6) as score from e q join e d on q.vec_id <> d.vec_id where q.vec_id % 20 = 0),
+      r as (select * from (select *, row_number() over (partition by qid order by score desc, row) as rank from s) where rank <= 100), c as (select qid, want, label, row_number() over (partition by qid order by min(rank)) as rank from r group by qid, want, label),
+      p as (select qid, round(100.0 * (count(*) - count(distinct label)) / count(*), 4) as dup from r where rank <= 10 group by qid), f as (select * from r where rank = 1), q as (select vec_id as qid from e where vec_id % 20 = 0)
+      select count(*) as queries, round(avg(case when f.label = want then 1 else 0 end), 6) as lineage, round(avg(case when f.label = want and version = wv then 1 else 0 end), 6) as exact_version, round(avg(case when f.label = want and version in (wv, (wv + 1) % 4) then 1 else 0 end), 6) as token_consistent, (select round(avg(dup), 4) from p) as duplicate_pct,
+      round((select count(distinct qid) from r where rank <= 10 and label = want) / greatest(count(*), 1), 6) as recall_all, round((select count(distinct qid) from c where rank <= 10 and label = want) / greatest(count(*), 1), 6) as recall_collapsed from q left join f using (qid)""",
+    "delta_accuracy": R.SQL["delta_two_stage"].replace("with x as", "with e as (select vec_id, label, cast(embedding as double[]) as e from embeddings), pl as (select qid, label, vec_id from (select q.vec_id as qid, d.label, d.vec_id, row_number() over (partition by q.vec_id order by round(list_dot_product(q.e, d.e) / sqrt(list_dot_product(q.e, q.e) * list_dot_product(d.e, d.e)), 6) desc, d.vec_id) as rank from e q, e d where q.vec_id % 20 = 0) where rank = 1), x as", 1)
+    .replace("where n <= 30)", "where n <= 20), dl as (", 1)
+    .replace("where rank <= 10", """where rank = 1)
+      select count(*) as queries, round(avg(cast(pl.label = w.label as int)), 4) as plain_lineage, round(avg(cast(pl.label = w.label and pl.vec_id % 4 = w.vec_id % 4 as int)), 4) as plain_exact, round(avg(cast(pl.label = w.label and pl.vec_id % 4 in (w.vec_id % 4, (w.vec_id + 1) % 4) as int)), 4) as plain_consistent,
+      round(avg(cast(dl.lineage = w.label as int)), 4) as delta_lineage, round(avg(cast(dl.lineage = w.label and dl.hash % 4 = w.vec_id % 4 as int)), 4) as delta_exact, round(avg(cast(dl.lineage = w.label and dl.hash % 4 in (w.vec_id % 4, (w.vec_id + 1) % 4) as int)), 4) as delta_consistent, round(avg(cast(pl.label = dl.lineage and pl.vec_id % 4 = dl.hash % 4 as int)), 4) as agreement
+      from e w join pl on pl.qid = w.vec_id join dl on dl.qid = w.vec_id""", 1),
+    "incremental_encoding": r"""with r as (select row, version, text, lower(regexp_replace(content_hash, '[^\p{L}\p{N}]', '', 'g')) as h from index_versions),
+      d as (select h, text from r where version = 1 and h is not null qualify row_number() over (partition by h order by row) = 1), n as (select h, text from r where version > 1 and h is not null and h not in (select h from d) qualify row_number() over (partition by h order by row) = 1)
+      select r.row, cast(length(coalesce(d.text, n.text)) as double) as value from r left join d using (h) left join n using (h) where version > 1""",
+    "description_fuse": "with " + R._FUSED(R._Z, 0.3).replace("a * 0.7 + b * 0.3", "a + b * 0.3"),
+    "hit_previews": f"with {R._BM25} select qid, rank, doc_id, substr(text, 1, 240) as preview, length(text) > 240 as truncated from bmr join index_rows using (row) where rank <= 10",
     "version_totals": f"with {V._ONE}, {_SLIM_TOTALS} select lt.*, coalesce(removed, 0) as removed from lt left join gone on lt.repo is not distinct from gone.repo and lt.subdir is not distinct from gone.subdir and lt.version = gone.version",
     "nested_rows": "select concat_ws('/', repo, subdir, lineage_id) || '@v' || version as doc_id, concat_ws('/', repo, subdir, lineage_id) as snippet_id, version, row, length(text) as chars from index_versions where doc_id is not null and lineage_id is not null and version in (1, 3)",
     "grep_calls": rf"with {_LINES} select file, line from s where regexp_matches(content, '(?:^|[^\w.])sorted\s*\(') and not regexp_matches(content, '^\s*(?:async\s+)?def\s+sorted\s*\(') and not regexp_matches(content, '^\s*#')",
