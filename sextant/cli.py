@@ -18,8 +18,9 @@ def main(argv: list[str] | None = None) -> int:
         if name == "search":
             s.add_argument("query")
             s.add_argument("--k", type=int, default=10)
-    b.add_argument("--limit", type=int, help="chunks, at most, by file and line")
-    for name, text, more in (("describe", "facts of an index", []), ("doc", "show a document", ["doc_id"]), ("history", "versions of a lineage", ["id"]), ("diff", "changes of a lineage", ["id", "a", "b"]), ("compare", "hits at two versions", ["query", "a", "b"])):
+    b.add_argument("--history", action="store_true", help="the folder is a git repository: index every function at every commit")
+    b.add_argument("--limit", type=int, help="chunks at most, by file and line; of a history the latest commits")
+    for name, text, more in (("describe", "facts of an index", []), ("categories", "tag the rows of an index", []), ("doc", "show a document", ["doc_id"]), ("history", "versions of a lineage", ["id"]), ("diff", "changes of a lineage", ["id", "a", "b"]), ("compare", "hits at two versions", ["query", "a", "b"])):
         s = sub.add_parser(name, help=text)
         s.add_argument("index")
         for m in more:
@@ -39,6 +40,7 @@ def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import functions as F
 
     from sextant.agent import CodeAgent
+    from sextant.sources.build import build_categories, build_history_index
     from sextant.sources.encoders import hashing
     from sextant.service import SearchService
     from sextant.sources.files import chunk_folder, read_sources
@@ -48,7 +50,11 @@ def main(argv: list[str] | None = None) -> int:
     encoder = hashing()
     say = lambda x: print(json.dumps(x, default=str))
     spark = SparkSession.builder.appName("sextant").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    if args.command == "build":
+    if args.command == "build" and args.history:
+        say({k: v for k, v in build_history_index(spark, args.folder, args.out, encoder, args.limit).items() if k != "files"})
+    elif args.command == "categories":
+        say(build_categories(spark, args.index)["families"])
+    elif args.command == "build":
         chunks, stats = chunk_folder(spark, args.folder)
         chunks = chunks if args.limit is None else chunks.orderBy("file", "start_line").limit(args.limit)
         rows = chunks.withColumn("row", F.xxhash64("chunk_id")).withColumn("doc_id", F.col("chunk_id"))

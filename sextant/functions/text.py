@@ -181,6 +181,18 @@ def doc_id_parts(doc_id: Column) -> Column:
     return F.struct(F.nullif(F.regexp_extract(doc_id, r"^(?s:(.+))@v(\d+)$", 1), F.lit("")).alias("snippet_id"), F.regexp_extract(doc_id, r"@v(\d+)$", 1).try_cast("int").alias("version"))
 
 
+def chunk_id_parts(chunk_id: Column) -> Column:
+    """Struct file, start_line and end_line of `file:first-last`, read from the right; null where it is none."""
+    at = lambda i: F.regexp_extract(chunk_id, r"^(?s:(.+)):(\d+)-(\d+)$", i)
+    return F.when(at(1) != "", F.struct(at(1).alias("file"), at(2).try_cast("int").alias("start_line"), at(3).try_cast("int").alias("end_line")))
+
+
+def lineage_parts(key: Column) -> Column:
+    """Struct file and qualname of `file::qualname`, parted at the first `::`; null where it is none."""
+    at = lambda i: F.regexp_extract(key, r"^(?s:(.*?))::(?s:(.+))$", i)
+    return F.when(at(2) != "", F.struct(at(1).alias("file"), at(2).alias("qualname")))
+
+
 def readable_phrase(qualname: Column, file: Column) -> Column:
     """A spoken form of a function: words of its qualname and its file."""
     spaced = F.regexp_replace(F.regexp_replace(qualname, r"[_.]+", " "), "([a-z0-9])([A-Z])", "$1 $2")

@@ -98,6 +98,24 @@ def version_accuracy(hits: DataFrame, wanted: DataFrame) -> DataFrame:
     return both.agg(F.count("*").alias("queries"), share(same, "lineage"), share(same & (F.col("v") == F.col("version")), "exact_version"), share(same & F.array_contains("acceptable", F.col("v")), "token_consistent"))
 
 
+def routed(queries: DataFrame, ask: Callable[[DataFrame], DataFrame] | None = None, qid: str = "qid", text: str = "text") -> DataFrame:
+    """(qid, kind, route, intent, subject, confidence, source) of every query, by rules; uncertain ones by `ask`, if given.
+
+    ask: (qid, text) of queries whose rule is of low confidence -> (qid, kind); an unknown or missing kind leaves the rule's.
+    """
+    from sextant.functions.text import ROUTES, route
+    from sextant.operators.code import looks_like_code
+
+    ruled = queries.select(F.col(qid).alias("qid"), F.col(text).alias("text"), route(F.col(text), looks_like_code(text)).alias("r")).select("qid", "text", "r.*", F.lit("rules").alias("source"))
+    if ask is None:
+        return ruled.drop("text")
+    given = ask(ruled.where("confidence = 'low'").select("qid", "text")).where(F.col("kind").isin(*ROUTES)).select("qid", F.col("kind").alias("_kind"))
+    ways = F.create_map(*[F.lit(x) for pair in ROUTES.items() for x in pair])
+    both = ruled.join(given, "qid", "left")
+    told = F.col("_kind").isNotNull()
+    return both.select("qid", F.coalesce("_kind", "kind").alias("kind"), F.when(told, F.element_at(ways, F.col("_kind"))).otherwise(F.col("route")).alias("route"), "intent", "subject", "confidence", F.when(told, "asked").otherwise("rules").alias("source"))
+
+
 def bigrams(docs: DataFrame, id: str, text: str, top: int = 20) -> DataFrame:
     """(bigram, n): the most frequent pairs of neighbouring words, ties by bigram."""
     from sextant.functions.text import ngrams

@@ -369,11 +369,16 @@ def first_docstring_line(text: str, least: int = 12) -> str | None:
     return None
 
 
-def version_queries(rows: DataFrame, by: Sequence[str], most: int = 1, least: int = 4, lineage: str = "lineage_id", version: str = "version", text: str = "text", row: str = "row") -> DataFrame:
+def _docstring_lines(texts: pd.Series) -> pd.Series:
+    return texts.map(first_docstring_line, na_action="ignore")
+
+
+def version_queries(rows: DataFrame, by: Sequence[str], most: int = 1, least: int = 4, lineage: str = "lineage_id", version: str = "version", text: str = "text", row: str = "row", documented: bool = False) -> DataFrame:
     """Labelled queries about changed versions: the longest identifier that a version introduced, first of the alphabet on ties.
 
     Returns by, lineage, version, token, query (readable phrase with the token) and acceptable (versions whose text holds it).
-    At most `most` versions of a lineage, the earliest.
+    At most `most` versions of a lineage, the earliest. With `documented` the first line of the docstring, where there is a
+    telling one, takes the place of the phrase.
     """
     from sextant.functions.text import readable_phrase
 
@@ -388,4 +393,8 @@ def version_queries(rows: DataFrame, by: Sequence[str], most: int = 1, least: in
     held = one.select(*by, lineage, F.col(version).alias("v"), F.col(text).alias("t"))
     same = [F.col(f"p.{c}").eqNullSafe(F.col(f"h.{c}")) for c in (*by, lineage)]
     found = picked.alias("p").join(held.alias("h"), same).where(F.col("h.t").contains(F.col("p.token")))
-    return found.groupBy(*[F.col(f"p.{c}").alias(c) for c in (*by, lineage, version)], F.col("p.token").alias("token"), F.concat(readable_phrase(F.col("p.qualname"), F.col("p.file")), F.lit(" "), F.col("p.token")).alias("query")).agg(F.sort_array(F.collect_set("h.v")).alias("acceptable"))
+    phrase = readable_phrase(F.col("p.qualname"), F.col("p.file"))
+    if documented:
+        line = F.pandas_udf(_docstring_lines, StringType())
+        phrase = F.coalesce(line(F.col("p." + text)), phrase)
+    return found.withColumn("_query", F.concat(phrase, F.lit(" "), F.col("p.token"))).groupBy(*[F.col(f"p.{c}").alias(c) for c in (*by, lineage, version)], F.col("p.token").alias("token"), F.col("_query").alias("query")).agg(F.sort_array(F.collect_set("h.v")).alias("acceptable"))

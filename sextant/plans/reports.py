@@ -78,6 +78,26 @@ def _labelled(spark, folder):
     return v, cut(hits.select("qid", "rank", "row", "lineage", "version")), asked.select(F.col("row").alias("qid"), "lineage", "version", F.array(F.col("version"), F.pmod(F.col("version") + 1, F.lit(4))).alias("acceptable"))
 
 
+def documented_queries(spark, folder):
+    return versions.version_queries(V._rows(spark, folder), V.BY, documented=True)
+
+
+def lineage_keys(spark, folder):
+    return table(spark, folder, "index_versions").select("row", T.lineage_parts(F.col("lineage_id")).alias("p")).select("row", "p.*")
+
+
+def audited_rows(spark, folder):
+    from sextant.operators.code import audit_docs
+
+    return audit_docs(table(spark, folder, "index_rows"))
+
+
+def tagged_families(spark, folder):
+    from sextant.sources.build import family_counts, tag_rows
+
+    return family_counts(tag_rows(table(spark, folder, "index_rows")))
+
+
 def lineage_evaluation(spark, folder):
     _, hits, wanted = _labelled(spark, folder)
     return reports.evaluate_retrieval(hits, wanted)
@@ -193,7 +213,7 @@ gone as (select l.repo, l.subdir, nx.after as version, count(*) as removed from
 QUERIES = {
     f.__name__: f
     for f in (
-        *(per_query_scores, paired_report, metrics_by_source, document_shares, gate_choice, category_tiebreak, delta_sizes, precision_comparison, version_totals, nested_rows, renamed_lineages, lineage_evaluation, delta_accuracy, incremental_encoding, description_fuse, hit_previews),
+        *(per_query_scores, paired_report, metrics_by_source, document_shares, gate_choice, category_tiebreak, delta_sizes, precision_comparison, version_totals, nested_rows, renamed_lineages, documented_queries, lineage_keys, audited_rows, tagged_families, lineage_evaluation, delta_accuracy, incremental_encoding, description_fuse, hit_previews),
         *(grep_calls, grep_imports, grep_text, grep_defs, docstring_questions, judge_prompts, clean_descriptions, word_frequencies, plain_texts, failure_examples),
     )
 }
@@ -210,6 +230,7 @@ SQL = {
       la as (select qid, list(row order by rank) as x from ra where rank <= 10 group by qid), lb as (select qid, list(row order by rank) as y from rb where rank <= 10 group by qid),
       o as (select count(*) as queries, round(avg(len(list_intersect(x, y)) / greatest(len(x), 1)), 6) as overlap, round(avg(cast(x[1] <> y[1] as int)), 6) as first_changed, round(avg(cast(x = y as int)), 6) as identical from la join lb using (qid)),
       c as (select round(avg(list_dot_product(a, b) / greatest(sqrt(list_dot_product(a, a) * list_dot_product(b, b)), 1e-12)), 6) as mean_cosine, round(min(list_dot_product(a, b) / greatest(sqrt(list_dot_product(a, a) * list_dot_product(b, b)), 1e-12)), 6) as min_cosine from q) select * from c, o""",
+    "lineage_keys": r"""select row, case when regexp_extract(lineage_id, '(?s)^(.*?)::(.+)$', 2) <> '' then regexp_extract(lineage_id, '(?s)^(.*?)::(.+)$', 1) end as file, nullif(regexp_extract(lineage_id, '(?s)^(.*?)::(.+)$', 2), '') as qualname from index_versions""",
     "lineage_evaluation": """with e as (select vec_id, label, vec_id % 4 as version, cast(embedding as double[]) as e from embeddings), s as (select q.vec_id as qid, d.vec_id as row, q.label as want, q.version as wv, d.label, d.version, round(list_dot_product(q.e, d.e) / sqrt(list_dot_product(q.e, q.e) * list_dot_product(d.e, d.e)), 6) as score from e q join e d on q.vec_id <> d.vec_id where q.vec_id % 20 = 0),
       r as (select * from (select *, row_number() over (partition by qid order by score desc, row) as rank from s) where rank <= 100), c as (select qid, want, label, row_number() over (partition by qid order by min(rank)) as rank from r group by qid, want, label),
       p as (select qid, round(100.0 * (count(*) - count(distinct label)) / count(*), 4) as dup from r where rank <= 10 group by qid), f as (select * from r where rank = 1), q as (select vec_id as qid from e where vec_id % 20 = 0)

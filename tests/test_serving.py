@@ -138,3 +138,44 @@ def test_local_paths_only_where_they_are(spark, tmp_path):
     (tmp_path / "a b+c" / "x.py").write_text("x = 1\n")
     for root in (str(tmp_path), f"file://{tmp_path}"):
         assert [r["file"] for r in S.read_sources(spark, root).collect()] == ["a b+c/x.py"]
+
+
+def test_history_index_and_categories(spark, tmp_path):
+    import subprocess
+
+    from sextant.service import SearchService
+    from sextant.sources.build import build_categories, build_history_index
+    from sextant.sources.git import tracked_history
+
+    repo = tmp_path / "repo"
+    repo.mkdir()
+    run = lambda *a: subprocess.run(["git", "-C", str(repo), "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True)
+    run("init", "-q")
+    body = "def {}(items):\n    total = 0\n    for x in sorted(items):\n        total += {}\n    return total\n"
+    for name, step in (("first", "x"), ("second", "x"), ("second", "2 * x")):
+        (repo / "a.py").write_text(body.format(name, step))
+        run("add", ".")
+        run("commit", "-qm", "step")
+    got = {r["version"]: r for r in tracked_history(spark, str(repo)).collect()}
+    assert {v: (r["key"], r["lineage_id"], r["change"], r["link_kind"]) for v, r in got.items()} == {1: ("a.py::first", "a.py::first", "added", None), 2: ("a.py::second", "a.py::first", "modified", "rename"), 3: ("a.py::second", "a.py::first", "modified", None)}
+    folder = str(tmp_path / "index")
+    assert build_history_index(spark, str(repo), folder, E.hashing())["n_docs"] == 3
+    service = SearchService.open(spark, folder)
+    assert service.describe()["versions"] == [1, 2, 3] and service.search("total items", 5).count() == 1 and service.diff("a.py::first", 2, 3)["added"] == 1
+    assert reindex_index(spark, folder, lambda w: w)["unchanged"] == 3
+    assert build_categories(spark, folder, 2)["families"] == {"sorting": 3}
+    assert SearchService.open(spark, folder).search("total", 3, category="sorting").count() == 1
+
+
+def test_router_asks_only_when_unsure(spark):
+    from sextant.operators.pipeline import routed
+
+    d = spark.createDataFrame([("a", "who calls"), ("b", "sort a list of numbers"), ("c", None)], "qid string, text string")
+    asked = []
+
+    def ask(rows):
+        asked.extend(r["qid"] for r in rows.collect())
+        return rows.select("qid", F.when(F.col("qid") == "a", "code_query").otherwise("nonsense").alias("kind"))
+
+    got = {r["qid"]: (r["kind"], r["source"]) for r in routed(d, ask).collect()}
+    assert sorted(asked) == ["a", "c"] and got["a"] == ("code_query", "asked") and got["b"][1] == got["c"][1] == "rules"
