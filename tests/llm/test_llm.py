@@ -292,7 +292,6 @@ def test_pack_is_lossless():
 
 # ---- documented functions ----
 SOURCE = '''"""Module text that is long enough."""
-import json
 import os
 @decorated(
     x)
