@@ -214,3 +214,23 @@ def test_plan_has_group_limit(spark):
     s = spark.range(100).selectExpr("cast(id % 3 as string) as qid", "id as row", "rand() as score")
     assert "WindowGroupLimit" in top_k(s, 5)._jdf.queryExecution().toString()
     assert F is not None
+
+
+def test_exact_matches_and_code_groups(spark, rows):
+    docs = spark.createDataFrame([(1, "x = 1  # note\n"), (2, "    x = 1"), (3, "x = 2"), (4, None), (5, "# only a note"), (6, "s = \"\"\"a  \n b\"\"\""), (7, "s = \"\"\"a\n b\"\"\"")], "row long, text string")
+    asked = spark.createDataFrame([("q", "x = 1"), ("none", ""), ("null", None), ("text", "s = \"\"\"a  \n b\"\"\"  ")], "qid string, text string")
+    assert rows(V.exact_matches(asked, docs)) == [("q", 1, 1.0), ("q", 2, 1.0)] + []  # the last query's line is held as it is, blanks and all
+    hashed = {r["row"]: r["code_hash"] for r in V.with_content_hash(docs).collect()}
+    assert hashed[1] == V.with_content_hash(spark.createDataFrame([(1, "x = 1")], "row long, text string")).first()["code_hash"] and hashed[4] is None and hashed[2] != hashed[1]
+
+
+def test_matched_terms(spark):
+    hits = spark.createDataFrame([("sort the items by size", "def sortItems(rows):\n    return sorted(rows, key=item_size)"), (None, "x"), ("a b", None)], "query string, text string")
+    got = [[(m["term"], m["identifiers"]) for m in r["matched"]] for r in C.matched_terms(hits).collect()]
+    assert got == [[("items", ["item_size", "sortItems"]), ("size", ["item_size"]), ("sort", ["sortItems"])], [], []]
+
+
+def test_cluster_terms(spark, rows):
+    docs = spark.createDataFrame([(i, "alpha common" if i < 4 else "beta common", int(i >= 4)) for i in range(8)] + [(9, None, 1)], "row long, text string, cluster int")
+    got = {(c, place): term for c, place, term in rows(D.cluster_terms(docs, top=1))}
+    assert got == {(0, 1): "alpha", (1, 1): "beta"} and D.cluster_terms(docs.limit(0)).count() == 0
