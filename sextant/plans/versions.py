@@ -270,6 +270,9 @@ SQL = {
       t as (select *, list_sort(list_transform(fresh, lambda t: {l: -length(t), t: t}))[1].t as token, row_number() over (partition by repo, subdir, lineage_id order by version) as i from f where len(fresh) > 0)
       select t.repo, t.subdir, t.lineage_id, t.version, token, lower(regexp_replace(regexp_replace(t.qualname, '[_.]+', ' ', 'g'), '([a-z0-9])([A-Z])', '\1 \2', 'g')) || ' in ' || t.file || ' ' || token as query, list_sort(list(distinct o.version)) as acceptable
       from t join one o on o.repo is not distinct from t.repo and o.subdir is not distinct from t.subdir and o.lineage_id = t.lineage_id and contains(o.text, token) where i <= 1 group by all""",
+    "code_hash_groups": r"""with t as (select row, string_split(regexp_replace(replace(replace(replace(text, chr(65279), ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\t', '    ', 'g'), chr(10)) as ls from index_rows where text is not null),
+      k as (select row, list_filter(list_transform(ls, lambda x: regexp_replace(regexp_extract(x, '^(?:[^''"#]|''(?:[^''\\]|\\.)*(?:''|\\?$)|"(?:[^"\\]|\\.)*(?:"|\\?$))*', 0), '\s+$', '')), lambda x: x <> '') as ls from t),
+      h as (select row, sha256(array_to_string(list_transform(ls, lambda x: regexp_replace(x, '(\S) {2,}', '\1 ', 'g')), chr(10))) as code_hash from k) select code_hash, min(row) as row, count(*) as n from h group by code_hash having count(*) > 1""",
     "find_definitions": """with t as (select file, name, qualname, kind, start_line, end_line, docstring, case when file || '::' || qualname = 'scan_tokens' then 1 when name = 'scan_tokens' then 2 when ends_with(qualname, '.scan_tokens') then 3 end as tier from defs)
       select * exclude tier from t where tier = (select min(tier) from t)""",
     "enclosing_definitions": """with d as (select distinct file, qualname, start_line, end_line from defs) select d.file, d.qualname, d.start_line, o.qualname as outer from d join d o on d.file = o.file and o.start_line <= d.start_line and o.end_line >= d.end_line and o.qualname <> d.qualname
