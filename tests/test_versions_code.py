@@ -234,3 +234,20 @@ def test_cluster_terms(spark, rows):
     docs = spark.createDataFrame([(i, "alpha common" if i < 4 else "beta common", int(i >= 4)) for i in range(8)] + [(9, None, 1)], "row long, text string, cluster int")
     got = {(c, place): term for c, place, term in rows(D.cluster_terms(docs, top=1))}
     assert got == {(0, 1): "alpha", (1, 1): "beta"} and D.cluster_terms(docs.limit(0)).count() == 0
+
+
+def test_audit(spark):
+    texts = [(1, "import os.path, sys\nfrom a.b import c\n\ndef f(x):\n    return g(x) + len(x) + c(1) + int(input())\n"), (2, "def ("), (3, ""), (4, None), (5, "import sys\nfor line in sys.stdin:\n    print(line)")]
+    d = spark.createDataFrame(texts, "row long, text string").withColumn("parses", F.lit("clash"))
+    got = {r["row"]: tuple(r)[1:] for r in C.audit_docs(d).collect()}
+    assert got == {1: (True, ["a.b", "os.path", "sys"], ["g"], True, 5), 2: (False, [], [], False, 1), 3: (True, [], [], False, 0), 5: (True, ["sys"], [], True, 3)}
+    one = C.corpus_audit(d).first()
+    assert (one["n"], one["parse_pct"], one["import_pct"], one["stdin_pct"], one["undefined_pct"], one["median_lines"]) == (4, 75.0, 50.0, 50.0, 25.0, 2.0)
+    assert C.audit_docs(d.limit(0)).count() == 0
+
+
+def test_documented_version_queries(spark):
+    old, new = "def f(a):\n    \"\"\"Adds numbers of a list together.\"\"\"\n    return a\n", "def f(a):\n    \"\"\"Adds numbers of a list together.\"\"\"\n    totals = a\n    return totals\n"
+    d = spark.createDataFrame([(1, "r", "l", 1, old, "f", "x.py"), (2, "r", "l", 2, new, "f", "x.py"), (3, "r", "m", 1, "def g(): pass", "g", "x.py"), (4, "r", "m", 2, "def g(): longer", "g", "x.py")], "row long, repo string, lineage_id string, version int, text string, qualname string, file string")
+    got = {r["lineage_id"]: (r["token"], r["query"], r["acceptable"]) for r in V.version_queries(d, ["repo"], documented=True).collect()}
+    assert got == {"l": ("totals", "Adds numbers of a list together. totals", [2]), "m": ("longer", "g in x.py longer", [2])}
