@@ -1,39 +1,46 @@
 """The k most similar vectors of every vector, by a permutation index.
 
 A vector is represented by the order of its nearest pivots. It is posted in the inverted files of its POSTS nearest
-pivots, with the prefix of its order; a query looks into the files of its own nearest pivots, ranks what is posted there by
-the footrule distance between the two prefixes, and reranks the best by exact cosine. How many files a query visits and how
-many candidates are reranked is calibrated: a few hundred vectors are compared with all rows, by cosine and by footrule,
-and the least visits and candidates are taken that would find the wanted part of their true neighbours.
+pivots; a query looks into the files of its own nearest pivots and compares what is posted there by exact cosine. How many
+files a query visits is calibrated: a few hundred vectors are compared with all rows, and the least visits are taken that
+would find the wanted part of their true neighbours. Nothing that is met is left out: ranking it by footrule first takes
+some fifteen times as long as the cosine of 64 values, and could only lose neighbours.
 
 Pivots are centres of a bounded sample; everything else covers all rows. Equal vectors are worked on once and carry the
 least k + 1 of their ids, which is all that k neighbours can need. Files of pivots that lie together share a shard, so that
-a row or query that meets several of them travels once; shards and the queries that visit them are split into blocks of
-bounded size, so no pivot can overload a task.
+a row or query that meets several of them travels once, with those of its pivots that the shard has. Shards and the queries
+that visit them are split into blocks of bounded size, so no pivot can overload a task; the rows of a block are held, the
+queries stream past.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sextant.llm.formatting import hot_join
-from sextant.runtime import busy, cut
+from sextant.runtime import busy, cut, xxhash64
 
 #: Vectors to which pivots are fitted (about; drawn by hash): this many, or FITTED a pivot if that is more.
 SAMPLE, FITTED = 20_000, 4
-#: Pivots of a shard, on average; rows of one block of a shard, and queries that meet it in one task.
-SHARD, BLOCK, QUERIES = 16, 20_000, 60_000
-#: Files that a row is posted in, and pivots of its order by which it is ranked.
-POSTS, PREFIX = 3, 8
+#: Pivots of a shard, on average, as long as that makes no more than SHARDS; beyond, vectors of a shard.
+SHARD, SHARDS, SHARD_ROWS = 16, 48, 150_000
+#: Rows of one block of a shard, which a task holds at once, and queries that meet it in one task.
+BLOCK, QUERIES = 250_000, 1_000_000
+#: Files that a row is posted in.
+POSTS = 3
 #: Vectors by which the search is calibrated, and the part of their true neighbours that it has to find.
 ASKERS, WANTED = 256, 0.97
-_BATCH, _RUN = 256, 16
+#: Queries that are compared at once, and rows, so that their cosines stay in the processor's cache.
+_BATCH, _ROWS = 256, 1024
+#: Bits of a key below the number of its cell; the highest of them tells queries from rows, the others bring like queries together.
+_BITS = 32
 _FOUND = np.dtype([("near", "<i8"), ("copies", "?"), ("cosine", "<f4")])
 
 
@@ -109,104 +116,97 @@ def footrule(ranks: np.ndarray, prefixes: np.ndarray) -> np.ndarray:
     return out
 
 
-def search_block(rows: np.ndarray, prefixes: np.ndarray, queries: np.ndarray, order: np.ndarray, pivots: int, posts: int, visits: int, candidates: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best rows of one block for each query: places (-1 where there are fewer) and cosines.
-
-    Rows are posted in inverted files by the first `posts` pivots of their prefixes. Queries with like orders share a
-    batch; what is posted in the files they visit is ranked by footrule, and the best `candidates` (with all ties at the
-    last) are reranked by cosine.
-    """
-    entries = np.argsort(prefixes[:, :posts].T.ravel(), kind="stable")
-    pivot_of = prefixes[:, :posts].T.ravel()[entries]
-    starts = np.searchsorted(pivot_of, np.arange(pivots + 1))
-    posted = entries % max(len(rows), 1)
-    depth = prefixes.shape[1]
-    place, score = np.full((len(queries), k), -1, np.int64), np.full((len(queries), k), -np.inf, np.float32)
-    by = np.lexsort(order.T[: min(3, order.shape[1])][::-1])
-    for a in range(0, len(by), _BATCH):
-        q = by[a : a + _BATCH]
-        visited, met = np.zeros(pivots, bool), np.zeros(len(rows), bool)
-        visited[order[q, :visits]] = True
-        for p in np.flatnonzero(visited):
-            met[posted[starts[p] : starts[p + 1]]] = True
+def spread(order: np.ndarray, shard_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The shards of every order: (line, shard, start, pivots); the pivots of an entry are those from its start to the next."""
+    by = np.argsort(shard_of[order], axis=1, kind="stable")
+    pivots = np.take_along_axis(order, by, 1)
+    shards = shard_of[pivots]
+    new = np.ones(shards.shape, bool)
+    new[:, 1:] = shards[:, 1:] != shards[:, :-1]
+    start = np.flatnonzero(new.ravel())
+    return start // max(1, order.shape[1]), shards.ravel()[start], start, pivots.ravel()
+
+
+class Block:
+    """Rows of a shard, posted in the inverted files of their pivots."""
+
+    def __init__(self, vids: np.ndarray, copies: np.ndarray, unit: np.ndarray, posts: Sequence[bytes], code: type, pivots: int):
+        self.vids, self.copies, self.unit = vids, copies, unit
+        lengths = np.fromiter(map(len, posts), np.int64, len(posts)) // np.dtype(code).itemsize
+        pivot = np.frombuffer(b"".join(posts), code)
+        by = np.argsort(pivot, kind="stable")
+        self.posted = np.repeat(np.arange(len(posts)), lengths)[by]
+        self.starts = np.searchsorted(pivot[by], np.arange(pivots + 1))
+
+    def search(self, queries: np.ndarray, visited: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best rows for each query among all that the visited files of any of them hold: places (-1 where there are fewer) and cosines."""
+        place, score = np.full((len(queries), k), -1, np.int64), np.full((len(queries), k), -np.inf, np.float32)
+        met = np.zeros(len(self.vids), bool)
+        for p in visited:
+            met[self.posted[self.starts[p] : self.starts[p + 1]]] = True
         at = np.flatnonzero(met)
         if not len(at):
-            continue
-        cosines = rows[at] @ queries[q].T
-        if len(at) > candidates:
-            away = footrule(ranks_of(order[q], pivots, depth), prefixes[at])
-            last = np.partition(away, candidates - 1, axis=1)[:, candidates - 1 : candidates]
-            cosines[(away > last).T] = -np.inf
-        runs = np.arange(0, len(at), _RUN)
-        best = np.maximum.reduceat(cosines, runs, axis=0).T  # the k best rows lie in the k best runs
-        top = np.argpartition(-best, k - 1, axis=1)[:, :k] if len(runs) > k else np.broadcast_to(np.arange(len(runs)), (best.shape[0], len(runs)))
-        cand = (top[:, :, None] * _RUN + np.arange(_RUN)).reshape(len(top), -1)
-        value = np.where(cand < len(at), cosines[np.minimum(cand, len(at) - 1), np.arange(len(top))[:, None]], -np.inf)
+            return place, score
+        run = 16 if len(at) < 1 << 15 else 32  # rows of which the greatest cosine is kept first
+        padded = np.concatenate([at, np.full(-len(at) % run, at[-1])])
+        best = np.empty((len(queries), len(padded) // run), np.float32)
+        for a in range(0, len(padded), _ROWS):
+            cosines = self.unit[padded[a : a + _ROWS]] @ queries.T
+            best[:, a // run : (a + _ROWS) // run] = cosines.reshape(-1, run, len(queries)).max(axis=1).T
+        runs = best.shape[1]
+        top = np.argpartition(-best, k - 1, axis=1)[:, :k] if runs > k else np.broadcast_to(np.arange(runs), best.shape)  # the k best rows lie in the k best runs
+        cand = (top[:, :, None] * run + np.arange(run)).reshape(len(queries), -1)
+        value = np.matmul(self.unit[padded[cand]], queries[:, :, None])[:, :, 0]
+        value[cand >= len(at)] = -np.inf
         m = min(k, value.shape[1])
         pick = np.argpartition(-value, m - 1, axis=1)[:, :m]
-        chosen = np.take_along_axis(value, pick, 1)
-        where = at[np.minimum(np.take_along_axis(cand, pick, 1), len(at) - 1)]
-        score[q, :m] = chosen
-        place[q, :m] = np.where(np.isneginf(chosen), -1, where)
-    return place, score
+        score[:, :m] = np.take_along_axis(value, pick, 1)
+        place[:, :m] = np.where(np.isneginf(score[:, :m]), -1, padded[np.take_along_axis(cand, pick, 1)])
+        return place, score
 
 
 def calibrate(classes: DataFrame, asked: pd.DataFrame, shared, dim: int, k: int, wanted: float) -> tuple[int, int, float]:
-    """(visits, candidates, estimated recall): the least of both that find `wanted` of the true neighbours of the askers.
+    """(visits, pairs, estimated recall): the least visits that find `wanted` of the true neighbours of the askers, and how many those are.
 
-    Every row is compared with the askers. The k true neighbours of each come back, with their footrule distance and the
-    place of the first visited file that has them, and how many rows there are at each distance and place.
+    Every row is compared with the askers. The k true neighbours of each come back with the place of the first visited file
+    that has them.
     """
     pivots = shared.value
     steps = visit_steps(len(pivots))
     ids, q = asked["vid"].to_numpy(), unpack(asked["v"], dim)
-    prefix = min(PREFIX, len(pivots))
     whole = orders(q, pivots, len(pivots))
-    near, place_of = ranks_of(whole, len(pivots), prefix), np.searchsorted(steps, ranks_of(whole, len(pivots), len(pivots)), "right").astype(np.int8)
-    bins = prefix * prefix + 1
-    given = classes.sparkSession.sparkContext.broadcast((ids, q, near, place_of))
+    place_of = np.searchsorted(steps, ranks_of(whole, len(pivots), len(pivots)), "right").astype(np.int8)
+    given = classes.sparkSession.sparkContext.broadcast((ids, q, place_of))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, q, near, place_of = given.value
-        seen = np.zeros((len(ids), len(steps), bins), np.int64)
+        ids, q, place_of = given.value
+        line = np.arange(len(ids))[:, None]
+        best, vids, places = np.full((len(ids), k), -2, np.float32), np.full((len(ids), k), -1, np.int64), np.zeros((len(ids), k), np.int8)
         for b in batches:
             for a in range(0, len(b), 2048):
                 part = b.iloc[a : a + 2048]
-                unit = unpack(part["v"], dim)
-                prefixes = orders(unit, shared.value, max(prefix, POSTS))
-                away = footrule(near, prefixes[:, :prefix]).astype(np.int64)
-                first = place_of[:, prefixes[:, 0]].astype(np.int64)
-                for j in range(1, min(POSTS, prefixes.shape[1])):
-                    np.minimum(first, place_of[:, prefixes[:, j]], out=first)
-                cosine = (q @ unit.T).astype(np.float64)
-                own = part["vid"].to_numpy()[None, :] == ids[:, None]
-                cosine[own] = -2
-                flat = (np.arange(len(ids))[:, None] * len(steps) + first) * bins + away
-                seen += np.bincount(flat[~own], minlength=seen.size).reshape(seen.shape)
+                unit, vid = unpack(part["v"], dim), part["vid"].to_numpy()
+                cosine = q @ unit.T
+                cosine[vid[None, :] == ids[:, None]] = -2
                 m = min(k, cosine.shape[1])
                 top = np.argpartition(-cosine, m - 1, axis=1)[:, :m]
-                line = np.repeat(np.arange(len(ids)), m)
-                yield pd.DataFrame({"asker": line, "cosine": cosine[line, top.ravel()], "vid": part["vid"].to_numpy()[top.ravel()], "place": first[line, top.ravel()], "away": away[line, top.ravel()], "n": 0})
-        asker, place, away = np.nonzero(seen)
-        yield pd.DataFrame({"asker": asker, "cosine": np.nan, "vid": 0, "place": place, "away": away, "n": seen[asker, place, away]})
-
-    both = cut(classes.select("vid", "v").mapInPandas(compare, "asker int, cosine double, vid long, place int, away int, n long"))
-    counts = both.where("n > 0").groupBy("asker", "place", "away").agg(F.sum("n").alias("n")).toPandas()  # at most ASKERS x steps x 65 rows
-    best = Window.partitionBy("asker").orderBy(F.desc("cosine"), "vid")
-    true = both.where("n = 0 and cosine > -1.5").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("asker", "place", "away").toPandas()  # k rows an asker
+                posts = orders(unit, shared.value, POSTS)[top]
+                first = place_of[line[:, :, None], posts].min(axis=2)
+                best, vids, places = (np.concatenate(x, axis=1) for x in ((best, cosine[line, top]), (vids, vid[top]), (places, first)))
+                keep = np.lexsort((vids, -best), axis=1)[:, :k]
+                best, vids, places = (np.take_along_axis(x, keep, 1) for x in (best, vids, places))
+        real = best > -1.5
+        yield pd.DataFrame({"asker": np.broadcast_to(line, best.shape)[real], "cosine": best[real].astype(float), "vid": vids[real], "place": places[real].astype(np.int32)})
+
+    least = Window.partitionBy("asker").orderBy(F.desc("cosine"), "vid")
+    near = classes.select("vid", "v").mapInPandas(compare, "asker int, cosine double, vid long, place int")
+    true = near.withColumn("rank", F.row_number().over(least)).where(F.col("rank") <= k).select("place").toPandas()["place"].to_numpy()  # k rows an asker
     if not len(true):
-        return steps[0], 1, 1.0
-    seen = np.zeros((len(ids), len(steps), bins), np.int64)
-    seen[counts["asker"], counts["place"], counts["away"]] = counts["n"]
-    ranked = seen.cumsum(axis=1).cumsum(axis=2)  # rows met within so many steps of visits, at most so far away
+        return steps[0], 0, 1.0
     for step, visits in enumerate(steps):
-        met = true["place"].to_numpy() <= step
-        if met.mean() < wanted and visits < len(pivots):
-            continue
-        needed = np.sort(ranked[true["asker"], step, true["away"]][met])
-        take = min(len(needed), int(np.ceil(wanted * len(true))))
-        candidates = int(needed[take - 1])
-        return visits, candidates + 1, float((needed <= candidates).sum() / len(true))  # and the asker itself
+        met = (true <= step).mean()
+        if met >= wanted or visits == len(pivots):
+            return visits, len(true), float(met)
     raise AssertionError("the last step visits every file")
 
 
@@ -239,66 +239,100 @@ def nearest_vectors(rows: DataFrame, id: str = "row", embedding: str = "embeddin
         return classes.where(share).orderBy(F.xxhash64("vid", F.lit(seed))).limit(most).select("vid", "v").toPandas()
 
     wanted_pivots = pivots or pivot_count(total)
-    centres = fit_pivots(unpack(drawn(max(sample, FITTED * wanted_pivots), 1)["v"], dim), wanted_pivots)
+    fitted = unpack(drawn(max(sample, FITTED * wanted_pivots), 1)["v"], dim)
+    centres = fit_pivots(fitted, wanted_pivots)
     number = len(centres)
-    shard_of = (fit_pivots(centres, -(-number // SHARD)) @ centres.T).argmax(0).astype(np.int32)
+    shards = max(-(-total // SHARD_ROWS), min(-(-number // SHARD), SHARDS))
+    shard_of = (fit_pivots(centres, shards) @ centres.T).argmax(0).astype(np.int32)
     shared = spark.sparkContext.broadcast(centres)
-    visits, candidates, _ = calibrate(classes, drawn(ASKERS, 2), shared, dim, k, wanted)
-    prefix = min(PREFIX, number)
+    visits, _, _ = calibrate(classes, drawn(ASKERS, 2), shared, dim, k, wanted)
 
     several = classes.where("n > 1")
     members = cut(hot_join(one, several, "v", "n", total).select("id", "vid", "n").distinct())
     in_class = Window.partitionBy("vid").orderBy("id")
     answers = members.withColumn("place", F.row_number().over(in_class)).where(F.col("place") <= keep).groupBy("vid").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # at most keep ids
     code = np.uint16 if number < 1 << 16 else np.int32
+    order = np.concatenate([orders(fitted[a : a + 2048], centres, max(visits, POSTS)) for a in range(0, len(fitted), 2048)])
+    part = lambda depth, size: np.maximum(1, np.ceil(np.bincount(spread(order[:, :depth], shard_of)[1], minlength=shards) * (total / len(fitted)) / size)).astype(np.int64)
+    blocks, turns = part(POSTS, BLOCK), part(visits, QUERIES)  # of every shard, as the sample has them
+    base = np.cumsum(blocks * turns) - blocks * turns
+    keep_of = {True: (POSTS, blocks, turns), False: (visits, turns, blocks)}
 
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            order = np.concatenate([orders(unpack(b["v"].iloc[a : a + 2048], dim), shared.value, max(visits, prefix, POSTS)) for a in range(0, len(b), 2048)]) if len(b) else np.zeros((0, 1), int)
-            shards = shard_of[order]
-            yield pd.DataFrame({"vid": b["vid"], "copies": b["n"] > 1, "v": b["v"], "o": [x.tobytes() for x in order.astype(code)], "held": [sorted(set(x)) for x in shards[:, :POSTS].tolist()], "asked": [sorted(set(x)) for x in shards[:, :visits].tolist()]})
-
-    routed = busy(classes).mapInPandas(route, "vid long, copies boolean, v binary, o binary, held array<int>, asked array<int>")
-    count = lambda c: F.sum(F.when(F.col("side") == c, 1).otherwise(0)).alias(c)
-    tagged = lambda c: F.transform(c, lambda x: F.struct(x.alias("shard"), F.lit(c).alias("side")))
-    sides = F.concat(tagged("held"), tagged("asked"))
-    spots = routed.select(F.explode(sides).alias("x")).select("x.*").groupBy("shard").agg(count("held"), count("asked")).collect()  # one row per shard
-    cells = [(int(r["shard"]), -(-r["held"] // BLOCK), -(-r["asked"] // QUERIES)) for r in spots if r["held"] and r["asked"]]
-    plan = F.broadcast(spark.createDataFrame(cells, "shard int, blocks int, turns int"))  # one row per shard
-    own = lambda n: F.pmod(F.xxhash64("vid"), F.col(n).cast("long")).cast("int")
-    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    placed = routed.select("vid", "copies", "v", "o", F.explode(sides).alias("x")).select("vid", "copies", "v", "o", "x.*").join(plan, "shard")
-    post = F.transform(every("turns"), lambda t: F.struct(own("blocks").alias("block"), t.alias("turn")))
-    ask = F.transform(every("blocks"), lambda b: F.struct(b.alias("block"), own("turns").alias("turn")))
-    lean = F.when(F.col("side") == "held", F.substring("o", 1, prefix * code().itemsize)).otherwise(F.col("o")).alias("o")
-    both = placed.select("shard", F.explode(F.when(F.col("side") == "held", post).otherwise(ask)).alias("x"), (F.col("side") == "held").alias("held"), "vid", "copies", "v", lean).select("shard", "x.*", "held", "vid", "copies", "v", "o")
-
-    def meet(group: pd.DataFrame) -> pd.DataFrame:
-        there = group["held"].to_numpy()
-        posted, asking = group[there], group[~there]
-        if not len(posted) or not len(asking):
-            return pd.DataFrame({"vid": pd.Series(dtype="int64"), "found": pd.Series(dtype=object)})
-        unpacked = lambda part: np.frombuffer(b"".join(part["o"]), code).reshape(len(part), -1).astype(np.int32)
-        at, cos = search_block(unpack(posted["v"], dim), unpacked(posted), unpack(asking["v"], dim), unpacked(asking), number, POSTS, visits, candidates, keep)
-        record = np.zeros(at.shape, _FOUND)
-        record["near"], record["copies"], record["cosine"] = posted["vid"].to_numpy()[np.maximum(at, 0)], posted["copies"].to_numpy()[np.maximum(at, 0)], cos
-        return pd.DataFrame({"vid": asking["vid"].to_numpy(), "found": [r[a >= 0].tobytes() for r, a in zip(record, at)]})
-
-    met = both.groupBy("shard", "block", "turn").applyInPandas(meet, "vid long, found binary")
-
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for a in range(0, b.num_rows, 2048):
+                part = b.slice(a, 2048)
+                own = xxhash64(part.column("vid").to_numpy())
+                order = orders(unpack(part.column("v").to_pandas(), dim), shared.value, max(visits, POSTS))
+                for held, (depth, mine, every) in keep_of.items():  # a row is in one block, for every turn; a query has one turn, in every block
+                    line, shard, start, pivots = spread(order[:, :depth], shard_of)
+                    times = every[shard]
+                    entry = np.repeat(np.arange(len(line)), times)
+                    other = np.arange(len(entry)) - np.repeat(np.cumsum(times) - times, times)
+                    one = np.mod(own[line], mine[shard])[entry]
+                    cell = base[shard][entry] + (one * turns[shard][entry] + other if held else other * turns[shard][entry] + one)
+                    count = np.diff(start, append=len(pivots))
+                    second = np.where(count > 1, pivots[np.minimum(start + 1, len(pivots) - 1)], 0)
+                    alike = (1 << 31) | (pivots[start].astype(np.int64) & 0x7FFF) << 16 | np.minimum(count, 63) << 10 | (second & 0x3FF)  # queries that visit the same files follow each other
+                    low = 0 if held else alike[entry]
+                    bounds = (np.append(start, len(pivots)) * np.dtype(code).itemsize).astype(np.int32)
+                    files = pa.BinaryArray.from_buffers(pa.binary(), len(line), [None, pa.py_buffer(bounds), pa.py_buffer(pivots.astype(code))])
+                    rows = part.take(pa.array(line[entry]))
+                    yield pa.RecordBatch.from_arrays([pa.array(cell << _BITS | low), rows.column("vid"), pa.array(rows.column("n").to_numpy() > 1), rows.column("v"), files.take(pa.array(entry))], ["key", "vid", "copies", "v", "o"])
+
+    routed = busy(classes.select("vid", "n", "v")).mapInArrow(route, "key long, vid long, copies boolean, v binary, o binary")
+    gathered = routed.repartition(F.shiftright("key", _BITS)).sortWithinPartitions("key")  # cell by cell, rows before queries
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, rows, block = -1, [], None
+        for b in batches:
+            cells, asks = b["key"].to_numpy() >> _BITS, (b["key"].to_numpy() >> (_BITS - 1) & 1) > 0
+            edges = np.flatnonzero((np.diff(cells) != 0) | (np.diff(asks) != 0)) + 1
+            for a, e in zip([0, *edges], [*edges, len(b)]):
+                if a == e:
+                    continue
+                part = b.iloc[a:e]
+                if cells[a] != now:
+                    now, rows, block = cells[a], [], None
+                unit = unpack(part["v"], dim)
+                if not asks[a]:
+                    rows.append((part["vid"].to_numpy(), part["copies"].to_numpy(), unit, list(part["o"])))
+                    continue
+                if block is None and rows:
+                    vids, copies, units, posts = zip(*rows)
+                    block = Block(np.concatenate(vids), np.concatenate(copies), np.concatenate(units), [x for p in posts for x in p], code, number)
+                    rows = []
+                if block is None:
+                    continue
+                found = []
+                for q in range(0, len(part), _BATCH):
+                    visited = np.unique(np.frombuffer(b"".join(part["o"].iloc[q : q + _BATCH]), code))
+                    at, cos = block.search(unit[q : q + _BATCH], visited, keep)
+                    record = np.zeros(at.shape, _FOUND)
+                    record["near"], record["copies"], record["cosine"] = block.vids[np.maximum(at, 0)], block.copies[np.maximum(at, 0)], cos
+                    found += [r[x >= 0].tobytes() for r, x in zip(record, at)]
+                yield pd.DataFrame({"vid": part["vid"].to_numpy(), "found": found})
+
+    met = gathered.mapInPandas(meet, "vid long, found binary")
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, top = [], []
-            for v, found in zip(b["vid"], b["found"]):
-                f = np.frombuffer(b"".join(found), _FOUND)
-                f = f[np.unique(f["near"], return_index=True)[1]]  # a row can be met in several shards
-                c = f["cosine"].astype(float).round(6)
-                best = np.lexsort((f["near"], -c))[:keep]
-                ids.append(v)
-                top.append([{"c": -c[i], "near": int(f["near"][i]), "copies": bool(f["copies"][i])} for i in best])
-            yield pd.DataFrame({"vid": pd.Series(ids, dtype="int64"), "top": pd.Series(top, dtype=object)})
-
-    merged = met.groupBy("vid").agg(F.collect_list("found").alias("found")).mapInPandas(merge, "vid long, top array<struct<c double, near long, copies boolean>>")
+            lists = b.column("found")
+            blobs = lists.flatten().to_pylist()
+            f = np.frombuffer(b"".join(blobs), _FOUND)
+            sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // _FOUND.itemsize
+            line = np.repeat(np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy())), sizes)
+            c = f["cosine"].astype(float).round(6)
+            by = np.lexsort((-c, f["near"], line))  # a row can be met in several shards
+            by = by[np.append(True, (np.diff(f["near"][by]) != 0) | (np.diff(line[by]) != 0))[: len(by)]]
+            by = by[np.lexsort((f["near"][by], -c[by], line[by]))]
+            place = np.arange(len(by)) - np.searchsorted(line[by], line[by])
+            by = by[place < keep]
+            offsets = np.searchsorted(line[by], np.arange(b.num_rows + 1)).astype(np.int32)
+            best = pa.StructArray.from_arrays([pa.array(-c[by]), pa.array(f["near"][by]), pa.array(f["copies"][by])], ["c", "near", "copies"])
+            yield pa.RecordBatch.from_arrays([b.column("vid"), pa.ListArray.from_arrays(pa.array(offsets), best)], ["vid", "top"])
+
+    merged = met.groupBy("vid").agg(F.collect_list("found").alias("found")).mapInArrow(merge, "vid long, top array<struct<c double, near long, copies boolean>>")
     merged = cut(merged)
     mixed = F.exists("top", lambda x: x["copies"])
     plain = merged.where(~mixed).select("vid", F.transform("top", lambda x: F.struct(x["c"].alias("c"), x["near"].alias("neighbour"))).alias("near"))

@@ -274,6 +274,45 @@ def test_neighbours_without_clusters(spark):
     assert np.mean([len(found[i] & set(t.tolist())) / 10 for i, t in enumerate(true)]) >= 0.93
 
 
+def test_neighbours_leave_out_nothing_that_is_met(spark, monkeypatch):
+    """Where all files are visited the result is that of brute force, however few candidates a ranking would take."""
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(700, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "row long, embedding array<float>")
+    monkeypatch.setattr(neighbours, "calibrate", lambda *_: (26, 1, 1.0))
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    edge = -np.partition(-s, 9, axis=1)[:, 9]
+    got = neighbours.nearest_vectors(df, pivots=26).collect()
+    assert len(got) == 7000 and len({(r["row"], r["neighbour"]) for r in got}) == 7000
+    assert all(s[r["row"], r["neighbour"]] >= edge[r["row"]] - 1e-5 for r in got)
+
+
+def test_neighbours_search_costs_little_more_than_the_product():
+    """Choosing the best of a block takes a few times its matrix product at most (ranking by footrule took some twenty times)."""
+    import time
+
+    rng = np.random.default_rng(9)
+    unit = rng.normal(size=(20_000, 64)).astype(np.float32)
+    posts = [np.uint16(x).tobytes() for x in rng.integers(0, 40, len(unit))]
+    block = neighbours.Block(np.arange(len(unit)), np.zeros(len(unit), bool), unit, posts, np.uint16, 40)
+    queries = unit[:256]
+
+    def took(f):
+        began = time.thread_time()
+        f()
+        return time.thread_time() - began
+
+    product = min(took(lambda: unit @ queries.T) for _ in range(5))
+    search = min(took(lambda: block.search(queries, np.arange(40), 11)) for _ in range(5))
+    assert search < 8 * product
+    at, cosine = block.search(queries, np.arange(0, 40, 2), 11)
+    there = np.isin(np.frombuffer(b"".join(posts), np.uint16), np.arange(0, 40, 2))
+    true = np.sort(np.where(there[:, None], unit @ queries.T, -np.inf), axis=0)[::-1][:11].T
+    assert there[at].all() and np.allclose(np.sort(cosine, axis=1)[:, ::-1], true, atol=1e-3)
+
+
 def test_footrule_against_definition():
     rng = np.random.default_rng(7)
     q, d = (np.array([rng.permutation(20) for _ in range(n)]) for n in (5, 9))
