@@ -96,3 +96,39 @@ def test_location_hits(spark):
     e = spark.createDataFrame([("q", "a.py", 9, 12), ("z", "a.py", 1, 1)], "qid string, file string, start int, stop int")
     got = {r["qid"]: (r["hits"], r["precision"], r["recall"]) for r in E.location_hits(p, e).collect()}
     assert got == {"q": (1, 0.5, 1.0), "z": (0, 0.0, 0.0)}
+
+
+def test_search_lists_equal_the_join(spark, rows, monkeypatch):
+    """Lists of the search in blocks are those of the join: ties, repeated bags, rare and frequent terms, several parts and rounds."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from sextant.operators import lexical as L
+    from sextant.operators import search as S
+    from sextant.runtime import cut
+
+    for name, value in (("ROUND", 9), ("STEP", 16), ("DENSE", 5), ("POSTINGS", 700)):
+        monkeypatch.setattr(S, name, value)
+    draw = random.Random(3)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(90)]
+    text = lambda n: " ".join(words[min(int(draw.expovariate(0.07)), 89)] for _ in range(n))
+    texts = [text(draw.randint(1, 25)) for _ in range(140)]
+    docs = spark.createDataFrame([*enumerate(texts + texts[:30] + [None, "", "onlyone"])], "row long, text string")
+    asked = [(f"q{i}", text(12)) for i in range(20)] + [("twice", words[1]), ("twice", words[2]), ("none", "unknown"), ("null", None), ("empty", "")]
+    queries = spark.createDataFrame(asked, "qid string, text string")
+    corpus = S.Corpus(docs, queries)
+    assert corpus.plain and corpus.parts > 1
+    got = cut(S.top_lists(docs, queries, 7))
+    index = L.build_index(docs)
+    merged = queries.where("text is not null").groupBy("qid").agg(F.concat_ws("\n", F.collect_list("text")).alias("text"))
+    for li, want in ((S.BM25, L.bm25_topk(index, merged, 7)), (S.TFIDF, L.tfidf_topk(index, merged, 7))):
+        assert rows(got.where(F.col("li") == li).select("qid", "rank", "row", "score")) == rows(want)
+    fused = R.top_k(R.sparse_fuse(L.bm25_scores(index, merged), L.tfidf_scores(index, merged), index.documents, 0.4, "minmax"), 7)
+    assert rows(S.minmax_over_all(docs, merged, 0.4, 7)) == rows(fused)
+    lists = [x.select("qid", "rank", "row", "score") for x in (got.where("li = 0"), got.where("li = 1"))]
+    for how in ("zscore", "minmax"):
+        assert rows(R.score_fuse_tagged(got, 0.3, how)) == rows(R.score_fuse(*lists, 0.3, how))
+    repeated = docs.unionByName(docs.where("row < 3"))
+    assert not S.Corpus(repeated, queries).plain
+    assert rows(S.top_lists(repeated, merged, 3, (S.BM25,)).drop("li")) == rows(L.bm25_topk(repeated, merged, 3))
