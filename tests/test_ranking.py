@@ -132,3 +132,13 @@ def test_search_lists_equal_the_join(spark, rows, monkeypatch):
     repeated = docs.unionByName(docs.where("row < 3"))
     assert not S.Corpus(repeated, queries).plain
     assert rows(S.top_lists(repeated, merged, 3, (S.BM25,)).drop("li")) == rows(L.bm25_topk(repeated, merged, 3))
+
+
+def test_zscore_fuse_asks_with_every_query(spark):
+    """Every query with a text has a list, not every 20th."""
+    import __spark_entry__ as entry
+
+    folder = "/root/testdata/sf0.001"
+    asked = {r.qid for r in spark.read.parquet(f"{folder}/queries.parquet").where("text is not null").collect()}
+    assert {r.qid for r in entry.queries()["zscore_fuse"](spark, folder).select("qid").distinct().collect()} == asked
+    assert "% 20" not in entry.oracle_sql()["zscore_fuse"]
